@@ -108,6 +108,8 @@ def bucket_vectors(profile: DataFrame, columns: Sequence[str] = ("x_avg", "x_p02
     """
     cols = list(columns)
     packed = profile.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("seq", *cols))).alias("_b"))
-    return packed.select(
-        "seg", *[F.transform("_b", lambda e, c=c: e[c]).alias(f"stx{i + 1}") for i, c in enumerate(cols)]
-    )
+    return packed.select("seg", *[F.transform("_b", _field(c)).alias(f"stx{i + 1}") for i, c in enumerate(cols)])
+
+
+def _field(name: str):
+    return lambda e: e[name]

@@ -283,7 +283,7 @@ def build() -> dict[str, str]:
     )
     q["concat_slices"] = (
         with_sig(L, _concat_cte(T))
-        + f" SELECT CAST(seg AS BIGINT) AS seg, CAST(n AS BIGINT) AS k, {r6('x')} AS v FROM cs"
+        + f" SELECT CAST(seg AS BIGINT) AS seg, CAST(j AS BIGINT) AS k, {r6('x')} AS v FROM cs"
     )
     q["sliding_windows"] = (
         with_sig(L, slices_cte(T))
