@@ -1,10 +1,12 @@
 """Standard scaling without centring (``withStd=True, withMean=False``) on array columns.
 
-``fit_scaler`` is a lazy aggregate: the per-dimension sample standard deviation of an array
-column, computed by Spark ML's ``Summarizer`` (partial aggregation of one dense summary per
+``fit_scaler`` is a lazy aggregate: the per-dimension sample standard deviation of array
+columns, computed by Spark ML's ``Summarizer`` (partial aggregation of one dense summary per
 task, as ``StandardScaler.fit`` does), optionally per group (e.g. one scaler per window
-position). ``apply_scaler`` attaches the result -- a scalar subquery without groups, else a join on the
-group keys, broadcast when the group count is bounded -- and divides element-wise; a dimension with std 0 (constant, or one row) maps to 0.0.
+position). Several columns are fitted in the same aggregate, i.e. one pass over the input.
+``apply_scaler`` attaches the result -- a scalar subquery without groups, else a join on the
+group keys, broadcast when the group count is bounded -- and scales element-wise; a dimension
+with std 0 (constant, or a single row) maps to 0.0.
 """
 
 from __future__ import annotations
@@ -13,26 +15,44 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
 
 
-def fit_scaler(df: DataFrame, col: str, by: Sequence[str] = (), std_col: str = "std") -> DataFrame:
-    """Per-dimension sample std of ``col`` (array<double>), one row per ``by`` group."""
-    by = list(by)
-    vec = array_to_vector(F.col(col))
-    summary = Summarizer.metrics("std").summary(vec).alias("_s")
-    agg = df.groupBy(*by).agg(summary) if by else df.agg(summary)
-    return agg.select(*by, vector_to_array(F.col("_s.std")).alias(std_col))
+def _as_list(cols: str | Sequence[str]) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
+
+
+def _std_name(col: str, cols: list[str], std_col: str) -> str:
+    return std_col if len(cols) == 1 else f"{std_col}_{col}"
+
+
+def fit_scaler(df: DataFrame, cols: str | Sequence[str], by: Sequence[str] = (), std_col: str = "std") -> DataFrame:
+    """Per-dimension sample std of each array column, one row per ``by`` group.
+
+    One column: the result column is ``std_col``; several: ``{std_col}_{col}``.
+    """
+    by, cols = list(by), _as_list(cols)
+    aggs = [
+        vector_to_array(Summarizer.metrics("std").summary(array_to_vector(F.col(c))).getField("std")).alias(
+            _std_name(c, cols, std_col)
+        )
+        for c in cols
+    ]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def _scale(values: Column, std: Column) -> Column:
+    return F.transform(values, lambda v, i: F.when(std[i] != 0.0, v * (F.lit(1.0) / std[i])).otherwise(F.lit(0.0)))
 
 
 def apply_scaler(
     df: DataFrame,
-    col: str,
+    cols: str | Sequence[str],
     stds: DataFrame,
-    out: str | None = None,
+    out: str | Sequence[str] | None = None,
     by: Sequence[str] = (),
     groups_bound: int | None = 1,
     std_col: str = "std",
@@ -42,29 +62,28 @@ def apply_scaler(
     ``groups_bound`` is a known upper bound on the rows of ``stds`` (1 without ``by``); the
     std table is broadcast only below the broadcast limit.
     """
-    by = list(by)
-    out = out or col
+    by, cols = list(by), _as_list(cols)
+    outs = _as_list(out) if out is not None else cols
+    names = [_std_name(c, cols, std_col) for c in cols]
     if by:
-        small = sized_broadcast(stds.select(*by, F.col(std_col).alias("_std")), groups_bound)
+        small = sized_broadcast(stds.select(*by, F.struct(*names).alias("_std")), groups_bound)
         joined = df.join(small, by)
     else:
-        # one row, one column: attached as a scalar subquery, evaluated once
-        joined = df.withColumn("_std", stds.select(std_col).scalar())
-    scaled = F.transform(
-        F.col(col),
-        lambda v, i: F.when(F.col("_std")[i] != 0.0, v * (F.lit(1.0) / F.col("_std")[i])).otherwise(F.lit(0.0)),
-    )
-    return joined.withColumn(out, scaled).drop("_std")
+        # one row: attached as a scalar subquery, evaluated once for the whole query
+        joined = df.withColumn("_std", stds.select(F.struct(*names)).scalar())
+    for c, o, n in zip(cols, outs, names):
+        joined = joined.withColumn(o, _scale(F.col(c), F.col("_std")[n]))
+    return joined.drop("_std")
 
 
 def standard_scale(
     df: DataFrame,
-    col: str,
-    out: str | None = None,
+    cols: str | Sequence[str],
+    out: str | Sequence[str] | None = None,
     fit_on: DataFrame | None = None,
     by: Sequence[str] = (),
     groups_bound: int | None = 1,
 ) -> DataFrame:
-    """Fit on ``fit_on`` (default: ``df`` itself) and scale ``df``."""
-    stds = fit_scaler(fit_on if fit_on is not None else df, col, by)
-    return apply_scaler(df, col, stds, out, by, groups_bound)
+    """Fit on ``fit_on`` (default: ``df`` itself) and scale ``df``; all columns in one fit pass."""
+    stds = fit_scaler(fit_on if fit_on is not None else df, cols, by)
+    return apply_scaler(df, cols, stds, out, by, groups_bound)

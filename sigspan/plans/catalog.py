@@ -122,8 +122,8 @@ def q_bucket_features(spark, sf):
     """Bucket vectors of complete segments, each scaled by its own per-dimension std."""
     seq = sq.keep_complete(seq_of(spark, sf), TEST)
     vec = prof.bucket_vectors(prof.bucket_profile(seq, TEST))
-    for i in range(1, 5):
-        vec = sc.standard_scale(vec, f"stx{i}", f"stxn{i}").drop(f"stx{i}")
+    raw = [f"stx{i}" for i in range(1, 5)]
+    vec = sc.standard_scale(vec, raw, [f"stxn{i}" for i in range(1, 5)]).drop(*raw)
     out = vec.select("seg", F.posexplode(F.arrays_zip("stxn1", "stxn2", "stxn3", "stxn4")).alias("k", "_z"))
     return finalize(out.select("seg", "k", "_z.stxn1", "_z.stxn2", "_z.stxn3", "_z.stxn4"))
 
@@ -206,12 +206,12 @@ def q_dct_spectrum(spark, sf):
     return finalize(_long(sp.dct(emb, "vx"), ["vec_id"], "vx"))
 
 
-def _segment_vectors(spark, sf, spec: SegmentSpec = TEST) -> DataFrame:
-    return sl.concat_slices(sl.segment_slices(seq_of(spark, sf, spec), spec))
+def _segment_vectors(seq: DataFrame, spec: SegmentSpec = TEST) -> DataFrame:
+    return sl.concat_slices(sl.segment_slices(seq, spec))
 
 
 def q_dct_lowpass(spark, sf):
-    spec_df = sp.dct(_segment_vectors(spark, sf), "vx", keep=TEST.dct_keep)
+    spec_df = sp.dct(_segment_vectors(seq_of(spark, sf)), "vx", keep=TEST.dct_keep)
     return finalize(_long(spec_df, ["seg"], "vx"))
 
 
@@ -231,15 +231,15 @@ def q_stride_slice(spark, sf):
     return finalize(_long(emb.select("vec_id", f.alias("f")), ["vec_id"], "f"))
 
 
-def _spectral_features(spark, sf, spec: SegmentSpec = TEST) -> DataFrame:
+def _spectral_features(seq: DataFrame, spec: SegmentSpec = TEST) -> DataFrame:
     """Segment vectors -> ML pipeline (DCT, low pass, scaler fitted on all segments) -> bins."""
-    vec = sp.as_vector(_segment_vectors(spark, sf, spec))
+    vec = sp.as_vector(_segment_vectors(seq, spec))
     model = sp.fit_spectral_pipeline(vec, spec)
     return sp.apply_spectral_pipeline(model, vec, spec)
 
 
 def q_spectral_pipeline(spark, sf):
-    return finalize(_long(_spectral_features(spark, sf), ["seg"], "f", "b"))
+    return finalize(_long(_spectral_features(seq_of(spark, sf)), ["seg"], "f", "b"))
 
 
 def _window_spectra(spark, sf) -> DataFrame:
@@ -292,7 +292,7 @@ def q_multi_file_segments(spark, sf):
 def q_streamed_segment_files(spark, sf):
     data_dir, man_dir = _write_segment_files(spark, sf)
     manifest = fl.read_manifest(spark, man_dir)
-    out = ingest_segment_files(spark, data_dir, manifest, scratch_path(spark, "stream-out"), files_per_batch=3)
+    out = ingest_segment_files(spark, data_dir, manifest, scratch_path(spark, "stream-out"), files_per_batch=20)
     return finalize(out.select("seg", "name", "no", "x"))
 
 
@@ -321,8 +321,9 @@ def q_append_batches(spark, sf):
 
 
 def q_training_set(spark, sf):
-    feats = sp.band_slice(_spectral_features(spark, sf), "f", TEST)
-    labels = lab.segment_label(seq_of(spark, sf), TEST)
+    seq = seq_of(spark, sf)
+    feats = sp.band_slice(_spectral_features(seq), "f", TEST)
+    labels = lab.segment_label(seq, TEST)
     ts = mdl.training_set(feats, labels, TEST)
     return finalize(ts.select("seg", F.posexplode("features").alias("k", "v"), "label"))
 
@@ -343,7 +344,7 @@ def _model_frames(spark, sf):
     spec = MODEL_SPEC
     seq = seq_of(spark, sf, spec)
     split = sq.split_train_test(seq, spec).where(F.col("no") == 1).select("seg", "set")
-    feats = sp.band_slice(_spectral_features(spark, sf, spec), "f", spec)
+    feats = sp.band_slice(_spectral_features(seq, spec), "f", spec)
     labels = lab.segment_label(seq, spec)
     ts = mdl.training_set(feats, labels, spec).join(split, "seg")
     return ts.withColumn("set_name", F.when(F.col("set") == 0, F.lit("train")).otherwise(F.lit("holdout")))
