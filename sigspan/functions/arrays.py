@@ -23,18 +23,14 @@ def bind(col: str | Column, fn) -> Column:
 
 def checked_prefix(col: str | Column, n: int, what: str = "array") -> Column:
     """The first ``n`` elements; fails (like a vector slicer) when fewer are present."""
-    c = _c(col)
-    return F.when(F.size(c) >= n, F.slice(c, 1, n)).otherwise(
-        F.raise_error(F.lit(f"{what} shorter than {n} elements"))
-    )
+    msg = F.lit(f"{what} shorter than {n} elements")
+    return bind(col, lambda c: F.when(F.size(c) >= n, F.slice(c, 1, n)).otherwise(F.raise_error(msg)))
 
 
 def band(col: str | Column, start: int, size: int) -> Column:
     """Contiguous band ``col[start : start+size]`` (0-based start); fails when out of range."""
-    c = _c(col)
-    return F.when(F.size(c) >= start + size, F.slice(c, start + 1, size)).otherwise(
-        F.raise_error(F.lit(f"band {start}..{start + size - 1} past the end of the array"))
-    )
+    msg = F.lit(f"band {start}..{start + size - 1} past the end of the array")
+    return bind(col, lambda c: F.when(F.size(c) >= start + size, F.slice(c, start + 1, size)).otherwise(F.raise_error(msg)))
 
 
 def stride(col: str | Column, step: int, size: int | None = None) -> Column:
@@ -54,7 +50,5 @@ def overlapped_bins(col: str | Column, bins: BinSpec) -> Column:
             lambda i: F.aggregate(F.slice(v, i * h + 1, w), F.lit(0.0), lambda acc, e: acc + F.abs(e)) / F.lit(d),
         )
 
-    checked = F.when(F.size(_c(col)) >= bins.span, _c(col)).otherwise(
-        F.raise_error(F.lit(f"spectrum shorter than the {bins.span} coefficients the bins cover"))
-    )
-    return bind(checked, per_array)
+    msg = F.lit(f"spectrum shorter than the {bins.span} coefficients the bins cover")
+    return bind(col, lambda v: F.when(F.size(v) >= bins.span, per_array(v)).otherwise(F.raise_error(msg)))

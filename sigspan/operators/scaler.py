@@ -1,9 +1,13 @@
 """Standard scaling without centring (``withStd=True, withMean=False``) on array columns.
 
 ``fit_scaler`` is a lazy aggregate: the per-dimension sample standard deviation of array
-columns, computed by Spark ML's ``Summarizer`` (partial aggregation of one dense summary per
-task, as ``StandardScaler.fit`` does), optionally per group (e.g. one scaler per window
-position). Several columns are fitted in the same aggregate, i.e. one pass over the input.
+columns, optionally per group (e.g. one scaler per window position). The arrays are unpivoted
+to ``(group, dim, value)`` and reduced with ``stddev_samp`` grouped by dimension: partial
+aggregation per task, and the final merge is spread over the dimensions. (A vector summary --
+``Summarizer``, or ``StandardScaler.fit`` -- ends in one task that merges one K-dimensional
+buffer per map task, which grows with the task count.) The per-dimension results are gathered
+back into one array per group, bounded by the dimension. Several columns are fitted in the
+same scan.
 ``apply_scaler`` attaches the result -- a scalar subquery without groups, else a join on the
 group keys, broadcast when the group count is bounded -- and scales element-wise; a dimension
 with std 0 (constant, or a single row) maps to 0.0.
@@ -13,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..session import sized_broadcast
 
 
@@ -35,17 +38,28 @@ def fit_scaler(df: DataFrame, cols: str | Sequence[str], by: Sequence[str] = (),
     One column: the result column is ``std_col``; several: ``{std_col}_{col}``.
     """
     by, cols = list(by), _as_list(cols)
-    aggs = [
-        vector_to_array(Summarizer.metrics("std").summary(array_to_vector(F.col(c))).getField("std")).alias(
-            _std_name(c, cols, std_col)
-        )
-        for c in cols
-    ]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    names = [_std_name(c, cols, std_col) for c in cols]
+    # one row per (group, dimension) carrying the value of every column at that dimension
+    zipped = F.arrays_zip(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    long = df.select(*by, F.posexplode(zipped).alias("_k", "_z"))
+    per_dim = long.groupBy(*by, "_k").agg(
+        *[F.coalesce(F.stddev_samp(F.col(f"_z._c{i}")), F.lit(0.0)).alias(f"_s{i}") for i in range(len(cols))]
+    )
+    packed = F.array_sort(F.collect_list(F.struct("_k", *[f"_s{i}" for i in range(len(cols))])))
+    gathered = per_dim.groupBy(*by).agg(packed.alias("_p")) if by else per_dim.agg(packed.alias("_p"))
+    return gathered.select(*by, *[F.transform("_p", _field(f"_s{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def _field(name: str):
+    return lambda e: e[name]
 
 
 def _scale(values: Column, std: Column) -> Column:
-    return F.transform(values, lambda v, i: F.when(std[i] != 0.0, v * (F.lit(1.0) / std[i])).otherwise(F.lit(0.0)))
+    # std is bound once (it may be a scalar subquery) and then indexed per element
+    return bind(
+        std,
+        lambda s: F.transform(values, lambda v, i: F.when(s[i] != 0.0, v * (F.lit(1.0) / s[i])).otherwise(F.lit(0.0))),
+    )
 
 
 def apply_scaler(

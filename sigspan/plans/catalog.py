@@ -232,10 +232,9 @@ def q_stride_slice(spark, sf):
 
 
 def _spectral_features(seq: DataFrame, spec: SegmentSpec = TEST) -> DataFrame:
-    """Segment vectors -> ML pipeline (DCT, low pass, scaler fitted on all segments) -> bins."""
-    vec = sp.as_vector(_segment_vectors(seq, spec))
-    model = sp.fit_spectral_pipeline(vec, spec)
-    return sp.apply_spectral_pipeline(model, vec, spec)
+    """Segment vectors -> DCT, low pass, std scaler fitted on all segments -> bins ``(seg, f)``."""
+    scaled = sp.spectrum_scaled(_segment_vectors(seq, spec), spec)
+    return sp.spectral_bins(scaled, "vx", spec.bins, "f").drop("vx")
 
 
 def q_spectral_pipeline(spark, sf):

@@ -71,3 +71,22 @@ def test_grouped_scaler(spark):
     out = sc.standard_scale(df, "v", by=["win"], groups_bound=2)
     s = {(r.win, r.id): r.v[0] for r in out.collect()}
     assert math.isclose(s[(0, 3)], s[(1, 3)])
+
+
+def test_lazy_pipeline_equals_ml_pipeline(spark):
+    from conftest import SF001
+    from sigspan.operators import sequence as sq
+    from sigspan.operators import slices as sl
+    from sigspan.sources.tables import read_signal
+    from sigspan.spec import TEST
+
+    seq = sq.sequence_signal(read_signal(spark, SF001), TEST)
+    vec = sl.concat_slices(sl.segment_slices(seq, TEST))
+    model = sp.fit_spectral_pipeline(sp.as_vector(vec), TEST)
+    a = {r.seg: r.f for r in sp.apply_spectral_pipeline(model, sp.as_vector(vec), TEST).collect()}
+    lazy = sp.spectral_bins(sp.spectrum_scaled(vec, TEST), "vx", TEST.bins, "f")
+    b = {r.seg: r.f for r in lazy.collect()}
+    assert a.keys() == b.keys() and len(a) == 10
+    for k in a:
+        assert len(a[k]) == 99
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(a[k], b[k]))
