@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import stride
+from ..session import checkpoint_dir
 from ..spec import SegmentSpec
 
 
@@ -31,16 +32,28 @@ def scale_target(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("scaled", F.col(label) / m).withColumn("back", F.col("scaled") * m)
 
 
-def fit_regressor(train: DataFrame, kind: str = "gbt", features: str = "features", label: str = "label", seed: int = 7):
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder: cuts the lineage before iterative fits."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fit_regressor(
+    train: DataFrame, kind: str = "gbt", features: str = "features", label: str = "label", seed: int = 7, cut_lineage: bool = True
+):
     """Fit a regressor on ``features`` (array or vector) -> ``label``.
 
     ``gbt``: gradient-boosted trees with absolute loss (MAE, as the reference's training loss);
-    ``linear``: least squares, deterministic.
+    ``linear``: least squares, deterministic. The fit runs several jobs over the training rows
+    (one row per segment), so with ``cut_lineage`` they are checkpointed first instead of
+    recomputing the feature pipeline in every job.
     """
     data = train.withColumn("_fv", array_to_vector(F.col(features))) if dict(train.dtypes)[features].startswith("array") else train.withColumn("_fv", F.col(features))
-    data = data.where(F.col(label).isNotNull())
+    data = data.where(F.col(label).isNotNull()).select("_fv", label)
+    if cut_lineage:
+        data = materialize(data)
     if kind == "gbt":
-        est = GBTRegressor(featuresCol="_fv", labelCol=label, lossType="absolute", maxIter=20, maxDepth=3, seed=seed)
+        est = GBTRegressor(featuresCol="_fv", labelCol=label, lossType="absolute", maxIter=10, maxDepth=3, seed=seed)
     elif kind == "linear":
         est = LinearRegression(featuresCol="_fv", labelCol=label, regParam=0.0, solver="normal")
     else:

@@ -346,7 +346,8 @@ def _model_frames(spark, sf):
     feats = sp.band_slice(_spectral_features(seq, spec), "f", spec)
     labels = lab.segment_label(seq, spec)
     ts = mdl.training_set(feats, labels, spec).join(split, "seg")
-    return ts.withColumn("set_name", F.when(F.col("set") == 0, F.lit("train")).otherwise(F.lit("holdout")))
+    named = ts.withColumn("set_name", F.when(F.col("set") == 0, F.lit("train")).otherwise(F.lit("holdout")))
+    return mdl.materialize(named)  # one row per segment; fit and scoring reuse it
 
 
 def q_mae_metric(spark, sf):
@@ -361,13 +362,13 @@ def q_mae_metric(spark, sf):
 def q_regression_fit(spark, sf):
     ts = _model_frames(spark, sf)
     train = ts.where(F.col("set") == 0)
-    model = mdl.fit_regressor(train, "linear")
+    model = mdl.fit_regressor(train, "linear", cut_lineage=False)
     return finalize(train.agg(F.count(F.lit(1)).alias("n_train")).withColumn("n_features", F.lit(model.numFeatures)))
 
 
 def q_regression_predict(spark, sf):
     ts = _model_frames(spark, sf)
-    model = mdl.fit_regressor(ts.where(F.col("set") == 0), "gbt")
+    model = mdl.fit_regressor(ts.where(F.col("set") == 0), "gbt", cut_lineage=False)
     pred = mdl.predict(model, ts)
     return finalize(pred.select("seg", "set_name", "label", "prediction"))
 

@@ -388,6 +388,10 @@ def build() -> dict[str, str]:
         f"SELECT CASE WHEN is_test = 0 THEN 'train' ELSE 'holdout' END AS set_name, {r6('avg(abs(y - pred))')} AS mae, "
         f"{r6('avg((y - pred) * (y - pred))')} AS mse FROM lab, base GROUP BY 1"
     )
+    q["regression_fit"] = (
+        msplit
+        + f" SELECT count(*) AS n_train, CAST({SMOKE.n_features} AS BIGINT) AS n_features FROM t WHERE no = {M} AND seg < n_train"
+    )
     q["submission_join"] = (
         msplit
         + f", base AS (SELECT avg(y) AS pred FROM t WHERE no = {M} AND seg < n_train) "
