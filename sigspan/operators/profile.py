@@ -113,3 +113,24 @@ def bucket_vectors(profile: DataFrame, columns: Sequence[str] = ("x_avg", "x_p02
 
 def _field(name: str):
     return lambda e: e[name]
+
+
+def assemble(df: DataFrame, cols: Sequence[str], out: str = "stat", handle_invalid: str = "error") -> DataFrame:
+    """Scalar columns -> one ``array<double>`` in column order.
+
+    ``handle_invalid``: ``error`` fails on a NULL (like a vector assembler's default), ``keep``
+    stores NULL as NaN, ``skip`` drops the row.
+    """
+    vals = [F.col(c).cast("double") for c in cols]
+    any_null = F.lit(False)
+    for v in vals:
+        any_null = any_null | v.isNull()
+    if handle_invalid == "error":
+        arr = F.when(any_null, F.raise_error(F.lit(f"NULL in one of {list(cols)}"))).otherwise(F.array(*vals))
+        return df.withColumn(out, arr)
+    if handle_invalid == "keep":
+        return df.withColumn(out, F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in vals]))
+    if handle_invalid == "skip":
+        return df.where(~any_null).withColumn(out, F.array(*vals))
+    raise ValueError("handle_invalid must be error, keep or skip")
+

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..spec import SegmentSpec
 
 
@@ -78,9 +79,16 @@ def join_slices(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
     return out
 
 
-def segment_samples(seq: DataFrame, value: str = "x") -> DataFrame:
-    """``(seg, _s array<struct<no, v>>)`` ordered by position; one row per segment."""
-    return seq.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("no", F.col(value).alias("v")))).alias("_s"))
+def segment_samples(seq: DataFrame, value: str = "x", max_len: int | None = None) -> DataFrame:
+    """``(seg, _s array<struct<no, v>>)`` ordered by position; one row per segment.
+
+    With ``max_len`` a position beyond it fails the job instead of growing one group without
+    bound (e.g. a segment file far longer than the segment length).
+    """
+    no = F.col("no")
+    if max_len is not None:
+        no = F.when(no > max_len, F.raise_error(F.lit(f"segment longer than {max_len} samples"))).otherwise(no)
+    return seq.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), F.col(value).alias("v")))).alias("_s"))
 
 
 def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete_only: bool = True) -> DataFrame:
@@ -89,15 +97,20 @@ def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete
     With ``complete_only`` segments lacking any slice are dropped.
     """
     s, n = spec.slice_len, spec.n_slices
-    if spec.boundary == "inclusive":
-        lo = lambda i: i * s
-        inside = lambda e, i: (e["no"] >= lo(i)) & (e["no"] <= lo(i) + s)
-    else:
-        inside = lambda e, i: (e["no"] > i * s) & (e["no"] <= i * s + s)
-    samples = segment_samples(seq, value)
-    slices = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.transform(F.filter("_s", lambda e: inside(e, i)), lambda e: e["v"]),
+    first = 0 if spec.boundary == "inclusive" else 1  # first position of slice i is i*s + first
+    samples = segment_samples(seq, value, max_len=spec.length)
+    values = F.transform("_s", lambda e: e["v"])
+    size = F.size("_s")
+    # positions 1..m without gaps (a sequenced signal, a whole file): slice i is one positional cut
+    contiguous = (F.col("_s")[0]["no"] == 1) & (F.element_at("_s", -1)["no"] == size)
+
+    def pick(i):
+        lo = i * s + first
+        return F.transform(F.filter("_s", lambda e: (e["no"] >= lo) & (e["no"] <= (i + 1) * s)), lambda e: e["v"])
+
+    idx = F.sequence(F.lit(0), F.lit(n - 1))
+    slices = F.when(contiguous, bind(values, lambda vals: F.transform(idx, lambda i: _cut(vals, i, s, first, size)))).otherwise(
+        F.transform(idx, pick)
     )
     out = samples.select("seg", slices.alias("slices"))
     if complete_only:
@@ -105,6 +118,12 @@ def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete
     return out
 
 
+def _cut(values: Column, i: Column, s: int, first: int, size: Column) -> Column:
+    start = F.greatest(i * s + first, F.lit(1))
+    end = F.least((i + 1) * s, size)
+    return F.slice(values, start, F.greatest(end - start + 1, F.lit(0)))
+
+
 def slice_vectors(seg_slices: DataFrame) -> DataFrame:
     """Long form of slice vectors: ``(seg, slice, vx)``."""
     return seg_slices.select("seg", F.posexplode("slices").alias("slice", "vx"))

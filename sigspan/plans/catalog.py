@@ -131,7 +131,7 @@ def q_bucket_features(spark, sf):
 def _profile_vector(spark, sf):
     stats = [s[0] for s in PROFILE_20]
     p = prof.segment_profile(seq_of(spark, sf), "moments")
-    return p.select("seg", F.array(*stats).alias("stat"))
+    return prof.assemble(p, stats, "stat", handle_invalid="keep").select("seg", "stat")
 
 
 def q_profile_vector(spark, sf):

@@ -50,3 +50,47 @@ def test_bucket_vectors_ordered(spark):
     ).withColumn("xa_p95", F.col("x_avg"))
     v = prof.bucket_vectors(df).first()
     assert v.stx1 == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_sql_profile_equals_dataframe_profile(spark):
+    from sigspan.sources.views import profile_sql
+
+    seq = sq.sequence_signal(read_signal(spark, SF001), TEST)
+    a = prof.segment_profile(seq, "tails")
+    b = profile_sql(spark, seq, "tails")
+    ra = {r.seg: r for r in a.collect()}
+    rb = {r.seg: r for r in b.collect()}
+    assert ra.keys() == rb.keys()
+    for k in ra:
+        for c in a.columns:
+            assert math.isclose(ra[k][c], rb[k][c], rel_tol=1e-12), (k, c)
+
+
+def test_register_views(spark):
+    from conftest import SF0001
+    from sigspan.sources.views import register_views
+
+    names = register_views(spark, SF0001, ["events", "lineitem"])
+    assert names == ["events", "lineitem"]
+    assert spark.sql("SELECT count(*) AS n FROM events").first().n == 1000
+
+
+def test_assemble_null_policies(spark):
+    import pytest
+
+    df = frame(spark, [(1, 1.0, None), (2, 2.0, 3.0)], "seg long, a double, b double")
+    keep = {r.seg: r.stat for r in prof.assemble(df, ["a", "b"], handle_invalid="keep").collect()}
+    assert keep[2] == [2.0, 3.0] and math.isnan(keep[1][1])
+    assert [r.seg for r in prof.assemble(df, ["a", "b"], handle_invalid="skip").collect()] == [2]
+    with pytest.raises(Exception):
+        prof.assemble(df, ["a", "b"]).collect()
+
+
+def test_segment_longer_than_spec_fails(spark):
+    import pytest
+    from sigspan.operators import slices as sl
+    from sigspan.spec import SMOKE
+
+    df = frame(spark, [(0, n, float(n)) for n in range(1, 150)], "seg long, no int, x double")
+    with pytest.raises(Exception):
+        sl.segment_slices(df, SMOKE).collect()

@@ -58,3 +58,12 @@ def test_shuffled_input_same_vectors(spark):
     shuffled = seq.repartition(5).sortWithinPartitions(F.rand(1))
     b = sorted((r.seg, tuple(r.vx)) for r in sl.concat_slices(sl.segment_slices(shuffled, SMOKE)).collect())
     assert a == b
+
+
+def test_gap_in_positions_uses_filter_path(spark):
+    rows = [(0, n, float(n)) for n in range(1, 101) if n != 55] + [(1, n, float(n)) for n in range(1, 101)]
+    df = frame(spark, rows, "seg long, no int, x double")
+    out = {r.seg: r.slices for r in sl.segment_slices(df, SMOKE).collect()}
+    assert out[0][5] == [float(n) for n in range(50, 61) if n != 55]
+    assert out[1][5] == [float(n) for n in range(50, 61)]
+    assert out[0][0] == [float(n) for n in range(1, 11)] and out[1][9] == [float(n) for n in range(90, 101)]
