@@ -73,7 +73,9 @@ def row_index(
     """Dense ``row_number()`` over ``order_by`` (1-based), optionally restarted per ``partition_by``.
 
     Equals ``row_number() OVER ([PARTITION BY p] ORDER BY o)``; the order key should be unique
-    (add a tie-breaker) so that the numbering is deterministic.
+    (add a tie-breaker) so that the numbering is deterministic. The sort uses ``num_partitions``
+    range partitions, by default the session's ``spark.sql.shuffle.partitions`` (a fixed count:
+    letting AQE merge ranges would put a small input into a single task).
     """
     part = list(partition_by)
     keys = _cols([*part, *order_by])
