@@ -81,13 +81,14 @@ def apply_scaler(
     names = [_std_name(c, cols, std_col) for c in cols]
     if by:
         small = sized_broadcast(stds.select(*by, F.struct(*names).alias("_std")), groups_bound)
-        joined = df.join(small, by)
+        src, std = df.join(small, by), F.col("_std")
     else:
-        # one row: attached as a scalar subquery, evaluated once for the whole query
-        joined = df.withColumn("_std", stds.select(F.struct(*names)).scalar())
-    for c, o, n in zip(cols, outs, names):
-        joined = joined.withColumn(o, _scale(F.col(c), F.col("_std")[n]))
-    return joined.drop("_std")
+        # one row: a scalar subquery, evaluated once for the whole query (its own column: a
+        # subquery may not appear inside a higher-order function)
+        src, std = df.withColumn("_std", stds.select(F.struct(*names)).scalar()), F.col("_std")
+    scaled = {o: _scale(F.col(c), std[n]).alias(o) for c, o, n in zip(cols, outs, names)}
+    keep = [F.col(f"`{c}`") for c in src.columns if c not in scaled and c != "_std"]
+    return src.select(*keep, *scaled.values())
 
 
 def standard_scale(

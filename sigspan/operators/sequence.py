@@ -85,7 +85,8 @@ def row_index(
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
         out = tagged.join(sized_broadcast(offsets, n), "_pid")
-        return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_pid", "_pos", "_off")
+        keep = [F.col(f"`{c}`") for c in df.columns if c != name]
+        return out.select(*keep, (F.col("_off") + F.col("_pos") + 1).alias(name))
 
     # one row per (range partition, group): at most #groups + #partitions rows
     per_part = tagged.groupBy("_pid", *part).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -95,9 +96,8 @@ def row_index(
     group_first = starts.groupBy(*part).agg(F.min("_g0").alias("_gstart"))
     pair_start = starts.select("_pid", *part, "_off").join(group_first, part)
     out = tagged.join(pair_start, ["_pid", *part])
-    return out.withColumn(name, F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).drop(
-        "_pid", "_pos", "_off", "_gstart"
-    )
+    keep = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return out.select(*keep, (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
 
 
 def file_order_index(
@@ -128,8 +128,11 @@ def file_order_index(
 def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataFrame:
     """Fixed-length segments of a dense 1-based index: ``seg = (idx-1) div L``, ``no = (idx-1) % L + 1``."""
     L = spec.length
-    return df.withColumn("seg", F.expr(f"(`{idx}` - 1) div {L}").cast("long")).withColumn(
-        "no", ((F.col(idx) - 1) % F.lit(L) + 1).cast("int")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("seg", "no")]
+    return df.select(
+        *keep,
+        F.expr(f"(`{idx}` - 1) div {L}").cast("long").alias("seg"),
+        ((F.col(idx) - 1) % F.lit(L) + 1).cast("int").alias("no"),
     )
 
 

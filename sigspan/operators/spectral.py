@@ -31,7 +31,8 @@ def dct(df: DataFrame, col: str, out: str | None = None, keep: int | None = None
     coeffs = vector_to_array(F.col(tmp_out))
     if keep is not None:
         coeffs = checked_prefix(coeffs, keep, "spectrum")
-    return res.drop(tmp_in).withColumn(out, coeffs).drop(tmp_out)
+    keep_cols = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return res.select(*keep_cols, coeffs.alias(out))
 
 
 def low_pass(col: str, keep: int):
@@ -58,7 +59,7 @@ def spectrum_scaled(
     spec_df = dct(vectors, col, "_spec", keep=spec.dct_keep)
     fit_src = dct(fit_on, col, "_spec", keep=spec.dct_keep) if fit_on is not None else spec_df
     stds = fit_scaler(fit_src, "_spec")
-    return apply_scaler(spec_df, "_spec", stds, out).drop(*([col] if col != out else [])).drop("_spec")
+    return apply_scaler(spec_df, "_spec", stds, out).drop(*{col, "_spec"} - {out})
 
 
 def fit_spectral_pipeline(train: DataFrame, spec: SegmentSpec, col: str = "vx") -> PipelineModel:
