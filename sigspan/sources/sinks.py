@@ -47,11 +47,11 @@ def submission_text(df: DataFrame, value: str = "time_to_failure", decimals: int
     return df.withColumn(value, F.format_string(f"%.{decimals}f", F.col(value)))
 
 
-def write_submission(df: DataFrame, path: str, order_by: str = "pos", single_file: bool = True) -> str:
+def write_submission(df: DataFrame, path: str, order_by: str = "pos", single_file: bool = False) -> str:
     """Result CSV with header ``seg_id,time_to_failure`` (20 decimals), rows in manifest order.
 
-    One file only for a small export: a range sort followed by ``coalesce(1)`` keeps the order
-    without a one-partition shuffle of the sort itself.
+    By default a range sort writes ordered part files (part 0 holds the first positions).
+    ``single_file`` adds ``coalesce(1)`` for a small export: one task then sorts and writes all.
     """
     out = submission_text(df).orderBy(order_by).select("seg_id", "time_to_failure")
     if single_file:

@@ -4,8 +4,9 @@ New per-segment CSV files arriving in a directory are picked up in micro-batches
 ``files_per_batch`` files (the reference ingests test files 20 at a time and appends each batch
 to one table). A file is never split across micro-batches, so every batch numbers the rows of
 its files completely (``no`` per file, no shuffle of the samples), matches them to the manifest
-and appends to the stage table. The stream checkpoint makes the ingest restartable: a rerun
-after a failure continues with the files not yet committed, instead of failing on leftovers.
+and writes its own ``batch=<epoch>`` folder of the stage table. The stream checkpoint makes the
+ingest restartable: a rerun after a failure continues with the files not yet committed, and a
+replayed batch overwrites its folder, so no rows are written twice.
 """
 
 from __future__ import annotations
@@ -60,7 +61,10 @@ def start_segment_stream(
     man = manifest.cache()  # one row per expected file
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        segment_batch(batch, man, name_col).write.mode("append").parquet(out_path)
+        # one folder per micro-batch, overwritten on replay: a batch re-run after a failure
+        # replaces its own output instead of appending it twice
+        target = f"{out_path.rstrip('/')}/batch={epoch_id}"
+        segment_batch(batch, man, name_col).write.mode("overwrite").parquet(target)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -80,4 +84,9 @@ def ingest_segment_files(
         spark, src_dir, manifest, out_path, out_path.rstrip("/") + "-checkpoint", files_per_batch, name_col
     )
     query.awaitTermination()
-    return spark.read.parquet(out_path)
+    return read_ingested(spark, out_path)
+
+
+def read_ingested(spark: SparkSession, out_path: str) -> DataFrame:
+    """The stage table written by the ingest (all micro-batch folders)."""
+    return spark.read.parquet(out_path).drop("batch")
