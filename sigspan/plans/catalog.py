@@ -45,7 +45,7 @@ def finalize(df: DataFrame, decimals: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), decimals)
+            c = F.round(c.cast("double"), decimals) + F.lit(0.0)  # no negative zero
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

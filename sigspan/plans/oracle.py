@@ -27,7 +27,8 @@ def with_sig(L: int, *more: str) -> str:
 
 
 def r6(e: str) -> str:
-    return f"round(CAST({e} AS DOUBLE), 6)"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as on the Spark side
+    return f"(round(CAST({e} AS DOUBLE), 6) + 0.0)"
 
 
 def _slice_cond(spec: SegmentSpec, slice_col: str = "r.slice", no: str = "s.no") -> str:
