@@ -119,4 +119,15 @@ TAIL = SegmentSpec(
     bucket=50,
 )
 
-PRESETS = {"REFERENCE": REFERENCE, "TEST": TEST, "SMOKE": SMOKE, "TAIL": TAIL}
+# Wide rows on small tables: segments of 50 000 samples (bench only; same shapes scaled down by 3).
+LONG = SegmentSpec(
+    length=50_000,
+    slice_len=5_000,
+    dct_keep=20_000,
+    bins=BinSpec(99, 200, 400, 400.0),
+    win_dct_keep=6_000,
+    win_bins=BinSpec(99, 60, 120, 60.0),
+    bucket=1000,
+)
+
+PRESETS = {"REFERENCE": REFERENCE, "TEST": TEST, "SMOKE": SMOKE, "TAIL": TAIL, "LONG": LONG}
