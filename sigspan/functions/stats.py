@@ -76,10 +76,14 @@ _SIMPLE = {
 }
 
 
-def profile_aggs(stats: list[tuple], sources: dict[str, Column]) -> tuple[list[Column], list[Column]]:
+def profile_aggs(
+    stats: list[tuple], sources: dict[str, Column], approx_accuracy: int | None = None
+) -> tuple[list[Column], list[Column]]:
     """Aggregate expressions and the projection that names every statistic.
 
     Returns ``(aggs, names)``: ``aggs`` go into ``agg(...)``, ``names`` into a following ``select``.
+    Percentiles are exact (interpolated) unless ``approx_accuracy`` is given, which switches to
+    ``percentile_approx`` (a bounded sketch per group, no interpolation).
     """
     aggs: list[Column] = []
     names: list[Column] = []
@@ -90,7 +94,12 @@ def profile_aggs(stats: list[tuple], sources: dict[str, Column]) -> tuple[list[C
             if arg not in levels[src]:
                 levels[src].append(arg)
     for src, ps in levels.items():
-        aggs.append(F.percentile(sources[src], F.array(*[F.lit(p) for p in ps])).alias(f"_pct_{src}"))
+        arr = F.array(*[F.lit(p) for p in ps])
+        if approx_accuracy is None:
+            pct = F.percentile(sources[src], arr)
+        else:
+            pct = F.percentile_approx(sources[src], arr, approx_accuracy)
+        aggs.append(pct.alias(f"_pct_{src}"))
     for name, kind, src, arg in stats:
         if kind == "pct":
             pos = levels[src].index(arg) + 1

@@ -22,22 +22,30 @@ def _sources(value: str):
     return {"x": F.col(value), "xa": F.abs(F.col(value))}
 
 
-def grouped_profile(df: DataFrame, keys: Sequence[str], stats: list[tuple], value: str = "x") -> DataFrame:
-    aggs, names = profile_aggs(stats, _sources(value))
+def grouped_profile(
+    df: DataFrame, keys: Sequence[str], stats: list[tuple], value: str = "x", approx_accuracy: int | None = None
+) -> DataFrame:
+    aggs, names = profile_aggs(stats, _sources(value), approx_accuracy)
     return df.groupBy(*keys).agg(*aggs).select(*keys, *names)
 
 
-def segment_profile(seq: DataFrame, kind: str = "moments", keys: Sequence[str] = ("seg",), value: str = "x") -> DataFrame:
+def segment_profile(
+    seq: DataFrame,
+    kind: str = "moments",
+    keys: Sequence[str] = ("seg",),
+    value: str = "x",
+    approx_accuracy: int | None = None,
+) -> DataFrame:
     """Per-segment profile: ``moments`` (20 statistics) or ``tails`` (14 statistics).
 
     Both profiles of one set can be requested together with ``kind="both"``; they then share
-    one scan and one aggregation.
+    one scan and one aggregation. ``approx_accuracy`` opts into approximate percentiles.
     """
     if kind == "both":
         stats = PROFILES["moments"] + [s for s in PROFILES["tails"] if s[0] not in {t[0] for t in PROFILES["moments"]}]
     else:
         stats = PROFILES[kind]
-    return grouped_profile(seq, list(keys), stats, value)
+    return grouped_profile(seq, list(keys), stats, value, approx_accuracy)
 
 
 def moments_profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

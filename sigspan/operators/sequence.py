@@ -136,9 +136,17 @@ def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataF
     )
 
 
-def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid")) -> DataFrame:
-    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order."""
-    indexed = row_index(sig, list(order_by))
+def sequence_signal(
+    sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid"), checkpoint: bool = True
+) -> DataFrame:
+    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order.
+
+    ``checkpoint=False`` skips materialising the sorted input. Both passes then plan their own
+    range shuffle, which agree only when the input is a deterministic scan (same rows, same
+    order, so the same sampled bounds): a pipeline that writes the sequenced stage straight from
+    the source files saves one write and read of the signal that way.
+    """
+    indexed = row_index(sig, list(order_by), checkpoint=checkpoint)
     return assign_segments(indexed, spec).select("uid", "idx", "seg", "no", "x", "y")
 
 

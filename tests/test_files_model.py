@@ -69,3 +69,17 @@ def test_stream_ingest_equals_batch_reader_and_restarts_cleanly(spark):
     q2 = start_segment_stream(spark, data_dir, manifest, out, ck, files_per_batch=1)
     q2.awaitTermination()
     assert read_ingested(spark, out).count() == batch.count()
+
+
+def test_write_stage_modes(spark):
+    import pytest
+
+    df = frame(spark, [(1, 2.0)], "seg long, x double")
+    path = scratch_path(spark, "t-modes")
+    sk.write_stage(df, path, mode="errorifexists")
+    with pytest.raises(Exception):
+        sk.write_stage(df, path, mode="errorifexists")
+    sk.write_stage(df, path, mode="append")
+    assert spark.read.parquet(path).count() == 2
+    sk.write_stage(df, path, mode="overwrite", partition_by=["seg"], sort_by=["seg", "x"])
+    assert spark.read.parquet(path).count() == 1

@@ -94,3 +94,11 @@ def test_segment_longer_than_spec_fails(spark):
     df = frame(spark, [(0, n, float(n)) for n in range(1, 150)], "seg long, no int, x double")
     with pytest.raises(Exception):
         sl.segment_slices(df, SMOKE).collect()
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    seq = sq.sequence_signal(read_signal(spark, SF001), TEST)
+    exact = {r.seg: r.x_p5 for r in prof.segment_profile(seq, "moments").collect()}
+    approx = {r.seg: r.x_p5 for r in prof.segment_profile(seq, "moments", approx_accuracy=100000).collect()}
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= 1.0
