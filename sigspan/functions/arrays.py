@@ -21,6 +21,14 @@ def bind(col: str | Column, fn) -> Column:
     return F.transform(F.array(_c(col)), fn)[0]
 
 
+def field(name: str):
+    """Lambda ``e -> e.name`` for ``transform`` over an array of structs.
+
+    A one-argument closure: a two-argument lambda would be taken as ``(element, index)``.
+    """
+    return lambda e: e[name]
+
+
 def checked_prefix(col: str | Column, n: int, what: str = "array") -> Column:
     """The first ``n`` elements; fails (like a vector slicer) when fewer are present."""
     msg = F.lit(f"{what} shorter than {n} elements")

@@ -29,7 +29,8 @@ def training_set(features: DataFrame, labels: DataFrame, spec: SegmentSpec, col:
 def scale_target(df: DataFrame, label: str = "label") -> DataFrame:
     """``scaled = label / max(label)`` and ``back = scaled * max(label)``; the max is a scalar subquery."""
     m = df.agg(F.max(label)).scalar()
-    return df.withColumn("scaled", F.col(label) / m).withColumn("back", F.col("scaled") * m)
+    scaled = F.when(m != 0, F.col(label) / m)  # NULL rather than a division by zero (ANSI mode)
+    return df.withColumn("scaled", scaled).withColumn("back", F.col("scaled") * m)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import field
 from ..functions.stats import PROFILES, QUANTILE_LEVELS, profile_aggs
 from ..spec import SegmentSpec
 from .sequence import row_index
@@ -116,12 +117,9 @@ def bucket_vectors(profile: DataFrame, columns: Sequence[str] = ("x_avg", "x_p02
     """
     cols = list(columns)
     packed = profile.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("seq", *cols))).alias("_b"))
-    return packed.select("seg", *[F.transform("_b", _field(c)).alias(f"stx{i + 1}") for i, c in enumerate(cols)])
+    return packed.select("seg", *[F.transform("_b", field(c)).alias(f"stx{i + 1}") for i, c in enumerate(cols)])
 
 
-def _field(name: str):
-    return lambda e: e[name]
-
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "stat", handle_invalid: str = "error") -> DataFrame:
     """Scalar columns -> one ``array<double>`` in column order.

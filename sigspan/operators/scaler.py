@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bind
+from ..functions.arrays import bind, field
 from ..session import sized_broadcast
 
 
@@ -47,12 +47,9 @@ def fit_scaler(df: DataFrame, cols: str | Sequence[str], by: Sequence[str] = (),
     )
     packed = F.array_sort(F.collect_list(F.struct("_k", *[f"_s{i}" for i in range(len(cols))])))
     gathered = per_dim.groupBy(*by).agg(packed.alias("_p")) if by else per_dim.agg(packed.alias("_p"))
-    return gathered.select(*by, *[F.transform("_p", _field(f"_s{i}")).alias(n) for i, n in enumerate(names)])
+    return gathered.select(*by, *[F.transform("_p", field(f"_s{i}")).alias(n) for i, n in enumerate(names)])
 
 
-def _field(name: str):
-    return lambda e: e[name]
-
 
 def _scale(values: Column, std: Column) -> Column:
     # std is bound once (it may be a scalar subquery) and then indexed per element

@@ -22,7 +22,7 @@ from ..operators import sequence as sq
 from ..operators import slices as sl
 from ..operators import spectral as sp
 from ..functions.arrays import band, overlapped_bins, stride
-from ..functions.stats import PROFILE_14, PROFILE_20
+from ..functions.stats import PROFILE_20
 from ..session import scratch_path
 from ..sources import files as fl
 from ..sources import sinks as sk
