@@ -90,9 +90,15 @@ def exact_quantiles_distributed(
         .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
         .withColumn("_frac", F.col("_h") - F.floor("_h"))
     )
-    lo = ranked.select(*keys, F.col("_r").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = ranked.select(*keys, F.col("_r").alias("_hi"), F.col(value).alias("_vhi"))
-    out = wanted.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
+    # both order statistics of every level in one equi-join on (keys, rank)
+    sides = F.array(F.struct(F.col("_lo").alias("_r"), F.lit(0).alias("_side")), F.struct(F.col("_hi").alias("_r"), F.lit(1).alias("_side")))
+    need = wanted.select(*keys, "p", "_frac", F.explode(sides).alias("_w")).select(*keys, "p", "_frac", "_w._r", "_w._side")
+    picked = need.join(ranked.select(*keys, "_r", F.col(value).alias("_v")), [*keys, "_r"])
+    out = picked.groupBy(*keys, "p").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
+        F.max("_frac").alias("_frac"),
+    )
     q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
     q = F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(q)
     return out.select(*keys, "p", q.alias("q"))

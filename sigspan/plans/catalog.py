@@ -96,6 +96,12 @@ def q_moments_profile(spark, sf):
     return finalize(prof.moments_profile(li, ["l_suppkey"], "l_extendedprice"))
 
 
+def q_supplier_quantiles(spark, sf):
+    """Exact percentiles per supplier: groups without a size bound, ranked by the distributed index."""
+    li = read_table(spark, sf, "lineitem")
+    return finalize(prof.exact_quantiles_distributed(li, ["l_suppkey"], "l_extendedprice"))
+
+
 def q_segment_quantiles(spark, sf):
     return finalize(prof.quantile_profile(seq_of(spark, sf), ["seg"], "x"))
 
@@ -405,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "global_max": q_global_max,
     "moments_profile": q_moments_profile,
     "segment_quantiles": q_segment_quantiles,
+    "supplier_quantiles": q_supplier_quantiles,
     "segment_profile_20": q_segment_profile_20,
     "segment_profile_14": q_segment_profile_14,
     "bucket_profile": q_bucket_profile,
