@@ -76,6 +76,10 @@ def row_index(
     (add a tie-breaker) so that the numbering is deterministic. The sort uses ``num_partitions``
     range partitions, by default the session's ``spark.sql.shuffle.partitions`` (a fixed count:
     letting AQE merge ranges would put a small input into a single task).
+
+    ``checkpoint=False`` is for tests only: the counting pass and the numbering pass then plan
+    two range shuffles (column pruning makes them differ), and Spark's range sampler re-samples
+    imbalanced partitions with a seed derived from the RDD id, so their bounds may disagree.
     """
     part = list(partition_by)
     keys = _cols([*part, *order_by])
@@ -136,17 +140,9 @@ def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataF
     )
 
 
-def sequence_signal(
-    sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid"), checkpoint: bool = True
-) -> DataFrame:
-    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order.
-
-    ``checkpoint=False`` skips materialising the sorted input. Both passes then plan their own
-    range shuffle, which agree only when the input is a deterministic scan (same rows, same
-    order, so the same sampled bounds): a pipeline that writes the sequenced stage straight from
-    the source files saves one write and read of the signal that way.
-    """
-    indexed = row_index(sig, list(order_by), checkpoint=checkpoint)
+def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid")) -> DataFrame:
+    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order."""
+    indexed = row_index(sig, list(order_by))
     return assign_segments(indexed, spec).select("uid", "idx", "seg", "no", "x", "y")
 
 
