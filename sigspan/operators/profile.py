@@ -80,7 +80,7 @@ def exact_quantiles_distributed(
     keys are unique per row, so no task ever holds a whole group.
     """
     keys = list(keys)
-    ranked = row_index(df.select(*keys, value).where(F.col(value).isNotNull()), [value], keys, name="_r")
+    ranked = row_index(df.where(F.col(value).isNotNull()), [value], keys, name="_r", keep=[*keys, value])
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     lv = F.array(*[F.lit(float(p)) for p in levels])
     wanted = (

@@ -35,13 +35,16 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _tag_sorted(df: DataFrame, keys: list[Column], num_partitions: int | None, checkpoint: bool) -> tuple[DataFrame, int]:
+def _tag_sorted(
+    df: DataFrame, keys: list[Column], num_partitions: int | None, checkpoint: bool, keep: list[str] | None
+) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
+    cols = [F.col(f"`{c}`") for c in (keep if keep is not None else df.columns)]
     tagged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .select(*cols, F.monotonically_increasing_id().alias("_mid"))
     )
     if checkpoint:
         checkpoint_dir(spark)
@@ -69,11 +72,13 @@ def row_index(
     name: str = "idx",
     num_partitions: int | None = None,
     checkpoint: bool = True,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Dense ``row_number()`` over ``order_by`` (1-based), optionally restarted per ``partition_by``.
 
     Equals ``row_number() OVER ([PARTITION BY p] ORDER BY o)``; the order key should be unique
-    (add a tie-breaker) so that the numbering is deterministic. The sort uses ``num_partitions``
+    (add a tie-breaker) so that the numbering is deterministic. ``keep`` lists the columns to
+    carry (default all): order keys not needed later need not be checkpointed. The sort uses ``num_partitions``
     range partitions, by default the session's ``spark.sql.shuffle.partitions`` (a fixed count:
     letting AQE merge ranges would put a small input into a single task).
 
@@ -83,14 +88,15 @@ def row_index(
     """
     part = list(partition_by)
     keys = _cols([*part, *order_by])
-    tagged, n = _tag_sorted(df, keys, num_partitions, checkpoint)
+    out_cols = list(keep) if keep is not None else [c for c in df.columns if c != name]
+    carried = out_cols + [c for c in part if c not in out_cols]
+    tagged, n = _tag_sorted(df, keys, num_partitions, checkpoint, carried)
 
     if not part:
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
         out = tagged.join(sized_broadcast(offsets, n), "_pid")
-        keep = [F.col(f"`{c}`") for c in df.columns if c != name]
-        return out.select(*keep, (F.col("_off") + F.col("_pos") + 1).alias(name))
+        return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 1).alias(name))
 
     # one row per (range partition, group): at most #groups + #partitions rows
     per_part = tagged.groupBy("_pid", *part).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -100,8 +106,7 @@ def row_index(
     group_first = starts.groupBy(*part).agg(F.min("_g0").alias("_gstart"))
     pair_start = starts.select("_pid", *part, "_off").join(group_first, part)
     out = tagged.join(pair_start, ["_pid", *part])
-    keep = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return out.select(*keep, (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
 
 
 def file_order_index(
@@ -142,7 +147,7 @@ def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataF
 
 def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid")) -> DataFrame:
     """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order."""
-    indexed = row_index(sig, list(order_by))
+    indexed = row_index(sig, list(order_by), keep=["uid", "x", "y"])
     return assign_segments(indexed, spec).select("uid", "idx", "seg", "no", "x", "y")
 
 
