@@ -45,7 +45,7 @@ def fit_regressor(
     """Fit a regressor on ``features`` (array or vector) -> ``label``.
 
     ``gbt``: gradient-boosted trees with absolute loss (MAE, as the reference's training loss);
-    ``linear``: least squares, deterministic. The fit runs several jobs over the training rows
+    ``linear``: least squares, deterministic; ``huber``: robust linear fit, deterministic. The fit runs several jobs over the training rows
     (one row per segment), so with ``cut_lineage`` they are checkpointed first instead of
     recomputing the feature pipeline in every job.
     """
@@ -57,6 +57,9 @@ def fit_regressor(
         est = GBTRegressor(featuresCol="_fv", labelCol=label, lossType="absolute", maxIter=10, maxDepth=3, seed=seed)
     elif kind == "linear":
         est = LinearRegression(featuresCol="_fv", labelCol=label, regParam=0.0, solver="normal")
+    elif kind == "huber":
+        # robust linear fit: squared loss near zero, absolute loss in the tails
+        est = LinearRegression(featuresCol="_fv", labelCol=label, loss="huber", epsilon=1.35, regParam=0.0, maxIter=100)
     else:
         raise ValueError(f"unknown regressor {kind!r}")
     return est.fit(data)

@@ -237,9 +237,15 @@ def q_stride_slice(spark, sf):
     return finalize(_long(emb.select("vec_id", f.alias("f")), ["vec_id"], "f"))
 
 
-def _spectral_features(seq: DataFrame, spec: SegmentSpec = TEST) -> DataFrame:
-    """Segment vectors -> DCT, low pass, std scaler fitted on all segments -> bins ``(seg, f)``."""
-    scaled = sp.spectrum_scaled(_segment_vectors(seq, spec), spec)
+def _spectral_features(seq: DataFrame, spec: SegmentSpec = TEST, fit_segments: DataFrame | None = None) -> DataFrame:
+    """Segment vectors -> DCT, low pass, std scaler -> bins ``(seg, f)``.
+
+    The scaler is fitted on ``fit_segments`` (a ``seg`` list, e.g. the training split) and applied
+    to every segment; without it, on all segments.
+    """
+    vec = _segment_vectors(seq, spec)
+    fit_on = vec.join(fit_segments.select("seg"), "seg", "left_semi") if fit_segments is not None else None
+    scaled = sp.spectrum_scaled(vec, spec, fit_on=fit_on)
     return sp.spectral_bins(scaled, "vx", spec.bins, "f").drop("vx")
 
 
@@ -349,7 +355,8 @@ def _model_frames(spark, sf):
     spec = MODEL_SPEC
     seq = seq_of(spark, sf, spec)
     split = sq.split_train_test(seq, spec).where(F.col("no") == 1).select("seg", "set")
-    feats = sp.band_slice(_spectral_features(seq, spec), "f", spec)
+    # scaler fitted on the training segments, applied to train and hold-out
+    feats = sp.band_slice(_spectral_features(seq, spec, split.where(F.col("set") == 0)), "f", spec)
     labels = lab.segment_label(seq, spec)
     ts = mdl.training_set(feats, labels, spec).join(split, "seg")
     named = ts.withColumn("set_name", F.when(F.col("set") == 0, F.lit("train")).otherwise(F.lit("holdout")))

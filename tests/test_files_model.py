@@ -83,3 +83,12 @@ def test_write_stage_modes(spark):
     assert spark.read.parquet(path).count() == 2
     sk.write_stage(df, path, mode="overwrite", partition_by=["seg"], sort_by=["seg", "x"])
     assert spark.read.parquet(path).count() == 1
+
+
+def test_huber_and_gbt_regressors_run(spark):
+    rows = [(i, [float(i), float(i % 3)], 2.0 * i + 1.0 + (50.0 if i == 7 else 0.0)) for i in range(40)]
+    df = frame(spark, rows, "seg long, features array<double>, label double")
+    huber = mdl.predict(mdl.fit_regressor(df, "huber"), df)
+    assert mdl.error_metrics(huber.where("seg != 7")).first().mae < 0.5
+    gbt = mdl.predict(mdl.fit_regressor(df, "gbt"), df)
+    assert gbt.count() == 40
