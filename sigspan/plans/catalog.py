@@ -277,11 +277,19 @@ def q_window_features(spark, sf):
 
 def q_csv_roundtrip(spark, sf):
     seq = seq_of(spark, sf)
-    path = sk.write_signal_csv(seq.orderBy("idx"), scratch_path(spark, "csv"), ["x", "y"])
+    path = sk.write_signal_csv(seq, scratch_path(spark, "csv"), ["x", "y"], sort_by=["idx"])
     back = fl.read_signal_csv(spark, path)
     return finalize(back.agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")))
 
 
+def q_csv_sequence(spark, sf):
+    """Signal written as time-ordered CSV parts, read back and numbered in file order (no shuffle)."""
+    seq = seq_of(spark, sf)
+    path = sk.write_signal_csv(seq, scratch_path(spark, "csvseq"), ["x", "y"], sort_by=["idx"], num_files=4)
+    indexed = fl.read_signal_csv_indexed(spark, path).withColumnRenamed("uid", "idx")
+    return finalize(sq.assign_segments(indexed, TEST).select("seg", "no", "x", "y"))
+
+
 def _write_segment_files(spark, sf) -> tuple[str, str]:
     """Fixture: one CSV per segment (``name=raw_NNNN`` folders) and a manifest in reversed order."""
     seq = seq_of(spark, sf).withColumn("name", sq.segment_name("seg"))
@@ -446,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_spectral_bins": q_window_spectral_bins,
     "window_features": q_window_features,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_sequence": q_csv_sequence,
     "multi_file_segments": q_multi_file_segments,
     "streamed_segment_files": q_streamed_segment_files,
     "train_test_union": q_train_test_union,

@@ -345,6 +345,9 @@ def build() -> dict[str, str]:
 
     # ---- files and sinks
     q["csv_roundtrip"] = with_sig(L) + f" SELECT {r6('sum(x)')} AS x, {r6('sum(y)')} AS y, count(*) AS n FROM sig"
+    q["csv_sequence"] = (
+        with_sig(L) + f" SELECT CAST(seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no, {r6('x')} AS x, {r6('y')} AS y FROM sig"
+    )
     q["multi_file_segments"] = (
         with_sig(L)
         + " SELECT CAST((SELECT max(seg) FROM sig) - seg AS BIGINT) AS seg, printf('raw_%04d', seg) AS name, "

@@ -33,8 +33,25 @@ def write_stage(
     return path
 
 
-def write_signal_csv(df: DataFrame, path: str, cols: Sequence[str] = ("x", "y"), partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
-    """CSV with a header line, columns in the given order."""
+def write_signal_csv(
+    df: DataFrame,
+    path: str,
+    cols: Sequence[str] = ("x", "y"),
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+    sort_by: Sequence[str] = (),
+    num_files: int | None = None,
+) -> str:
+    """CSV with a header line, columns in the given order.
+
+    ``sort_by`` writes rows in that order: range partitions (``num_files`` of them, else the
+    session's count, which AQE may merge) sorted inside, so part files in name order hold
+    consecutive ranges.
+    """
+    if sort_by:
+        keys = list(sort_by)
+        ranged = df.repartitionByRange(num_files, *keys) if num_files else df.repartitionByRange(*keys)
+        df = ranged.sortWithinPartitions(*keys)
     w = df.select(*cols, *partition_by).write.mode(mode).option("header", True)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -95,3 +95,19 @@ def test_file_order_index_multi_file(spark):
     got = per_file.select("_file", "no", "x").collect()
     assert all(int(r.x) == r.no - 1 for r in got)
     assert len(got) == 340
+
+
+def test_file_order_index_one_file_many_splits(spark):
+    path = scratch_path(spark, "t-splits")
+    rows = [(float(i),) for i in range(5000)]
+    frame(spark, rows, "x double").coalesce(1).write.csv(path, header=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        raw = spark.read.csv(path, header=True, schema="x double")
+        assert raw.rdd.getNumPartitions() > 4
+        got = sq.file_order_index(raw, name="idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 5000
+    assert all(int(r.x) == r.idx - 1 for r in got)
