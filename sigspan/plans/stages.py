@@ -33,8 +33,6 @@ from ..sources import files as fl
 from ..sources import sinks as sk
 from ..spec import SegmentSpec
 
-SEQ_COLS = ["uid", "set", "seg", "no", "name", "x", "y"]
-
 
 def ingest_train(spark: SparkSession, train_csv: str, spec: SegmentSpec) -> DataFrame:
     """Train signal CSV -> ``(uid, set, seg, no, name, x, y)``; ``uid`` = 0-based file position."""
@@ -159,12 +157,9 @@ def run_stages(
     """Run every stage, writing each stage table below ``out_dir``; returns the model result."""
     out = out_dir.rstrip("/")
     manifest = fl.read_manifest(spark, manifest_csv)
-    train = ingest_train(spark, train_csv, spec)
-    sk.write_stage(train, f"{out}/train.parquet", sort_by=["seg", "no"])
-    train = spark.read.parquet(f"{out}/train.parquet")
-    test = ingest_test(spark, test_dir, manifest, train, name_col)
-    sk.write_stage(test, f"{out}/test.parquet", sort_by=["seg", "no"])
-    test = spark.read.parquet(f"{out}/test.parquet")
+    # each set is written once bucketed by segment: every stage below groups by seg shuffle-free
+    train = sk.write_segment_table(ingest_train(spark, train_csv, spec), f"{out}/train.parquet")
+    test = sk.write_segment_table(ingest_test(spark, test_dir, manifest, train, name_col), f"{out}/test.parquet")
 
     f_train, f_test = spectral_features(train, test, spec)
     sk.write_stage(f_train, f"{out}/train.fbin.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,27 @@ def write_stage(
     return path
 
 
+def write_segment_table(df: DataFrame, path: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """Write a sequenced set once, bucketed by ``seg`` and sorted by ``(seg, no)``; return the table.
+
+    The files live at ``path`` and the table is registered in the session catalog, so every
+    later ``groupBy("seg")`` on it (profiles, segment vectors, labels, windows) runs without a
+    shuffle: one exchange at write time instead of one per consumer.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = name or f"sigspan_seg_{uuid.uuid4().hex}"
+    (
+        df.write.mode("overwrite")
+        .bucketBy(n, "seg")
+        .sortBy("seg", "no")
+        .option("path", path)
+        .format("parquet")
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def write_signal_csv(
     df: DataFrame,
     path: str,

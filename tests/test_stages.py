@@ -42,3 +42,15 @@ def test_stages_end_to_end(spark):
     assert metrics == {"train", "holdout"}
     res = spark.read.csv(f"{out}/result", header=True).collect()
     assert [r.seg_id for r in res] == ["raw_0009", "raw_0008"]
+
+
+def test_bucketed_segment_table_groups_without_shuffle(spark):
+    from sigspan.operators import profile as prof
+    from sigspan.operators import slices as sl
+
+    seq = sq.sequence_signal(read_signal(spark, SF001), TEST)
+    table = sk.write_segment_table(seq, scratch_path(spark, "t-bucketed"))
+    for df in (prof.segment_profile(table, "moments"), sl.segment_slices(table, TEST)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        assert df.count() == 10
