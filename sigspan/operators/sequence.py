@@ -29,6 +29,8 @@ from ..spec import SegmentSpec
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
+# offsets rows are two longs (16 bytes): a million partitions still broadcast as 16 MB
+_OFFSETS_BROADCAST_ROWS = 1_000_000
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -95,14 +97,14 @@ def row_index(
     if not part:
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
-        out = tagged.join(sized_broadcast(offsets, n), "_pid")
+        out = tagged.join(sized_broadcast(offsets, n, _OFFSETS_BROADCAST_ROWS), "_pid")
         return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 1).alias(name))
 
     # one row per (range partition, group): at most #groups + #partitions rows
     per_part = tagged.groupBy("_pid", *part).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     counts = per_part.groupBy("_pid").agg(F.sum("_n").alias("_n"))
     offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
-    starts = per_part.join(sized_broadcast(offsets, n), "_pid").withColumn("_g0", F.col("_off") + F.col("_first") + 1)
+    starts = per_part.join(sized_broadcast(offsets, n, _OFFSETS_BROADCAST_ROWS), "_pid").withColumn("_g0", F.col("_off") + F.col("_first") + 1)
     group_first = starts.groupBy(*part).agg(F.min("_g0").alias("_gstart"))
     pair_start = starts.select("_pid", *part, "_off").join(group_first, part)
     out = tagged.join(pair_start, ["_pid", *part])
