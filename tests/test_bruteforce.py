@@ -94,3 +94,21 @@ def test_slice_ids_against_definition(spark, no, boundary):
     if no > spec.length:  # beyond the segment: the own slice number, dropped by slice_membership
         want = [(no - 1) // s]
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50)), min_size=1, max_size=120, unique=True),
+    st.integers(1, 7),
+)
+def test_row_index_against_pandas_rank(spark, pairs, parts):
+    import pandas as pd
+
+    df = frame(spark, pairs, "g int, k int")
+    glob = {r.k_g: r.idx for r in sq.row_index(df.selectExpr("g", "k", "struct(g, k) AS k_g"), ["k", "g"], num_partitions=parts).collect()}
+    pdf = pd.DataFrame(pairs, columns=["g", "k"]).sort_values(["k", "g"]).reset_index(drop=True)
+    want = {(r.g, r.k): i + 1 for i, r in pdf.iterrows()}
+    assert {(kg.g, kg.k): v for kg, v in glob.items()} == want
+    grouped = {(r.g, r.k): r.no for r in sq.row_index(df, ["k"], ["g"], name="no", num_partitions=parts).collect()}
+    pdf["no"] = pdf.groupby("g").cumcount() + 1
+    assert grouped == {(r.g, r.k): r.no for r in pdf.itertuples()}
