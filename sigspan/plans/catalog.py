@@ -412,7 +412,9 @@ def q_submission_join(spark, sf):
 
 
 def q_submission_export(spark, sf):
-    path = sk.write_submission(_submission(spark, sf), scratch_path(spark, "result"))
+    """The result CSV as text; values rounded to 6 first so both engines format the same double."""
+    sub = _submission(spark, sf).withColumn("time_to_failure", F.round("time_to_failure", 6) + F.lit(0.0))
+    path = sk.write_submission(sub, scratch_path(spark, "result"))
     schema = T.StructType([T.StructField("seg_id", T.StringType()), T.StructField("time_to_failure", T.StringType())])
     return spark.read.csv(path, header=True, schema=schema)
 

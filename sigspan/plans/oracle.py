@@ -407,6 +407,12 @@ def build() -> dict[str, str]:
         f"SELECT printf('raw_%04d', seg) AS seg_id, {r6('pred')} AS time_to_failure "
         f"FROM t, base WHERE no = {M} AND seg >= n_train"
     )
+    q["submission_export"] = (
+        msplit
+        + f", base AS (SELECT avg(y) AS pred FROM t WHERE no = {M} AND seg < n_train) "
+        f"SELECT printf('raw_%04d', seg) AS seg_id, printf('%.20f', {r6('pred')}) AS time_to_failure "
+        f"FROM t, base WHERE no = {M} AND seg >= n_train"
+    )
     return q
 
 

