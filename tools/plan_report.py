@@ -67,6 +67,28 @@ def main():
         f.write("| --- | --- | --- | --- | --- | --- | --- | --- |\n")
         for name, s in rows:
             f.write(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {s['reused']} | {s['subqueries']} | {s['scans']} | {s['windows']} | {s['python_udfs']} |\n")
+        f.write(NOTES)
+
+
+NOTES = """
+## How to read the counts
+
+* Every query on the sequenced signal carries two tiny exchanges: the per-partition counts,
+  hashed by partition id and then gathered into one partition for the prefix sum. Both are
+  bounded by the partition count, and so is the broadcast of their result. The range sort
+  that numbers the signal runs in the checkpoint job when the query is built.
+* The full-data exchange is the one keyed by `seg` (segment profiles, segment vectors,
+  window features). Profiles aggregate partially before it.
+* Fitting a scaler (`spectral_pipeline`, `profile_scaled`, `bucket_features`, `scaled_*`) adds
+  a shuffle keyed by dimension for `stddev_samp` and a small gather of one row per dimension.
+  The fit subquery reuses the main branch's segment exchange (the reused column), and each
+  subquery runs once.
+* `supplier_quantiles` and `rank_in_segment` show the skew-safe numbering inside groups: small
+  per-(partition, group) tables, broadcast when AQE measures them small.
+* No plan here contains a Python UDF node. The only one in the library is the sink-side
+  20-decimal formatter (`ArrowEvalPython`, one row per test segment). It runs in the write job
+  of `submission_export`, while the plan summarised above is that query's read-back.
+"""
 
 
 if __name__ == "__main__":
