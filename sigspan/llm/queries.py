@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, pages, quality, toxicity
+from . import curves, licenses, mixing, pages, quality, toxicity, vectors
 
-_MODULES = (licenses, mixing, pages, quality, toxicity)
+_MODULES = (curves, licenses, mixing, pages, quality, toxicity, vectors)
 QUERIES = {k: getattr(m, k) for m in _MODULES for k in vars(m) if k.startswith("op") and k[2:3].isdigit()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in getattr(m, "SQL", {}).items()}
