@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Words, batch, chunks, read
 
 PASSAGE = 64
-TRAIN_DOCS = 6000
-HIDDEN, GATES, STEPS, RATE, PENALTY, SEED = 16, 8, 400, 0.02, 1e-3, 7
+TRAIN_DOCS = 3000
+HIDDEN, GATES, STEPS, RATE, PENALTY, SEED = 16, 8, 200, 0.03, 1e-4, 7
 THRESHOLD = 0.3
 FEATURES = (
     "log_words", "mean_length", "spread_length", "upper", "digit", "symbol", "bar", "exclamation", "stop", "non_ascii",
@@ -152,7 +152,7 @@ class GatedAttention:
             dp = dh * (1 - f["h"] ** 2)
             g = {"W": f["x"].T @ dp, "b": dp.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ dy, "c": np.array([dy.sum()])}
             for k in p:
-                d = g[k] + PENALTY / 10 * p[k]
+                d = g[k] + PENALTY * p[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * d
                 m2[k] = 0.99 * m2[k] + 0.01 * d * d
                 p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
