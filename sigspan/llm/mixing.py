@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-WEIGHTS, SHARE, CAP, BLOCK, SHARD_DOCS, SEED = (3, 1, 2), 1.5, 2, 64, 20_000, "mix-1"
+WEIGHTS, SHARE, CAP, BLOCK, SHARD_DOCS, SEED = (3, 1, 2), 1.5, 2, 64, 4_000, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
