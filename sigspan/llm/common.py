@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _U = np.uint64
 
 

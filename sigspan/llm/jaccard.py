@@ -7,12 +7,15 @@ is compared or shut out by a bound.
 Method.
 
 1. A text's set is hashed on the executors; documents with equal sets are one from here on.
-2. Linked sets of n shingles share one of the first n - ceil(0.8 n) + 1 of any common order. The
-   order puts shingles that recur within a chunk of documents last (a bitmap of fixed size says
-   which), so passages that many documents share hardly ever bring two sets together. Prefix
-   shingles seen once drop out. The others give candidate classes: among the sets that share one,
-   those of equal size meet in a star, neighbouring sizes in a chain where the sizes allow a link.
-   These are at most as many edges as prefix shingles, however large a group.
+2. With t = ceil(0.8 n), linked sets of n shingles share l of the first n - t + l of any common order;
+   l is a tenth of t (at least ``SHARED``, at most t). The order puts shingles that recur within a
+   chunk of documents last (a bitmap of fixed size says which), so passages that many documents share
+   seldom bring two sets together. Prefix shingles seen once drop out, and so do sets with fewer
+   than l left (l of their smallest partner), twice over: a text with one common passage goes here.
+   Pairs of sets are counted for shingles that at most ``FEW`` sets hold; a pair with half of l of
+   them is an edge. If a linked pair has fewer, it shares more than half of l shingles that more
+   sets hold; sets that have so many of these meet in a star for each. So a linked pair lies in
+   one candidate class, and a group of g sets leaves g - 1 edges a shingle, or less than FEW x g / 2.
 3. Each candidate class is joined exactly in one task, in blocks of at most ``BLOCK_DOCS`` sets when it
    is larger: a tree over the sets in the order of size, whose nodes hold the OR of their sets'
    token bitmaps, the range of sizes and the most tokens hidden by bits that share them. A dual
@@ -34,12 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, batch, bit_filter, bit_hits, chunks, components, long_lists, mix, position_factors, read, runs, signed, stage
 
 WORDS, PERCENT = 5, 80
+SHARED = 8
+FEW = 12
 COMMON_IN_CHUNK = 3
 COMMON_BITS, SHARED_BITS, NEEDED_BITS = 24, 26, 26
 BLOCK_DOCS, BLOCK_TOKENS = 2048, 4_000_000
@@ -68,11 +73,22 @@ def set_key(s: np.ndarray) -> np.uint64:
     return mix(mix(s ^ _U(0xA5A5A5A5)).sum(keepdims=True) + _U(len(s)))[0]
 
 
+def shared_at_least(n: np.ndarray, percent: int) -> np.ndarray:
+    """l: how many prefix shingles sets of ``n`` shingles share when they link."""
+    t = (percent * n + 99) // 100
+    return np.minimum(t, np.maximum(SHARED, t // 10))
+
+
+def shared_with_any(n: np.ndarray, percent: int) -> np.ndarray:
+    """l for the smallest partner of a set of ``n`` shingles."""
+    return shared_at_least((percent * n + 99) // 100, percent)
+
+
 def prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of which linked sets share one: rare ones first, then by hash."""
+    """The shingles of which linked sets share some: rare ones first, then by hash."""
     n = len(s)
     last = bit_hits(common, s, COMMON_BITS)
-    return np.concatenate([s[~last], s[last]])[: n - (percent * n + 99) // 100 + 1]
+    return np.concatenate([s[~last], s[last]])[: n - (percent * n + 99) // 100 + int(shared_at_least(n, percent))]
 
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -107,29 +123,51 @@ def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
     return docs.mapInArrow(run, "doc_id bigint, n bigint, fp bigint, prefix array<bigint>")
 
 
-def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` between sets that share a prefix shingle, directly or through others of
-    about their size, from :func:`sketches`."""
-    spark = rows.sparkSession
+def recurring(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(fp, n, prefix, doc_id)`` with the prefix shingles that occur in several rows, without the
+    sets that have too few of them to link."""
     counts = rows.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    shared = spark.sparkContext.broadcast(bit_filter(counts.filter("n > 1"), "h", SHARED_BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(counts.filter("n > 1"), "h", SHARED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
-            size = np.diff(lists.offsets.to_numpy())
+            offs = lists.offsets.to_numpy()
             h = lists.flatten().to_numpy().view(_U)
             hit = bit_hits(shared.value, h, SHARED_BITS)
-            if hit.any():
-                yield batch({"h": signed(h[hit]), "fp": pa.array(np.repeat(b.column(0).to_numpy(), size)[hit]), "n": pa.array(np.repeat(b.column(1).to_numpy(), size)[hit])})
-
-    members = rows.select("fp", "n", "prefix").mapInArrow(run, "h bigint, fp bigint, n bigint")
-    sizes = members.groupBy("h", "n").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    star = members.join(sizes.filter("low <> high"), ["h", "n"]).filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    by_size = Window.partitionBy("h").orderBy("n")
-    chain = sizes.select("low", F.lag("low").over(by_size).alias("b"), "n", F.lag("n").over(by_size).alias("m"))
-    chain = chain.filter(f"m is not null and 100 * m >= {percent} * n and low <> b").select(F.col("low").alias("a"), "b")
-    return star.union(chain)
+            upto = np.concatenate([[0], np.cumsum(hit)])[offs - offs[0]]
+            found, n = np.diff(upto), b.column(1).to_numpy()
+            keep = found >= shared_with_any(n, percent)
+            if keep.any():
+                hit &= np.repeat(keep, np.diff(offs))
+                yield batch({"fp": b.column(0).filter(pa.array(keep)), "n": pa.array(n[keep]), "prefix": long_lists(h[hit], np.concatenate([[0], np.cumsum(found[keep])])), "doc_id": b.column(3).filter(pa.array(keep))})
+
+    return rows.select("fp", "n", "prefix", "doc_id").mapInArrow(run, "fp bigint, n bigint, prefix array<bigint>, doc_id bigint")
+
+
+def candidate_edges(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` between sets that may link, from :func:`sketches` and the first document
+    ``reps(fp, doc_id)`` of each set."""
+    first = reps.select(F.col("fp").alias("rep_fp"), F.col("doc_id").alias("rep_id"))
+    left = recurring(rows, percent).join(first, (F.col("doc_id") == F.col("rep_id")) & (F.col("fp") == F.col("rep_fp")), "left_semi")
+    least = lambda n: F.ceil(n * percent / 100)
+    shared = lambda n: F.least(least(n), F.greatest(F.lit(SHARED), F.floor(least(n) / 10)))
+    members = recurring(stage(left, "recurring"), percent).select(F.explode("prefix").alias("h"), "fp", "n")
+    held = members.groupBy("h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    both = members.join(held, "h")
+    many = both.filter(F.col("held") > FEW)
+    enough = many.groupBy("fp").agg(F.count(F.lit(1)).alias("n_many"), F.first("n").alias("n"))
+    enough = enough.filter(F.col("n_many") > F.floor(shared(least(F.col("n"))) / 2)).select("fp")
+    many = many.select("h", "fp").join(enough, "fp")
+    lowest = many.groupBy("h").agg(F.min("fp").alias("low"))
+    star = many.join(lowest, "h").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    lists = both.filter(F.col("held") <= FEW).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("fp", "n"))).alias("m"))
+    partners = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(
+        x["fp"].alias("a"), y["fp"].alias("b"), F.least(x["n"], y["n"]).alias("n"), F.greatest(x["n"], y["n"]).alias("most"))))
+    pairs = lists.select(F.inline(F.flatten(partners))).filter(f"100 * n >= {percent} * most and a <> b")
+    close = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("n"))
+    close = close.filter(F.col("common") >= F.ceil(shared(F.col("n")) / 2))
+    return star.union(close.select("a", "b"))
 
 
 class SignatureTree:
@@ -235,23 +273,25 @@ def _overlaps(postings: tuple[np.ndarray, ...], a: int, n: int) -> np.ndarray:
     return np.bincount(holder[at], minlength=n)
 
 
-def join_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Forest edges ``(a, b)`` of true links among ``members(class, fp, n, tokens)``."""
-    sizes = members.groupBy("class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+def join_blocks(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Forest edges ``(a, b)`` of true links among ``members(class, fp, n, text)``."""
+    rows = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "tokens")
-    rows = rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "fp")
+    rows = rows.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "text")
+    rows = rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["class", "i", "j"]):
             if t.num_rows < 2:
                 continue
-            t = t.combine_chunks()
-            fp, lists = t.column("fp").to_numpy(), t.column("tokens").combine_chunks()
-            offs, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(_U)
-            offs = offs - offs[0]
-            root = linked_forest([flat[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], percent)
+            fp = t.column("fp").to_numpy()
+            sets = [s for c in chunks(t.select(["text"]).combine_chunks().to_batches(), "text") for s in shingle_sets(c.column(0), words)]
+            # rows may repeat a doc_id with another text
+            own = np.flatnonzero([set_key(s).view(np.int64) == k for s, k in zip(sets, fp.tolist(), strict=True)])
+            fp, sets = fp[own], [sets[i] for i in own.tolist()]
+            if len(sets) < 2:
+                continue
+            root = linked_forest(sets, percent)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
                 yield batch({"a": pa.array(fp[at]), "b": pa.array(fp[root[at]])})
@@ -265,24 +305,20 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     rows = stage(sketches(docs, common_shingles(docs, words), words, percent), "sketches")
     linkable = rows.filter("fp is not null and doc_id is not null")
-    classes = components(candidate_edges(linkable, percent))
     reps = linkable.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    needed = stage(reps.join(classes, F.col("fp") == F.col("node")).select("doc_id", "fp", "n", F.col("component").alias("class")), "candidates")
+    classes = components(candidate_edges(linkable, reps, percent))
+    found = reps.join(classes, F.col("fp") == F.col("node")).select("doc_id", "fp", "n", F.col("component").alias("class"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    needed = stage(found.join(found.groupBy("class").agg(blocks.alias("blocks")), "class"), "candidates")
     bits = spark.sparkContext.broadcast(bit_filter(needed.select(F.xxhash64("doc_id").alias("h")), "h", NEEDED_BITS))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            hit = bit_hits(bits.value, b.column(2).to_numpy().view(_U), NEEDED_BITS)
-            b = b.filter(pa.array(hit))
-            if b.num_rows:
-                sets = shingle_sets(b.column(1), words)
-                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield batch({"doc_id": b.column(0), "key": signed(np.array([set_key(s) for s in sets], _U)), "tokens": long_lists(np.concatenate(sets), offs)})
-
-    sets = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(tokens, "doc_id bigint, key bigint, tokens array<bigint>")
-    # the set's key too, as rows may repeat a doc_id
-    members = needed.join(sets, (needed.doc_id == sets.doc_id) & (F.col("fp") == F.col("key"))).select("class", "fp", "n", "tokens")
-    links = components(join_blocks(members, percent))
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 1]).filter(pa.array(bit_hits(bits.value, b.column(2).to_numpy().view(_U), NEEDED_BITS)))
+
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h")).mapInArrow(candidates, "id bigint, text string")
+    members = needed.join(texts, needed.doc_id == texts.id).select("class", "blocks", "fp", "text")
+    links = components(join_blocks(members, words, percent))
     parts = reps.join(links, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("part"))
     lowest = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     by_set = parts.join(lowest, "part").select(F.col("fp").alias("set_fp"), "component_id")
