@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _BYTE, _powers, batch, chunks, mix, read, text_bytes
 
@@ -382,8 +383,9 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", keep: li
             texts = [None if x is None else e.decode(np.asarray(x, np.int64)) for x in b.column(0).to_pylist()]
             yield batch({"text": pa.array(texts, pa.string())} | {f"k{i}": b.column(i + 1) for i in range(len(keep))})
 
-    kept = ", ".join(f"k{i} {tokens.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = tokens.select(F.col(ids_col).alias("ids"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"text string, {kept}")
+    kept = [T.StructField(f"k{i}", tokens.schema[c].dataType) for i, c in enumerate(keep)]
+    out = tokens.select(F.col(ids_col).alias("ids"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    out = out.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), *kept]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
 
 
@@ -396,8 +398,9 @@ def _run(docs: DataFrame, model: str, text_col: str, keep: list[str], schema: st
             ids, offs = e.encode(b.column(0))
             yield batch({f"k{i}": b.column(i + 1) for i in range(len(keep))} | columns(e, ids, offs, b.column(0)))
 
-    kept = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kept}, {schema}")
+    kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    out = out.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL(schema).fields]))
     named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(*named, *[F.col(c) for c in out.columns[len(keep):]])
 

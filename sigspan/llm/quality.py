@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, batch, chunks, read
 
@@ -202,8 +203,9 @@ def score(docs: DataFrame, model: GatedAttention, keep: list[str] | None = None)
             out = {"doc_id": b.column(1)} | {f"k{i}": b.column(i + 2) for i in range(len(keep))}
             yield batch(out | {"score": pa.array(shared.value.score(*passages(b.column(0))))})
 
-    fields = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"] + [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    out = cols.mapInArrow(run, ", ".join([*fields, "score double"]))
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
+    fields += [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = cols.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
     return out.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, batch, bit_filter, bit_hits, chunks, position_factors, read, signed
 
@@ -217,13 +218,15 @@ def kept_words(text: bytes, places: list | None) -> tuple[list[bytes], int]:
     return [words[i] for i in np.flatnonzero(keep).tolist()], n
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``docs`` with ``text`` without the words that go, and ``n_words``, ``n_removed``.
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, counts: tuple[str, str] = ("n_words", "n_removed")
+) -> DataFrame:
+    """``docs`` with ``text`` without the words that go, and the two ``counts``: words and words that go.
 
     A text that loses nothing is kept as it is; kept words of others are joined by one space.
     """
-    names = [c for c in docs.columns if c != "text"]
-    inner = docs.select(F.col("text").alias("t"), F.col("doc_id").cast("long").alias("d"), F.struct(*names).alias("row"))
+    inner = docs.select(
+        F.col("text").alias("t"), F.col("doc_id").cast("long").alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     found = repeated_spans(docs, window, gram, group)
     both = inner.join(found.withColumnRenamed("doc_id", "d"), "d", "left").select("t", "spans", "row")
 
@@ -237,9 +240,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
                 gone.append(n - len(words))
             yield batch({"text": pa.array(texts, pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "row": b.column(2)})
 
-    row = inner.schema["row"].dataType.simpleString()
-    out = both.mapInArrow(run, f"text string, n_words bigint, n_removed bigint, row {row}")
-    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], "n_words", "n_removed")
+    fields = T.StructType.fromDDL("text string, n_words bigint, n_removed bigint").fields
+    out = both.mapInArrow(run, T.StructType([*fields, T.StructField("row", inner.schema["row"].dataType)]))
+    own = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*own, F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
