@@ -83,6 +83,9 @@ def mean_label_prediction(df: DataFrame, train: DataFrame, label: str = "label")
 
 
 def submission(manifest: DataFrame, predictions: DataFrame, value: str = "prediction") -> DataFrame:
-    """``(seg_id, time_to_failure)``: predictions matched to the manifest by key (position = test ``seg``)."""
+    """``(seg_id, time_to_failure, pos)``: one row for each manifest entry, matched by key (position =
+    test ``seg``). An entry without a prediction fails the job instead of leaving the result."""
     preds = predictions.select(F.col("seg").cast("long").alias("pos"), F.col(value).alias("time_to_failure"))
-    return manifest.select("seg_id", F.col("pos").cast("long").alias("pos")).join(preds, "pos")
+    out = manifest.select("seg_id", F.col("pos").cast("long").alias("pos")).join(preds, "pos", "left")
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), "seg_id")).cast("double")
+    return out.withColumn("time_to_failure", F.coalesce("time_to_failure", missing))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import field
 from ..functions.stats import PROFILES, QUANTILE_LEVELS, profile_aggs
 from ..spec import SegmentSpec
-from .sequence import row_index
+from .sequence import null_safe_join, row_index
 
 
 def _sources(value: str):
@@ -81,7 +81,8 @@ def exact_quantiles_distributed(
     """
     keys = list(keys)
     ranked = row_index(df.where(F.col(value).isNotNull()), [value], keys, name="_r", keep=[*keys, value])
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # the size of a group is its last rank
+    sizes = ranked.groupBy(*keys).agg(F.max("_r").alias("_n"))
     lv = F.array(*[F.lit(float(p)) for p in levels])
     wanted = (
         sizes.select(*keys, "_n", F.explode(lv).alias("p"))
@@ -93,7 +94,7 @@ def exact_quantiles_distributed(
     # both order statistics of every level in one equi-join on (keys, rank)
     sides = F.array(F.struct(F.col("_lo").alias("_r"), F.lit(0).alias("_side")), F.struct(F.col("_hi").alias("_r"), F.lit(1).alias("_side")))
     need = wanted.select(*keys, "p", "_frac", F.explode(sides).alias("_w")).select(*keys, "p", "_frac", "_w._r", "_w._side")
-    picked = need.join(ranked.select(*keys, "_r", F.col(value).alias("_v")), [*keys, "_r"])
+    picked = null_safe_join(ranked.select(*keys, "_r", F.col(value).alias("_v")), need, [*keys, "_r"])
     out = picked.groupBy(*keys, "p").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),

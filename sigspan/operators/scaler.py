@@ -67,17 +67,19 @@ def apply_scaler(
     by: Sequence[str] = (),
     groups_bound: int | None = 1,
     std_col: str = "std",
+    row_bytes: int = 1 << 18,
 ) -> DataFrame:
     """``out[i] = col[i] * (1 / std[i])``, or 0.0 where ``std[i] == 0``.
 
-    ``groups_bound`` is a known upper bound on the rows of ``stds`` (1 without ``by``); the
-    std table is broadcast only below the broadcast limit.
+    ``groups_bound`` is a known upper bound on the rows of ``stds`` (1 without ``by``) and
+    ``row_bytes`` one on their width (default: vectors of up to 32 768 doubles); the std table is
+    broadcast only if the product is below the broadcast limit.
     """
     by, cols = list(by), _as_list(cols)
     outs = _as_list(out) if out is not None else cols
     names = [_std_name(c, cols, std_col) for c in cols]
     if by:
-        small = sized_broadcast(stds.select(*by, F.struct(*names).alias("_std")), groups_bound)
+        small = sized_broadcast(stds.select(*by, F.struct(*names).alias("_std")), groups_bound, row_bytes)
         src, std = df.join(small, by), F.col("_std")
     else:
         # one row: a scalar subquery, evaluated once for the whole query (its own column: a

@@ -29,8 +29,7 @@ from ..spec import SegmentSpec
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
-# offsets rows are two longs (16 bytes): a million partitions still broadcast as 16 MB
-_OFFSETS_BROADCAST_ROWS = 1_000_000
+_OFFSETS_ROW_BYTES = 32  # a partition number and an offset
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -67,6 +66,15 @@ def _offsets(counts: DataFrame, order: list[str], count_col: str = "_n", partiti
     return counts.withColumn("_off", F.coalesce(F.sum(count_col).over(w), F.lit(0)).cast("long"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; keeps the left side's key columns."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def row_index(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -97,29 +105,44 @@ def row_index(
     if not part:
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
-        out = tagged.join(sized_broadcast(offsets, n, _OFFSETS_BROADCAST_ROWS), "_pid")
+        out = tagged.join(sized_broadcast(offsets, n, _OFFSETS_ROW_BYTES), "_pid")
         return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 1).alias(name))
 
     # one row per (range partition, group): at most #groups + #partitions rows
     per_part = tagged.groupBy("_pid", *part).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     counts = per_part.groupBy("_pid").agg(F.sum("_n").alias("_n"))
     offsets = _offsets(counts, ["_pid"]).select("_pid", "_off")
-    starts = per_part.join(sized_broadcast(offsets, n, _OFFSETS_BROADCAST_ROWS), "_pid").withColumn("_g0", F.col("_off") + F.col("_first") + 1)
+    starts = per_part.join(sized_broadcast(offsets, n, _OFFSETS_ROW_BYTES), "_pid").withColumn("_g0", F.col("_off") + F.col("_first") + 1)
     group_first = starts.groupBy(*part).agg(F.min("_g0").alias("_gstart"))
-    pair_start = starts.select("_pid", *part, "_off").join(group_first, part)
-    out = tagged.join(pair_start, ["_pid", *part])
+    # null-safe: rows whose group key is NULL form a group, as in row_number() OVER (PARTITION BY ...)
+    pair_start = null_safe_join(starts.select("_pid", *part, "_off"), group_first, part)
+    out = null_safe_join(tagged, pair_start, ["_pid", *part])
     return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
 
 
+def natural_order(path: str | Column) -> list[Column]:
+    """Sort keys of a path with digit runs compared as numbers: part-99999 before part-100000.
+
+    Every digit run is padded to 20 digits; the path itself breaks ties.
+    """
+    path = F.col(path) if isinstance(path, str) else path
+    padded = F.regexp_replace(path, r"(\d+)", "00000000000000000000$1")
+    return [F.regexp_replace(padded, r"\d*?(\d{20})(?!\d)", "$1"), path]
+
+
 def file_order_index(
-    df: DataFrame, name: str = "idx", per_file: bool = False, keep_file: bool = False
+    df: DataFrame, name: str = "idx", per_file: bool = False, keep_file: bool = False, per: Column | None = None
 ) -> DataFrame:
     """Dense row number in physical file order, without a shuffle of the data.
 
     ``df`` must be a direct file scan (it reads the hidden ``_metadata`` column), or carry
     ``_file`` / ``_block`` columns taken from it (e.g. a streaming micro-batch). Rows are
-    ordered by file path, then by split start inside the file, then by read position. With
-    ``per_file`` the numbering restarts in every file (row number inside a file).
+    ordered by file path (numbers in it as numbers), then by split start inside the file, then by
+    read position. With ``per`` (an expression constant within a file) the numbering restarts for
+    each of its values and runs on over the files that share it; ``per_file`` restarts in every file.
+
+    The offsets are four numbers for each input split. They are broadcast: the driver already
+    holds the longer list of the splits themselves to plan the scan.
     """
     have = set(df.columns)
     file_cols = [] if {"_file", "_block"} <= have else [
@@ -127,12 +150,17 @@ def file_order_index(
         F.col("_metadata.file_block_start").alias("_block"),
     ]
     tagged = df.select("*", *file_cols, F.monotonically_increasing_id().alias("_mid"))
-    splits = tagged.groupBy("_file", "_block").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    offsets = _offsets(splits, ["_file", "_block"], partition=["_file"] if per_file else None)
-    # one row per input split: AQE broadcasts it when its measured size allows, else shuffles it
-    out = tagged.join(offsets.select("_file", "_block", "_m0", "_off"), ["_file", "_block"])
+    tagged = tagged.withColumn("_part", F.shiftright("_mid", _POS_BITS))
+    group = F.col("_file") if per_file else per if per is not None else F.lit(0)
+    splits = tagged.groupBy("_part", "_file", "_block").agg(
+        F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"), F.first(group).alias("_group"))
+    w = Window.partitionBy("_group").orderBy(*natural_order("_file"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
+    offsets = offsets.select(F.col("_part").alias("_opart"), "_m0", (F.col("_m0") + F.col("_n")).alias("_m1"), "_off")
+    inside = (F.col("_part") == F.col("_opart")) & (F.col("_mid") >= F.col("_m0")) & (F.col("_mid") < F.col("_m1"))
+    out = tagged.join(F.broadcast(offsets), inside)
     out = out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
-    drop = ["_block", "_mid", "_m0", "_off"] + ([] if keep_file else ["_file"])
+    drop = ["_block", "_mid", "_m0", "_m1", "_off", "_part", "_opart"] + ([] if keep_file else ["_file"])
     return out.drop(*drop)
 
 
@@ -159,10 +187,15 @@ def segment_name(seg: str | Column = "seg", prefix: str = "raw_") -> Column:
     return F.format_string(f"{prefix}%04d", seg.cast("long"))
 
 
-def file_stem(path: str | Column) -> Column:
-    """File name without directory and extension: ``/a/b/seg_00ab.csv`` -> ``seg_00ab``."""
+def decoded_path(path: str | Column) -> Column:
+    """Plain text of a path that Spark gives percent-encoded (``%20`` for a space; ``+`` stays)."""
     path = F.col(path) if isinstance(path, str) else path
-    return F.substring_index(F.substring_index(path, "/", -1), ".", 1)
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def file_stem(path: str | Column) -> Column:
+    """File name without directory and extension: ``/a/b/seg%2000ab.csv`` -> ``seg 00ab``."""
+    return F.substring_index(F.substring_index(decoded_path(path), "/", -1), ".", 1)
 
 
 def complete_segments(seq: DataFrame, spec: SegmentSpec) -> DataFrame:

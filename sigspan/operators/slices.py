@@ -82,12 +82,12 @@ def join_slices(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
 def segment_samples(seq: DataFrame, value: str = "x", max_len: int | None = None) -> DataFrame:
     """``(seg, _s array<struct<no, v>>)`` ordered by position; one row per segment.
 
-    With ``max_len`` a position beyond it fails the job instead of growing one group without
-    bound (e.g. a segment file far longer than the segment length).
+    Positions beyond ``max_len`` are left out, so a segment file far longer than the segment
+    length does not grow its group (they lie in no slice).
     """
-    no = F.col("no")
     if max_len is not None:
-        no = F.when(no > max_len, F.raise_error(F.lit(f"segment longer than {max_len} samples"))).otherwise(no)
+        seq = seq.where(F.col("no") <= max_len)
+    no = F.col("no")
     return seq.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), F.col(value).alias("v")))).alias("_s"))
 
 
@@ -98,7 +98,7 @@ def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete
     """
     s, n = spec.slice_len, spec.n_slices
     first = 0 if spec.boundary == "inclusive" else 1  # first position of slice i is i*s + first
-    samples = segment_samples(seq, value, max_len=spec.length)
+    samples = segment_samples(seq, value, max_len=s * n)
     values = F.transform("_s", lambda e: e["v"])
     size = F.size("_s")
     # positions 1..m without gaps (a sequenced signal, a whole file): slice i is one positional cut

@@ -23,7 +23,7 @@ from ..operators import slices as sl
 from ..operators import spectral as sp
 from ..functions.arrays import band, overlapped_bins, stride
 from ..functions.stats import PROFILE_20
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_partitions
 from ..sources import files as fl
 from ..sources import sinks as sk
 from ..sources.tables import embeddings_vectors, read_signal, read_table
@@ -71,10 +71,17 @@ def q_sequenced_signal(spark, sf):
 
 def q_rank_in_segment(spark, sf):
     ev = read_table(spark, sf, "events")
-    out = sq.row_index(ev, ["ts", "event_id"], ["user_id"], name="no")
+    out = sq.row_index(ev, ["ts", "event_id"], ["user_id"], name="no", keep=["user_id", "event_id"])
     return finalize(out.select("user_id", F.col("event_id").alias("uid"), "no"))
 
 
+def q_rank_in_segment_nulls(spark, sf):
+    """Row numbers in groups whose key can be NULL (it forms a group)."""
+    ev = read_table(spark, sf, "events").select("ts", "event_id", F.expr("nullif(user_id % 7, 0)").alias("grp"))
+    out = sq.row_index(ev, ["ts", "event_id"], ["grp"], name="no", keep=["grp", "event_id"])
+    return finalize(out.select("grp", F.col("event_id").alias("uid"), "no"))
+
+
 def q_segment_names(spark, sf):
     seq = seq_of(spark, sf, NAMES_SPEC)
     return finalize(seq.where(F.col("no") == 1).select("seg", sq.segment_name("seg").alias("name")))
@@ -102,6 +109,12 @@ def q_supplier_quantiles(spark, sf):
     return finalize(prof.exact_quantiles_distributed(li, ["l_suppkey"], "l_extendedprice"))
 
 
+def q_supplier_quantiles_nulls(spark, sf):
+    """Exact percentiles of groups whose key can be NULL (it forms a group)."""
+    li = read_table(spark, sf, "lineitem").select(F.expr("nullif(l_suppkey % 7, 0)").alias("grp"), "l_extendedprice")
+    return finalize(prof.exact_quantiles_distributed(li, ["grp"], "l_extendedprice"))
+
+
 def q_segment_quantiles(spark, sf):
     return finalize(prof.quantile_profile(seq_of(spark, sf), ["seg"], "x"))
 
@@ -189,6 +202,12 @@ def q_slice_vectors(spark, sf):
     return finalize(vec.select("seg", "slice", F.posexplode("vx").alias("k", "v")))
 
 
+def q_slice_vectors_long(spark, sf):
+    """Segments longer than the slices: samples past the last slice lie in none."""
+    seq = seq_of(spark, sf, TEST.with_(length=TEST.length + 100))
+    return finalize(sl.slice_vectors(sl.segment_slices(seq, TEST)).select("seg", "slice", F.posexplode("vx").alias("k", "v")))
+
+
 def q_slice_join(spark, sf):
     return finalize(sl.slice_counts(seq_of(spark, sf, TAIL), TAIL))
 
@@ -285,21 +304,47 @@ def q_csv_roundtrip(spark, sf):
 def q_csv_sequence(spark, sf):
     """Signal written as time-ordered CSV parts, read back and numbered in file order (no shuffle)."""
     seq = seq_of(spark, sf)
-    path = sk.write_signal_csv(seq, scratch_path(spark, "csvseq"), ["x", "y"], sort_by=["idx"], num_files=4)
+    path = sk.write_signal_csv(seq, scratch_path(spark, "csvseq"), ["x", "y"], sort_by=["idx"])
     indexed = fl.read_signal_csv_indexed(spark, path).withColumnRenamed("uid", "idx")
     return finalize(sq.assign_segments(indexed, TEST).select("seg", "no", "x", "y"))
 
 
-def _write_segment_files(spark, sf) -> tuple[str, str]:
-    """Fixture: one CSV per segment (``name=raw_NNNN`` folders) and a manifest in reversed order."""
-    seq = seq_of(spark, sf).withColumn("name", sq.segment_name("seg"))
-    data_dir = scratch_path(spark, "segfiles")
-    files = seq.repartition("name").sortWithinPartitions("name", "no")
-    sk.write_signal_csv(files, data_dir, ["x"], partition_by=["name"])
-    man_dir = scratch_path(spark, "manifest")
+def _segment_file_names(seq: DataFrame) -> DataFrame:
+    """Names that are easy to lose: leading zeros for even segments, a space for odd ones."""
+    even = F.format_string("%05d", F.col("seg"))
+    return seq.withColumn("name", F.when(F.col("seg") % 2 == 0, even).otherwise(F.format_string("raw %04d", F.col("seg"))))
+
+
+def _write_manifest(spark, seq) -> str:
+    """Fixture: a manifest in reversed order, in ordered part files."""
+    path = scratch_path(spark, "manifest")
     names = seq.where(F.col("no") == 1).select(F.col("name").alias("seg_id"), "seg")
-    names.orderBy(F.col("seg").desc()).select("seg_id").coalesce(1).write.option("header", True).csv(man_dir)
-    return data_dir, man_dir
+    names.orderBy(F.col("seg").desc()).select("seg_id").write.option("header", True).csv(path)
+    return path
+
+
+def _write_segment_files(spark, sf) -> tuple[str, str]:
+    """Fixture: a ``name=...`` folder of several CSV part files for each segment, and a manifest."""
+    seq = _segment_file_names(seq_of(spark, sf))
+    path = scratch_path(spark, "segfiles")
+    parts = 3 * shuffle_partitions(spark)
+    sk.write_signal_csv(seq, path, ["x"], partition_by=["name"], sort_by=["name", "no"], num_files=parts)
+    return path, _write_manifest(spark, seq)
+
+
+def _write_flat_files(spark, sf) -> tuple[str, str]:
+    """Fixture: one flat folder of ``<seg_id>.csv`` files, and a manifest."""
+    seq = _segment_file_names(seq_of(spark, sf))
+    path = scratch_path(spark, "flatparts")
+    sk.write_signal_csv(seq.repartition("name").sortWithinPartitions("name", "no"), path, ["x"], partition_by=["name"])
+    flat = scratch_path(spark, "flat")
+    jvm = spark.sparkContext._jvm
+    to_path = jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to_path(flat))
+    for f in fs.globStatus(to_path(path + "/name=*/part-*")):  # the files of a test folder
+        fs.rename(f.getPath(), to_path(flat, f.getPath().getParent().getName()[len("name="):] + ".csv"))
+    return flat, _write_manifest(spark, seq)
 
 
 def q_multi_file_segments(spark, sf):
@@ -308,11 +353,15 @@ def q_multi_file_segments(spark, sf):
     return finalize(fl.read_segment_files(spark, data_dir, manifest, name_col="name"))
 
 
+def q_flat_segment_files(spark, sf):
+    data_dir, man_dir = _write_flat_files(spark, sf)
+    return finalize(fl.read_segment_files(spark, data_dir, fl.read_manifest(spark, man_dir)))
+
+
 def q_streamed_segment_files(spark, sf):
     data_dir, man_dir = _write_segment_files(spark, sf)
     manifest = fl.read_manifest(spark, man_dir)
-    out = ingest_segment_files(spark, data_dir, manifest, scratch_path(spark, "stream-out"), files_per_batch=20)
-    return finalize(out.select("seg", "name", "no", "x"))
+    return finalize(ingest_segment_files(spark, data_dir, manifest, scratch_path(spark, "stream-out")))
 
 
 def q_train_test_union(spark, sf):
@@ -348,8 +397,9 @@ def q_training_set(spark, sf):
 
 
 def q_ordered_features(spark, sf):
-    p = prof.segment_profile(seq_of(spark, sf, MODEL_SPEC), "moments").select("seg", "x_avg")
-    ranked = sq.row_index(p, ["seg"], name="pos").withColumn("pos", F.col("pos") - 1)
+    """Segments numbered in the order of a statistic."""
+    p = finalize(prof.segment_profile(seq_of(spark, sf, MODEL_SPEC), "moments").select("seg", "x_avg"))
+    ranked = sq.row_index(p, ["x_avg", "seg"], name="pos").withColumn("pos", F.col("pos") - 1)
     return finalize(ranked.select("pos", "seg", "x_avg"))
 
 
@@ -381,10 +431,15 @@ def q_mae_metric(spark, sf):
 
 
 def q_regression_fit(spark, sf):
+    """Least squares: the residuals are orthogonal to the constant and to every feature."""
     ts = _model_frames(spark, sf)
     train = ts.where(F.col("set") == 0)
     model = mdl.fit_regressor(train, "linear", cut_lineage=False)
-    return finalize(train.agg(F.count(F.lit(1)).alias("n_train")).withColumn("n_features", F.lit(model.numFeatures)))
+    res = mdl.predict(model, train).select("features", (F.col("label") - F.col("prediction")).alias("e"))
+    terms = F.concat(F.array(F.lit(1.0)), F.col("features"))
+    sums = res.select(F.posexplode(terms).alias("term", "v"), "e").groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_train"), F.avg(F.col("v") * F.col("e")).alias("moment"))
+    return finalize(sums.select("term", "n_train", F.round("moment", 4).alias("moment")))
 
 
 def q_regression_predict(spark, sf):
@@ -400,11 +455,13 @@ def _submission(spark, sf) -> DataFrame:
     split = sq.split_train_test(seq, spec)
     firsts = split.where(F.col("no") == 1)
     manifest = firsts.where(F.col("set") == 1).select(sq.segment_name("seg").alias("seg_id"), F.col("set_seg").alias("pos"))
-    labels = split.where(F.col("no") == spec.length).select("set", "set_seg", F.col("y").alias("label"))
-    train = labels.where(F.col("set") == 0)
-    test = labels.where(F.col("set") == 1).select(F.col("set_seg").alias("seg"))
-    preds = mdl.mean_label_prediction(test, train)
-    return mdl.submission(manifest, preds)
+    feats = split.groupBy("set", "set_seg").agg(
+        F.avg("x").alias("x_avg"), F.max(F.when(F.col("no") == spec.length, F.col("y"))).alias("label"))
+    train = feats.where(F.col("set") == 0)
+    line = train.agg(F.struct(F.regr_slope("label", "x_avg").alias("a"), F.regr_intercept("label", "x_avg").alias("b"))).scalar()
+    test = feats.where(F.col("set") == 1).withColumn("_line", line)
+    preds = test.select(F.col("set_seg").alias("seg"), (F.col("_line.a") * F.col("x_avg") + F.col("_line.b")).alias("prediction"))
+    return mdl.submission(manifest.orderBy(F.xxhash64("seg_id")), preds)
 
 
 def q_submission_join(spark, sf):
@@ -423,12 +480,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_index": q_row_index,
     "sequenced_signal": q_sequenced_signal,
     "rank_in_segment": q_rank_in_segment,
+    "rank_in_segment_nulls": q_rank_in_segment_nulls,
     "segment_names": q_segment_names,
     "complete_segments": q_complete_segments,
     "global_max": q_global_max,
     "moments_profile": q_moments_profile,
     "segment_quantiles": q_segment_quantiles,
     "supplier_quantiles": q_supplier_quantiles,
+    "supplier_quantiles_nulls": q_supplier_quantiles_nulls,
     "segment_profile_20": q_segment_profile_20,
     "segment_profile_14": q_segment_profile_14,
     "bucket_profile": q_bucket_profile,
@@ -443,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_labels": q_window_labels,
     "slice_rows": q_slice_rows,
     "slice_vectors": q_slice_vectors,
+    "slice_vectors_long": q_slice_vectors_long,
     "slice_join": q_slice_join,
     "concat_slices": q_concat_slices,
     "sliding_windows": q_sliding_windows,
@@ -458,6 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "csv_sequence": q_csv_sequence,
     "multi_file_segments": q_multi_file_segments,
+    "flat_segment_files": q_flat_segment_files,
     "streamed_segment_files": q_streamed_segment_files,
     "train_test_union": q_train_test_union,
     "parquet_roundtrip": q_parquet_roundtrip,

@@ -172,6 +172,10 @@ def build() -> dict[str, str]:
         "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS uid, "
         "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS no FROM events"
     )
+    q["rank_in_segment_nulls"] = (
+        "SELECT CAST(nullif(user_id % 7, 0) AS BIGINT) AS grp, CAST(event_id AS BIGINT) AS uid, "
+        "CAST(row_number() OVER (PARTITION BY nullif(user_id % 7, 0) ORDER BY ts, event_id) AS BIGINT) AS no FROM events"
+    )
     q["segment_names"] = (
         with_sig(NAMES_SPEC.length)
         + " SELECT CAST(seg AS BIGINT) AS seg, printf('raw_%04d', seg) AS name FROM sig WHERE no = 1"
@@ -201,6 +205,11 @@ def build() -> dict[str, str]:
         f"{r6(f'quantile_cont(l_extendedprice, {p})')} AS q FROM lineitem GROUP BY l_suppkey"
         for p in QUANTILE_LEVELS
     )
+    q["supplier_quantiles_nulls"] = " UNION ALL ".join(
+        f"SELECT CAST(nullif(l_suppkey % 7, 0) AS BIGINT) AS grp, {r6(f'CAST({p} AS DOUBLE)')} AS p, "
+        f"{r6(f'quantile_cont(l_extendedprice, {p})')} AS q FROM lineitem GROUP BY 1"
+        for p in QUANTILE_LEVELS
+    )
     q["segment_profile_20"] = _profile_sql(PROFILE_20, "sig", ["seg"], "x", with_sig(L))
     q["segment_profile_14"] = _profile_sql(PROFILE_14, "sig", ["seg"], "x", with_sig(L))
     bsig = with_sig(L, f"bs AS (SELECT *, no // {T.bucket} AS seq FROM sig)")
@@ -270,11 +279,13 @@ def build() -> dict[str, str]:
         + f" SELECT CAST(seg AS BIGINT) AS seg, CAST(slice AS BIGINT) AS slice, count(*) AS n, {r6('sum(x)')} AS x_sum "
         "FROM sl GROUP BY seg, slice"
     )
-    q["slice_vectors"] = (
-        with_sig(L, slices_cte(T))
-        + " SELECT CAST(seg AS BIGINT) AS seg, CAST(slice AS BIGINT) AS slice, "
-        f"CAST(row_number() OVER (PARTITION BY seg, slice ORDER BY no) - 1 AS BIGINT) AS k, {r6('x')} AS v FROM sl"
-    )
+    for key, length in (("slice_vectors", L), ("slice_vectors_long", L + 100)):
+        q[key] = (
+            with_sig(length, slices_cte(T))
+            + " SELECT CAST(seg AS BIGINT) AS seg, CAST(slice AS BIGINT) AS slice, "
+            f"CAST(row_number() OVER (PARTITION BY seg, slice ORDER BY no) - 1 AS BIGINT) AS k, {r6('x')} AS v FROM sl"
+            + (f" WHERE seg NOT IN (SELECT seg FROM sig GROUP BY seg HAVING max(no) <= {T.slice_len * (T.n_slices - 1)})" if length > L else "")
+        )
     tl, ts_ = TAIL.length, TAIL.slice_len
     subs = [
         f"(SELECT seg, count(*) AS n{i} FROM sig WHERE no BETWEEN {i * ts_} AND {(i + 1) * ts_} GROUP BY seg) q{i}"
@@ -350,10 +361,11 @@ def build() -> dict[str, str]:
     )
     q["multi_file_segments"] = (
         with_sig(L)
-        + " SELECT CAST((SELECT max(seg) FROM sig) - seg AS BIGINT) AS seg, printf('raw_%04d', seg) AS name, "
+        + " SELECT CAST((SELECT max(seg) FROM sig) - seg AS BIGINT) AS seg, "
+        "CASE WHEN seg % 2 = 0 THEN printf('%05d', seg) ELSE printf('raw %04d', seg) END AS name, "
         f"CAST(no AS BIGINT) AS no, {r6('x')} AS x FROM sig"
     )
-    q["streamed_segment_files"] = q["multi_file_segments"]
+    q["streamed_segment_files"] = q["flat_segment_files"] = q["multi_file_segments"]
     split = with_sig(L, _split_ctes(T))
     q["train_test_union"] = (
         split
@@ -381,7 +393,7 @@ def build() -> dict[str, str]:
     M = SMOKE.length
     q["ordered_features"] = (
         with_sig(M)
-        + " SELECT CAST(row_number() OVER (ORDER BY seg) - 1 AS BIGINT) AS pos, CAST(seg AS BIGINT) AS seg, "
+        + f" SELECT CAST(row_number() OVER (ORDER BY {r6('avg(x)')}, seg) - 1 AS BIGINT) AS pos, CAST(seg AS BIGINT) AS seg, "
         f"{r6('avg(x)')} AS x_avg FROM sig GROUP BY seg"
     )
     q["target_scaled"] = (
@@ -399,20 +411,18 @@ def build() -> dict[str, str]:
     )
     q["regression_fit"] = (
         msplit
-        + f" SELECT count(*) AS n_train, CAST({SMOKE.n_features} AS BIGINT) AS n_features FROM t WHERE no = {M} AND seg < n_train"
+        + f" SELECT CAST(term AS BIGINT) AS term, count(*) AS n_train, CAST(0 AS DOUBLE) AS moment "
+        f"FROM t, range({SMOKE.n_features + 1}) r(term) WHERE no = {M} AND seg < n_train GROUP BY term"
     )
-    q["submission_join"] = (
-        msplit
-        + f", base AS (SELECT avg(y) AS pred FROM t WHERE no = {M} AND seg < n_train) "
-        f"SELECT printf('raw_%04d', seg) AS seg_id, {r6('pred')} AS time_to_failure "
-        f"FROM t, base WHERE no = {M} AND seg >= n_train"
-    )
-    q["submission_export"] = (
-        msplit
-        + f", base AS (SELECT avg(y) AS pred FROM t WHERE no = {M} AND seg < n_train) "
-        f"SELECT printf('raw_%04d', seg) AS seg_id, printf('%.20f', {r6('pred')}) AS time_to_failure "
-        f"FROM t, base WHERE no = {M} AND seg >= n_train"
+    line = (
+        f", f AS (SELECT seg, any_value(n_train) AS n_train, avg(x) AS x_avg, max(CASE WHEN no = {M} THEN y END) AS label FROM t GROUP BY seg), "
+        "line AS (SELECT regr_slope(label, x_avg) AS a, regr_intercept(label, x_avg) AS b FROM f WHERE seg < n_train) "
     )
+    for key, value in (("submission_join", r6("a * x_avg + b")), ("submission_export", f"printf('%.20f', {r6('a * x_avg + b')})")):
+        q[key] = (
+            msplit + line
+            + f"SELECT printf('raw_%04d', CAST(seg AS BIGINT)) AS seg_id, {value} AS time_to_failure FROM f, line WHERE seg >= n_train"
+        )
     return q
 
 

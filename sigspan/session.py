@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count a helper table may have and still be broadcast on purpose.
+# Largest size a helper table may have and still be broadcast on purpose.
 # Above it, the join is left to the planner (AQE picks broadcast or a shuffled join at run time).
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -25,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="sigspan-ckpt-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path
@@ -47,14 +49,14 @@ def local_path(path: str) -> str:
     return path
 
 
-def sized_broadcast(df: DataFrame, max_rows_bound: int | None, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when a proven upper bound on its rows is below ``limit``.
+def sized_broadcast(df: DataFrame, max_rows_bound: int | None, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only when a proven upper bound on its bytes is below ``limit``.
 
     ``max_rows_bound`` must be a bound known without running the data (partition count,
-    number of windows, one row of a global aggregate ...). Without a bound, or above the
-    limit, the frame is returned unmarked and AQE chooses the join at run time.
+    number of windows, one row of a global aggregate ...), ``row_bytes`` one on the width of a row.
+    Without a bound, or above the limit, the frame is returned unmarked and AQE chooses the join.
     """
-    if max_rows_bound is not None and max_rows_bound <= limit:
+    if max_rows_bound is not None and max_rows_bound * row_bytes <= limit:
         return F.broadcast(df)
     return df
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sequence import file_order_index, file_stem
+from ..operators.sequence import decoded_path, file_order_index, file_stem
 
 SIGNAL_SCHEMA = T.StructType([T.StructField("x", T.DoubleType(), True), T.StructField("y", T.DoubleType(), True)])
 SEGMENT_FILE_SCHEMA = T.StructType([T.StructField("x", T.DoubleType(), True)])
@@ -30,23 +30,56 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return indexed.select("seg_id", (F.col("_line") - 1).alias("pos"))
 
 
+def segment_file_name(path: Column, name_col: str | None) -> Column:
+    """Segment name of a file: its stem, or the plain value of the ``name_col=...`` folder."""
+    if name_col is None:
+        return file_stem(path)
+    # twice decoded: the folder escapes the value, the path the folder
+    return decoded_path(decoded_path(F.regexp_extract(path, f"/{name_col}=([^/]*)/[^/]*$", 1)))
+
+
+def segment_names_present(spark: SparkSession, path: str, name_col: str | None = None) -> DataFrame:
+    """``(name)`` of every segment with a file below ``path``; lists the files, reads none."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return listed.select(segment_file_name(F.col("path"), name_col).alias("name")).distinct()
+
+
+def with_manifest(files: DataFrame, manifest: DataFrame, present: DataFrame | None) -> DataFrame:
+    """``files`` with ``seg``, the manifest position of their ``name``.
+
+    Files that the manifest does not list are dropped. A listed segment without a file fails the
+    job (``present``: the names that have one; None skips the check).
+    """
+    man = manifest.select(F.col("seg_id").alias("name"), F.col("pos").cast("long").alias("seg"))
+    out = files.join(man, "name")
+    if present is None:
+        return out
+    missing = man.join(present, "name", "left_anti").select(
+        F.raise_error(F.concat(F.lit("no file for segment "), "name")).cast("long").alias("seg"))
+    cols = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "seg" else F.col("seg") for f in out.schema.fields]
+    return out.unionByName(missing.select(*cols))
+
+
 def read_segment_files(
     spark: SparkSession,
     path: str,
     manifest: DataFrame,
     schema: T.StructType = SEGMENT_FILE_SCHEMA,
     name_col: str | None = None,
+    check_missing: bool = True,
 ) -> DataFrame:
-    """One scan over a directory holding one CSV per segment.
+    """One scan over a directory of segment CSV files, flat or one folder for each segment.
 
-    Returns ``(seg, name, no, x)``: ``name`` is the file stem (or the partition column
-    ``name_col`` of a partitioned layout), ``seg`` its manifest position and ``no`` the 1-based
-    row number inside the file (per input split, no shuffle of the samples). The manifest --
-    one row per file -- is joined on the name; files not in the manifest are dropped.
+    Returns ``(seg, name, no, x)``: ``name`` is the file stem (or the plain text of the
+    partition column ``name_col`` of a partitioned layout), ``seg`` its manifest position and ``no``
+    the 1-based row number inside the segment, over all its part files in the natural order
+    of their names (no shuffle of the samples). Files not in the manifest are dropped; a manifest
+    entry without a file fails the job unless ``check_missing`` is off.
     """
-    raw = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
-    numbered = file_order_index(raw, name="no", per_file=True, keep_file=True)
-    name = F.col(name_col) if name_col else file_stem(F.col("_file"))
-    files = numbered.withColumn("name", name).drop("_file")
-    man = manifest.select(F.col("seg_id").alias("name"), F.col("pos").cast("long").alias("seg"))
-    return files.join(man, "name").select("seg", "name", F.col("no").cast("int").alias("no"), *[f.name for f in schema.fields])
+    fields = list(schema.fields) + ([T.StructField(name_col, T.StringType())] if name_col else [])
+    raw = spark.read.csv(path, header=True, schema=T.StructType(fields), mode="FAILFAST")
+    name = segment_file_name(F.col("_file"), name_col)
+    files = file_order_index(raw, name="no", per=name, keep_file=True).withColumn("name", name).drop("_file")
+    files = files.select("name", F.col("no").cast("int").alias("no"), *[f.name for f in schema.fields])
+    present = segment_names_present(spark, path, name_col) if check_missing else None
+    return with_manifest(files, manifest, present).select("seg", "name", "no", *[f.name for f in schema.fields])

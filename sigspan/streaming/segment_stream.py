@@ -1,44 +1,39 @@
 """Incremental ingest of segment files with Structured Streaming.
 
-New per-segment CSV files arriving in a directory are picked up in micro-batches of
-``files_per_batch`` files (the reference ingests test files 20 at a time and appends each batch
-to one table). A file is never split across micro-batches, so every batch numbers the rows of
-its files completely (``no`` per file, no shuffle of the samples), matches them to the manifest
-and writes its own ``batch=<epoch>`` folder of the stage table. The stream checkpoint makes the
-ingest restartable: a rerun after a failure continues with the files not yet committed, and a
-replayed batch overwrites its folder, so no rows are written twice.
+New segment CSV files arriving in a directory are picked up in micro-batches bounded by bytes. A
+file is never split across micro-batches, so every batch numbers the rows inside its files
+(no shuffle of the samples) and writes its own ``batch=<epoch>`` folder of the stage table,
+by segment name. The manifest is met when the table is read: a file that arrives before its
+manifest line is not lost, and part files of a segment may come in different micro-batches. The
+stream checkpoint makes the ingest restartable: a rerun after a failure continues with the files
+not yet committed, and a replayed batch overwrites its folder, so no rows are written twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sequence import file_order_index, file_stem
+from ..operators.sequence import file_order_index, natural_order
+from ..sources.files import segment_file_name, with_manifest
 
 _SCHEMA = T.StructType([T.StructField("x", T.DoubleType(), True)])
+BATCH_BYTES = 64 << 30
 
 
-def segment_batch(batch: DataFrame, manifest: DataFrame, name_col: str | None) -> DataFrame:
-    """Rows of one micro-batch -> ``(seg, name, no, x)``."""
-    numbered = file_order_index(batch, name="no", per_file=True, keep_file=True)
-    name = F.col(name_col) if name_col else file_stem(F.col("_file"))
-    man = manifest.select(F.col("seg_id").alias("name"), F.col("pos").cast("long").alias("seg"))
-    return (
-        numbered.withColumn("name", name)
-        .join(man, "name")
-        .select("seg", "name", F.col("no").cast("int").alias("no"), "x")
-    )
+def segment_batch(batch: DataFrame, name_col: str | None) -> DataFrame:
+    """Rows of one micro-batch -> ``(name, file, fno, x)``; ``fno`` counts inside the file."""
+    numbered = file_order_index(batch, name="fno", per_file=True, keep_file=True)
+    return numbered.select(segment_file_name(F.col("_file"), name_col).alias("name"), F.col("_file").alias("file"), "fno", "x")
 
 
 def start_segment_stream(
     spark: SparkSession,
     src_dir: str,
-    manifest: DataFrame,
     out_path: str,
     checkpoint: str,
-    files_per_batch: int = 20,
+    batch_bytes: int = BATCH_BYTES,
     name_col: str | None = "name",
     available_now: bool = True,
 ):
@@ -49,22 +44,21 @@ def start_segment_stream(
     stream = (
         spark.readStream.schema(schema)
         .option("header", True)
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxBytesPerTrigger", str(batch_bytes))
         .option("mode", "FAILFAST")
         .csv(src_dir)
         .select(
-            "*",
+            "x",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
         )
     )
-    man = manifest.cache()  # one row per expected file
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         # one folder per micro-batch, overwritten on replay: a batch re-run after a failure
         # replaces its own output instead of appending it twice
         target = f"{out_path.rstrip('/')}/batch={epoch_id}"
-        segment_batch(batch, man, name_col).write.mode("overwrite").parquet(target)
+        segment_batch(batch, name_col).write.mode("overwrite").parquet(target)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -76,17 +70,26 @@ def ingest_segment_files(
     src_dir: str,
     manifest: DataFrame,
     out_path: str,
-    files_per_batch: int = 20,
+    batch_bytes: int = BATCH_BYTES,
     name_col: str | None = "name",
 ) -> DataFrame:
     """Run the ingest over the files present now, then read the stage table."""
-    query = start_segment_stream(
-        spark, src_dir, manifest, out_path, out_path.rstrip("/") + "-checkpoint", files_per_batch, name_col
-    )
+    query = start_segment_stream(spark, src_dir, out_path, out_path.rstrip("/") + "-checkpoint", batch_bytes, name_col)
     query.awaitTermination()
-    return read_ingested(spark, out_path)
+    return read_ingested(spark, out_path, manifest)
+
 
+def read_ingested(spark: SparkSession, out_path: str, manifest: DataFrame, check_missing: bool = True) -> DataFrame:
+    """``(seg, name, no, x)`` of all micro-batches, with the manifest as it is now.
 
-def read_ingested(spark: SparkSession, out_path: str) -> DataFrame:
-    """The stage table written by the ingest (all micro-batch folders)."""
-    return spark.read.parquet(out_path).drop("batch")
+    ``no`` runs on over the part files of a segment in the natural order of their names. A
+    manifest entry without rows fails the read unless ``check_missing`` is off.
+    """
+    rows = spark.read.parquet(out_path).drop("batch")
+    files = rows.groupBy("name", "file").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("name").orderBy(*natural_order("file")).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    numbered = rows.join(files, F.col("file") == F.col("_f"))
+    numbered = numbered.select("name", (F.col("_off") + F.col("fno")).cast("int").alias("no"), "x")
+    present = rows.select("name").distinct() if check_missing else None
+    return with_manifest(numbered, manifest, present).select("seg", "name", "no", "x")

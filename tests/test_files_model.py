@@ -61,14 +61,44 @@ def test_stream_ingest_equals_batch_reader_and_restarts_cleanly(spark):
     manifest = fl.read_manifest(spark, man_dir)
     batch = fl.read_segment_files(spark, data_dir, manifest, name_col="name")
     out, ck = scratch_path(spark, "t-stream"), scratch_path(spark, "t-stream-ck")
-    q = start_segment_stream(spark, data_dir, manifest, out, ck, files_per_batch=1)
-    q.awaitTermination()
-    streamed = read_ingested(spark, out).select("seg", "name", "no", "x")
+    start_segment_stream(spark, data_dir, out, ck, batch_bytes=2000).awaitTermination()
+    assert spark.read.parquet(out).select("batch").distinct().count() > 1
+    streamed = read_ingested(spark, out, manifest).select("seg", "name", "no", "x")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     # a restart with the same checkpoint finds nothing new and writes nothing twice
-    q2 = start_segment_stream(spark, data_dir, manifest, out, ck, files_per_batch=1)
-    q2.awaitTermination()
-    assert read_ingested(spark, out).count() == batch.count()
+    start_segment_stream(spark, data_dir, out, ck, batch_bytes=2000).awaitTermination()
+    assert read_ingested(spark, out, manifest).count() == batch.count()
+    # files that came before their manifest lines wait in the table
+    assert read_ingested(spark, out, manifest.where("false")).count() == 0
+
+
+def test_segment_parts_names_and_missing_files(spark):
+    import os
+
+    import pytest
+
+    base = local_path(scratch_path(spark, "t-parts"))
+    for name, part, values in [("00123", "part-99999", [1, 2]), ("00123", "part-100000", [3]), ("a b+c", "part-2", [5, 6]), ("a b+c", "part-10", [7])]:
+        os.makedirs(f"{base}/name={name}", exist_ok=True)
+        with open(f"{base}/name={name}/{part}.csv", "w") as f:
+            f.write("x\n" + "".join(f"{v}\n" for v in values))
+    man = frame(spark, [("a b+c", 0), ("00123", 1)], "seg_id string, pos long")
+    got = fl.read_segment_files(spark, base, man, name_col="name").select("seg", "name", "no", "x").collect()
+    assert sorted(map(tuple, got)) == [(0, "a b+c", 1, 5.0), (0, "a b+c", 2, 6.0), (0, "a b+c", 3, 7.0), (1, "00123", 1, 1.0), (1, "00123", 2, 2.0), (1, "00123", 3, 3.0)]
+    more = man.union(frame(spark, [("gone", 2)], "seg_id string, pos long"))
+    with pytest.raises(Exception, match="no file for segment gone"):
+        fl.read_segment_files(spark, base, more, name_col="name").collect()
+    assert fl.read_segment_files(spark, base, more, name_col="name", check_missing=False).count() == 6
+
+
+def test_submission_needs_every_prediction(spark):
+    import pytest
+
+    man = frame(spark, [("a", 0), ("b", 1)], "seg_id string, pos long")
+    preds = frame(spark, [(0, 1.5)], "seg long, prediction double")
+    with pytest.raises(Exception, match="no prediction for b"):
+        mdl.submission(man, preds).collect()
+    assert [tuple(r) for r in mdl.submission(man.limit(1), preds).select("seg_id", "time_to_failure").collect()] == [("a", 1.5)]
 
 
 def test_write_stage_modes(spark):

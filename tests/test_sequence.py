@@ -111,3 +111,32 @@ def test_file_order_index_one_file_many_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == 5000
     assert all(int(r.x) == r.idx - 1 for r in got)
+
+
+def test_null_group_keys_form_a_group(spark):
+    rows = [(None, 3, 1.0), (None, 1, 2.0), ("a", 2, 3.0), ("a", 1, 4.0), (None, 2, 5.0)]
+    df = frame(spark, rows, "g string, t int, v double")
+    got = {(r.g, r.t): r.no for r in sq.row_index(df, ["t"], ["g"], name="no").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, (None, 3): 3, ("a", 1): 1, ("a", 2): 2}
+    from sigspan.operators.profile import exact_quantiles_distributed
+
+    q = {(r.g, r.p): r.q for r in exact_quantiles_distributed(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert q == {(None, 0.0): 1.0, (None, 0.5): 2.0, (None, 1.0): 5.0, ("a", 0.0): 3.0, ("a", 0.5): 3.5, ("a", 1.0): 4.0}
+
+
+def test_natural_order_of_paths(spark):
+    names = ["p/part-99999-a.csv", "p/part-100000-a.csv", "p/part-9.csv", "p/part-010.csv", "p/x", "p/part-2/7", "p/part-2/10"]
+    df = frame(spark, [(n,) for n in names], "path string")
+    got = [r.path for r in df.orderBy(*sq.natural_order("path")).collect()]
+    assert got == ["p/part-2/7", "p/part-2/10", "p/part-9.csv", "p/part-010.csv", "p/part-99999-a.csv", "p/part-100000-a.csv", "p/x"]
+
+
+def test_shared_folder_is_needed_off_local_master():
+    import pytest
+    from types import SimpleNamespace
+
+    from sigspan.session import checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
