@@ -203,13 +203,14 @@ def test_search_recall(spark):
     assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op5_repeats", "op1_license_scan", "op8_source_mix"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_ngram_jaccard", "op3_near_vectors", "op5_repeats", "op8_source_mix"])
 def test_queries_match_oracle(spark, name):
     import __spark_entry__ as entry
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = entry.queries()[name](spark, sf)
     res = con.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in res.description]
