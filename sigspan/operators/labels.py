@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import SegmentSpec
 
 
-def segment_label(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
+def segment_label(seq: DataFrame, spec: SegmentSpec, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, y)`` at ``no = L``; segments that do not reach it have no label."""
-    return seq.where(F.col("no") == spec.length).select("seg", "y")
+    return seq.where(F.col("no") == spec.length).select(*keys, "y")
 
 
-def window_labels(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
+def window_labels(seq: DataFrame, spec: SegmentSpec, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, y0..y{w-1})``: ``y`` at the last position of every window; all positions needed.
 
     One scan with a conditional aggregate instead of a self join per position. Completeness is
@@ -21,8 +23,8 @@ def window_labels(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
     """
     pos = spec.window_label_positions
     picked = seq.where(F.col("no").isin(pos))
-    agg = picked.groupBy("seg").agg(
-        F.count_distinct("no").alias("_npos"),
+    agg = picked.groupBy(*keys).agg(
+        F.count("no").alias("_npos"),  # (keys, no) is unique
         *[F.max(F.when(F.col("no") == p, F.col("y"))).alias(f"y{j}") for j, p in enumerate(pos)],
     )
     return agg.where(F.col("_npos") == len(pos)).drop("_npos")

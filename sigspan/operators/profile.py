@@ -110,21 +110,23 @@ def bucket_of(spec: SegmentSpec, no: str = "no"):
     return F.expr(f"`{no}` div {spec.bucket}").cast("int")
 
 
-def bucket_profile(seq: DataFrame, spec: SegmentSpec, value: str = "x") -> DataFrame:
+def bucket_profile(seq: DataFrame, spec: SegmentSpec, value: str = "x", keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, seq, x_avg, x_p02, x_p98, xa_p95)`` per segment and stat bucket."""
     bucketed = seq.withColumn("seq", bucket_of(spec))
-    return grouped_profile(bucketed, ["seg", "seq"], PROFILES["bucket"], value)
+    return grouped_profile(bucketed, [*keys, "seq"], PROFILES["bucket"], value)
 
 
-def bucket_vectors(profile: DataFrame, columns: Sequence[str] = ("x_avg", "x_p02", "x_p98", "xa_p95")) -> DataFrame:
+def bucket_vectors(
+    profile: DataFrame, columns: Sequence[str] = ("x_avg", "x_p02", "x_p98", "xa_p95"), keys: Sequence[str] = ("seg",)
+) -> DataFrame:
     """Collect bucket statistics of a segment into parallel arrays ordered by bucket.
 
     ``(seg, stx1..stxN array<double>)``; the array position is the rank of the bucket.
     One row per segment, bounded by ``L / B + 1`` buckets.
     """
     cols = list(columns)
-    packed = profile.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("seq", *cols))).alias("_b"))
-    return packed.select("seg", *[F.transform("_b", field(c)).alias(f"stx{i + 1}") for i, c in enumerate(cols)])
+    packed = profile.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", *cols))).alias("_b"))
+    return packed.select(*keys, *[F.transform("_b", field(c)).alias(f"stx{i + 1}") for i, c in enumerate(cols)])
 
 
 

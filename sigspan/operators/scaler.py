@@ -32,10 +32,15 @@ def _std_name(col: str, cols: list[str], std_col: str) -> str:
     return std_col if len(cols) == 1 else f"{std_col}_{col}"
 
 
+def _number(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)
+
+
 def fit_scaler(df: DataFrame, cols: str | Sequence[str], by: Sequence[str] = (), std_col: str = "std") -> DataFrame:
     """Per-dimension sample std of each array column, one row per ``by`` group.
 
-    One column: the result column is ``std_col``; several: ``{std_col}_{col}``.
+    One column: the result column is ``std_col``; several: ``{std_col}_{col}``. NaN values (a statistic
+    of a degenerate segment) do not count, so they spoil no other segment.
     """
     by, cols = list(by), _as_list(cols)
     names = [_std_name(c, cols, std_col) for c in cols]
@@ -43,7 +48,7 @@ def fit_scaler(df: DataFrame, cols: str | Sequence[str], by: Sequence[str] = (),
     zipped = F.arrays_zip(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     long = df.select(*by, F.posexplode(zipped).alias("_k", "_z"))
     per_dim = long.groupBy(*by, "_k").agg(
-        *[F.coalesce(F.stddev_samp(F.col(f"_z._c{i}")), F.lit(0.0)).alias(f"_s{i}") for i in range(len(cols))]
+        *[F.coalesce(F.stddev_samp(_number(F.col(f"_z._c{i}"))), F.lit(0.0)).alias(f"_s{i}") for i in range(len(cols))]
     )
     packed = F.array_sort(F.collect_list(F.struct("_k", *[f"_s{i}" for i in range(len(cols))])))
     gathered = per_dim.groupBy(*by).agg(packed.alias("_p")) if by else per_dim.agg(packed.alias("_p"))

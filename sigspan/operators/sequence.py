@@ -198,13 +198,13 @@ def file_stem(path: str | Column) -> Column:
     return F.substring_index(F.substring_index(decoded_path(path), "/", -1), ".", 1)
 
 
-def complete_segments(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
+def complete_segments(seq: DataFrame, spec: SegmentSpec, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, n)`` of segments that reach the last position ``no = L``."""
     return (
-        seq.groupBy("seg")
+        seq.groupBy(*keys)
         .agg(F.max("no").alias("_last"), F.count(F.lit(1)).alias("n"))
         .where(F.col("_last") == spec.length)
-        .select("seg", "n")
+        .select(*keys, "n")
     )
 
 
@@ -223,31 +223,35 @@ def max_scalar(df: DataFrame, col: str, alias: str = "m") -> DataFrame:
     return df.agg(F.max(col).alias(alias))
 
 
-def split_train_test(seq: DataFrame, spec: SegmentSpec, train_fraction: float = 0.8) -> DataFrame:
-    """Tag complete segments: the first ``train_fraction`` as set 0, the rest as set 1.
+def split_train_test(seq: DataFrame, spec: SegmentSpec, train_fraction: float = 0.8, keep_tail: bool = False) -> DataFrame:
+    """Tag segments: the first ``train_fraction`` of the complete ones as set 0, the rest as set 1.
 
-    Adds ``set`` and ``set_seg`` (segment number restarting at 0 inside each set); the partial
-    tail segment is dropped. Needs one scalar (the last index), a scalar subquery.
+    Adds ``set`` and ``set_seg`` (segment number restarting at 0 inside each set). The partial
+    tail segment is dropped, or with ``keep_tail`` becomes the last segment of the train set.
+    Needs one scalar (the last index), a scalar subquery.
     """
     L = spec.length
     last = seq.agg(F.max("idx")).scalar()
     full = ((last - last % L) / L).cast("long")  # exact: a multiple of L divided by L
     n_train = F.floor(full * F.lit(train_fraction).cast("decimal(10,6)")).cast("long")
+    tagged = seq.withColumn("_n_train", n_train).withColumn("_full", full)
+    if not keep_tail:
+        tagged = tagged.where(F.col("seg") < F.col("_full"))
+    test = (F.col("seg") >= F.col("_n_train")) & (F.col("seg") < F.col("_full"))
     return (
-        seq.withColumn("_n_train", n_train)
-        .where(F.col("seg") < full)
-        .withColumn("set", F.when(F.col("seg") < F.col("_n_train"), F.lit(0)).otherwise(F.lit(1)))
-        .withColumn("set_seg", F.when(F.col("set") == 0, F.col("seg")).otherwise(F.col("seg") - F.col("_n_train")))
+        tagged.withColumn("set", F.when(test, F.lit(1)).otherwise(F.lit(0)))
+        .withColumn("set_seg", F.when(test, F.col("seg") - F.col("_n_train")).otherwise(F.least("seg", "_n_train")))
+        .drop("_full")
     )
 
 
 def union_train_test(seq: DataFrame, spec: SegmentSpec, train_fraction: float = 0.8) -> DataFrame:
-    """Train and test sets as one relation keyed by ``(set, seg)``.
+    """Train and test sets as one relation keyed by ``(set, seg)``; every row of ``seq`` is in it.
 
     Test rows get a NULL label and ids that continue after the largest train id:
     ``uid = max(train uid) + position inside the test set``.
     """
-    tagged = split_train_test(seq, spec, train_fraction)
+    tagged = split_train_test(seq, spec, train_fraction, keep_tail=True)
     train = tagged.where(F.col("set") == 0)
     test = tagged.where(F.col("set") == 1)
     max_train_uid = train.agg(F.max("uid")).scalar()

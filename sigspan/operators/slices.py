@@ -9,6 +9,8 @@ size is bounded by the segment length -- and cut the slices out of the ordered s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,19 @@ def slice_membership(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
     )
 
 
-def slice_rows(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
-    """``(seg, slice, n, x_sum)``: sample count and sum per slice."""
+def slice_rows(seq: DataFrame, spec: SegmentSpec, keys: Sequence[str] = ("seg",)) -> DataFrame:
+    """``(seg, slice, n, x_sum)``: sample count and sum per slice.
+
+    ``keys`` identify a segment here and below: ``("set", "seg")`` on a union of sets.
+    """
     return (
         slice_membership(seq, spec)
-        .groupBy("seg", "slice")
+        .groupBy(*keys, "slice")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x_sum"))
     )
 
 
-def slice_counts(seq: DataFrame, spec: SegmentSpec, complete_only: bool = True) -> DataFrame:
+def slice_counts(seq: DataFrame, spec: SegmentSpec, complete_only: bool = True, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, n0..n{k-1})``: samples per slice, one scan with conditional aggregates.
 
     With ``complete_only`` a segment is kept only if every slice has samples (the result of
@@ -51,7 +56,7 @@ def slice_counts(seq: DataFrame, spec: SegmentSpec, complete_only: bool = True)
     """
     m = slice_membership(seq, spec)
     names = [f"n{i}" for i in range(spec.n_slices)]
-    agg = m.groupBy("seg").agg(
+    agg = m.groupBy(*keys).agg(
         *[F.count(F.when(F.col("slice") == i, F.lit(1))).alias(c) for i, c in enumerate(names)]
     )
     if complete_only:
@@ -79,7 +84,7 @@ def join_slices(seq: DataFrame, spec: SegmentSpec) -> DataFrame:
     return out
 
 
-def segment_samples(seq: DataFrame, value: str = "x", max_len: int | None = None) -> DataFrame:
+def segment_samples(seq: DataFrame, value: str = "x", max_len: int | None = None, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, _s array<struct<no, v>>)`` ordered by position; one row per segment.
 
     Positions beyond ``max_len`` are left out, so a segment file far longer than the segment
@@ -88,17 +93,19 @@ def segment_samples(seq: DataFrame, value: str = "x", max_len: int | None = None
     if max_len is not None:
         seq = seq.where(F.col("no") <= max_len)
     no = F.col("no")
-    return seq.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), F.col(value).alias("v")))).alias("_s"))
+    return seq.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), F.col(value).alias("v")))).alias("_s"))
 
 
-def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete_only: bool = True) -> DataFrame:
+def segment_slices(
+    seq: DataFrame, spec: SegmentSpec, value: str = "x", complete_only: bool = True, keys: Sequence[str] = ("seg",)
+) -> DataFrame:
     """``(seg, slices array<array<double>>)``: the ordered samples of every slice.
 
     With ``complete_only`` segments lacking any slice are dropped.
     """
     s, n = spec.slice_len, spec.n_slices
     first = 0 if spec.boundary == "inclusive" else 1  # first position of slice i is i*s + first
-    samples = segment_samples(seq, value, max_len=s * n)
+    samples = segment_samples(seq, value, max_len=s * n, keys=keys)
     values = F.transform("_s", lambda e: e["v"])
     size = F.size("_s")
     # positions 1..m without gaps (a sequenced signal, a whole file): slice i is one positional cut
@@ -112,7 +119,7 @@ def segment_slices(seq: DataFrame, spec: SegmentSpec, value: str = "x", complete
     slices = F.when(contiguous, bind(values, lambda vals: F.transform(idx, lambda i: _cut(vals, i, s, first, size)))).otherwise(
         F.transform(idx, pick)
     )
-    out = samples.select("seg", slices.alias("slices"))
+    out = samples.select(*keys, slices.alias("slices"))
     if complete_only:
         out = out.where(F.forall("slices", lambda a: F.size(a) > 0))
     return out
@@ -124,21 +131,21 @@ def _cut(values: Column, i: Column, s: int, first: int, size: Column) -> Column:
     return F.slice(values, start, F.greatest(end - start + 1, F.lit(0)))
 
 
-def slice_vectors(seg_slices: DataFrame) -> DataFrame:
+def slice_vectors(seg_slices: DataFrame, keys: Sequence[str] = ("seg",)) -> DataFrame:
     """Long form of slice vectors: ``(seg, slice, vx)``."""
-    return seg_slices.select("seg", F.posexplode("slices").alias("slice", "vx"))
+    return seg_slices.select(*keys, F.posexplode("slices").alias("slice", "vx"))
 
 
-def concat_slices(seg_slices: DataFrame, out: str = "vx") -> DataFrame:
+def concat_slices(seg_slices: DataFrame, out: str = "vx", keys: Sequence[str] = ("seg",)) -> DataFrame:
     """Segment vector: the slices concatenated in order (``L + slices - 1`` values if inclusive)."""
-    return seg_slices.select("seg", F.flatten("slices").alias(out))
+    return seg_slices.select(*keys, F.flatten("slices").alias(out))
 
 
-def sliding_windows(seg_slices: DataFrame, spec: SegmentSpec, out: str = "vx") -> DataFrame:
+def sliding_windows(seg_slices: DataFrame, spec: SegmentSpec, out: str = "vx", keys: Sequence[str] = ("seg",)) -> DataFrame:
     """``(seg, win, vx)``: window ``j`` = slices ``j .. j+win_slices-1`` concatenated."""
     k, nw = spec.win_slices, spec.n_windows
     wins = F.transform(F.sequence(F.lit(0), F.lit(nw - 1)), lambda j: F.flatten(F.slice("slices", j + 1, k)))
-    return seg_slices.select("seg", F.posexplode(wins).alias("win", out))
+    return seg_slices.select(*keys, F.posexplode(wins).alias("win", out))
 
 
 def to_long(df: DataFrame, keys: list[str], col: str, k: str = "k", v: str = "v") -> DataFrame:

@@ -26,6 +26,7 @@ from ..functions.stats import PROFILE_20
 from ..session import scratch_path, shuffle_partitions
 from ..sources import files as fl
 from ..sources import sinks as sk
+from ..sources.views import profile_sql
 from ..sources.tables import embeddings_vectors, read_signal, read_table
 from ..spec import SMOKE, TAIL, TEST, BinSpec, SegmentSpec
 from ..streaming.segment_stream import ingest_segment_files
@@ -62,7 +63,7 @@ def _long(df: DataFrame, keys: list[str], col: str, k: str = "k", v: str = "v")
 
 
 def q_row_index(spark, sf):
-    return finalize(sq.row_index(read_signal(spark, sf), ["ts", "uid"]).select("uid", "idx"))
+    return finalize(sq.row_index(read_signal(spark, sf), ["ts", "uid"], keep=["uid"]).select("uid", "idx"))
 
 
 def q_sequenced_signal(spark, sf):
@@ -365,11 +366,47 @@ def q_streamed_segment_files(spark, sf):
 
 
 def q_train_test_union(spark, sf):
-    return finalize(sq.union_train_test(seq_of(spark, sf), TEST).select("uid", "set", "seg", "no", "y"))
+    return finalize(sq.union_train_test(seq_of(spark, sf, TAIL), TAIL).select("uid", "set", "seg", "no", "y"))
+
+
+def _union(spark, sf, spec) -> DataFrame:
+    return sq.union_train_test(seq_of(spark, sf, spec), spec).withColumnRenamed("set", "grp")
+
+
+def q_union_profile(spark, sf):
+    """Segment profiles of a union of sets, keyed by (set, segment); the train tail included."""
+    return finalize(prof.segment_profile(_union(spark, sf, TAIL), "moments", keys=["grp", "seg"]))
+
+
+def q_union_slice_vectors(spark, sf):
+    """Slice vectors of a union of sets, keyed by (set, segment)."""
+    keys = ["grp", "seg"]
+    vec = sl.slice_vectors(sl.segment_slices(_union(spark, sf, TEST), TEST, keys=keys), keys=keys)
+    return finalize(vec.select("grp", "seg", "slice", F.posexplode("vx").alias("k", "v")))
+
+
+def q_sql_profile(spark, sf):
+    """The 14-statistic profile as SQL text over the registered relation."""
+    return finalize(profile_sql(spark, seq_of(spark, sf), "tails"))
+
+
+def q_single_file_export(spark, sf):
+    """Result CSV in one file, read back with the number of files."""
+    path = sk.write_submission(_submission(spark, sf), scratch_path(spark, "single"), single_file=True)
+    schema = T.StructType([T.StructField("seg_id", T.StringType()), T.StructField("time_to_failure", T.DoubleType())])
+    back = spark.read.csv(path, header=True, schema=schema).withColumn("file", F.input_file_name())
+    return finalize(back.agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"), F.round(F.sum("time_to_failure"), 4).alias("total")))
+
+
+def q_sorted_stage(spark, sf):
+    """A stage table sorted by (segment, position), read back in file order."""
+    path = sk.write_stage(seq_of(spark, sf).select("seg", "no", "x"), scratch_path(spark, "sorted"), sort_by=["seg", "no"])
+    back = sq.file_order_index(spark.read.parquet(path), name="place")
+    return finalize(back.select("place", "seg", "no"))
 
 
 def q_parquet_roundtrip(spark, sf):
-    tagged = sq.split_train_test(seq_of(spark, sf), TEST).select("set", F.col("set_seg").alias("seg"), "no", "x")
+    tagged = sq.split_train_test(seq_of(spark, sf, TAIL), TAIL, keep_tail=True).select("set", F.col("set_seg").alias("seg"), "no", "x")
     path = sk.write_stage(tagged, scratch_path(spark, "pq"), partition_by=["set"], sort_by=["seg", "no"])
     back = spark.read.parquet(path)
     return finalize(back.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x_sum")))
@@ -521,6 +558,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flat_segment_files": q_flat_segment_files,
     "streamed_segment_files": q_streamed_segment_files,
     "train_test_union": q_train_test_union,
+    "union_profile": q_union_profile,
+    "union_slice_vectors": q_union_slice_vectors,
+    "sql_profile": q_sql_profile,
+    "single_file_export": q_single_file_export,
+    "sorted_stage": q_sorted_stage,
     "parquet_roundtrip": q_parquet_roundtrip,
     "append_batches": q_append_batches,
     "training_set": q_training_set,

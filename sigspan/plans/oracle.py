@@ -366,19 +366,35 @@ def build() -> dict[str, str]:
         f"CAST(no AS BIGINT) AS no, {r6('x')} AS x FROM sig"
     )
     q["streamed_segment_files"] = q["flat_segment_files"] = q["multi_file_segments"]
-    split = with_sig(L, _split_ctes(T))
+    def union_cte(spec: SegmentSpec) -> str:
+        n = spec.length
+        return (
+            f"p AS (SELECT max(idx) // {n} AS n_full FROM sig), "
+            "p2 AS (SELECT n_full, CAST(floor(n_full * CAST(0.8 AS DECIMAL(10, 6))) AS BIGINT) AS n_train FROM p), "
+            "u0 AS (SELECT sig.*, n_train, CASE WHEN sig.seg >= n_train AND sig.seg < n_full THEN 1 ELSE 0 END AS grp FROM sig, p2), "
+            "u AS (SELECT uid, idx, no, x, y, n_train, grp, CASE WHEN grp = 1 THEN seg - n_train ELSE least(seg, n_train) END AS seg FROM u0)"
+        )
+
+    union = with_sig(TAIL.length, union_cte(TAIL))
     q["train_test_union"] = (
-        split
-        + ", mx AS (SELECT max(uid) AS m FROM t WHERE seg < n_train) "
-        f"SELECT CAST(uid AS BIGINT) AS uid, CAST(0 AS BIGINT) AS \"set\", CAST(seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no, {r6('y')} AS y "
-        "FROM t WHERE seg < n_train UNION ALL "
-        f"SELECT CAST(mx.m + t.idx - t.n_train * {L} AS BIGINT) AS uid, CAST(1 AS BIGINT) AS \"set\", CAST(seg - n_train AS BIGINT) AS seg, "
-        "CAST(no AS BIGINT) AS no, CAST(NULL AS DOUBLE) AS y FROM t, mx WHERE seg >= n_train"
+        union
+        + ", mx AS (SELECT max(uid) AS m FROM u WHERE grp = 0) "
+        f"SELECT CAST(CASE WHEN grp = 0 THEN uid ELSE mx.m + idx - n_train * {TAIL.length} END AS BIGINT) AS uid, CAST(grp AS BIGINT) AS \"set\", "
+        f"CAST(seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no, {r6('CASE WHEN grp = 0 THEN y END')} AS y FROM u, mx"
+    )
+    q["union_profile"] = _profile_sql(PROFILE_20, "u", ["grp", "seg"], "x", union)
+    q["union_slice_vectors"] = (
+        with_sig(L, slices_cte(T), "n AS (SELECT CAST(floor((max(idx) // %d) * CAST(0.8 AS DECIMAL(10, 6))) AS BIGINT) AS n_train FROM sig)" % L)
+        + " SELECT CAST(CASE WHEN seg < n_train THEN 0 ELSE 1 END AS BIGINT) AS grp, CAST(CASE WHEN seg < n_train THEN seg ELSE seg - n_train END AS BIGINT) AS seg, "
+        f"CAST(slice AS BIGINT) AS slice, CAST(row_number() OVER (PARTITION BY seg, slice ORDER BY no) - 1 AS BIGINT) AS k, {r6('x')} AS v FROM sl, n"
+    )
+    q["sql_profile"] = q["segment_profile_14"]
+    q["sorted_stage"] = (
+        with_sig(L)
+        + " SELECT CAST(row_number() OVER (ORDER BY seg, no) AS BIGINT) AS place, CAST(seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no FROM sig"
     )
     q["parquet_roundtrip"] = (
-        split
-        + " SELECT CAST(CASE WHEN seg < n_train THEN 0 ELSE 1 END AS BIGINT) AS \"set\", count(*) AS n, "
-        f"{r6('sum(x)')} AS x_sum FROM t GROUP BY 1"
+        union + f" SELECT CAST(grp AS BIGINT) AS \"set\", count(*) AS n, {r6('sum(x)')} AS x_sum FROM u GROUP BY 1"
     )
     q["append_batches"] = with_sig(L) + " SELECT CAST(seg AS BIGINT) AS seg, count(*) AS n FROM sig GROUP BY seg"
 
@@ -423,6 +439,10 @@ def build() -> dict[str, str]:
             msplit + line
             + f"SELECT printf('raw_%04d', CAST(seg AS BIGINT)) AS seg_id, {value} AS time_to_failure FROM f, line WHERE seg >= n_train"
         )
+    q["single_file_export"] = (
+        msplit + line
+        + f"SELECT CAST(1 AS BIGINT) AS files, count(*) AS n, {r6('round(sum(a * x_avg + b), 4)')} AS total FROM f, line WHERE seg >= n_train"
+    )
     return q
 
 

@@ -22,13 +22,13 @@ def write_stage(
     """Write a stage table.
 
     ``mode``: ``overwrite``, ``append`` or ``errorifexists`` (fail if present). ``sort_by``
-    range-partitions on the leading keys and sorts inside partitions -- ordered files without a
+    range-partitions on all of its keys (one hot leading key is split) and sorts inside partitions -- ordered files without a
     single-partition write, so later range filters skip row groups.
     """
     out = df
     if sort_by:
         keys = list(sort_by)
-        out = out.repartitionByRange(*keys[: max(1, len(keys) - 1)]).sortWithinPartitions(*keys)
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -47,7 +47,8 @@ def write_segment_table(df: DataFrame, path: str, buckets: int | None = None, na
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = name or f"sigspan_seg_{uuid.uuid4().hex}"
     (
-        df.write.mode("overwrite")
+        df.repartition(n, "seg")  # the one exchange: a task writes one bucket, so n files at most
+        .write.mode("overwrite")
         .bucketBy(n, "seg")
         .sortBy("seg", "no")
         .option("path", path)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF001, frame
+from conftest import SF0001, SF001, frame
 from sigspan.operators import sequence as sq
 from sigspan.operators import slices as sl
 from sigspan.sources.tables import read_signal
@@ -67,3 +67,39 @@ def test_gap_in_positions_uses_filter_path(spark):
     assert out[0][5] == [float(n) for n in range(50, 61) if n != 55]
     assert out[1][5] == [float(n) for n in range(50, 61)]
     assert out[0][0] == [float(n) for n in range(1, 11)] and out[1][9] == [float(n) for n in range(90, 101)]
+
+
+def test_union_keeps_sets_and_tail_apart(spark):
+    from sigspan.operators import labels as lab
+    from sigspan.operators import profile as prof
+
+    spec = SMOKE.with_(length=300, slice_len=30)
+    seq = sq.sequence_signal(read_signal(spark, SF0001), spec)
+    union = sq.union_train_test(seq, spec)
+    assert union.count() == seq.count() and seq.count() % 300
+    keys = ["set", "seg"]
+    slices = sl.segment_slices(union, spec, keys=keys)
+    assert slices.count() == seq.count() // 300
+    assert {len(r.vx) for r in sl.concat_slices(slices, keys=keys).collect()} == {spec.vector_len}
+    assert sum(r.n for r in sl.slice_rows(union, spec, keys=keys).collect()) >= seq.count()
+    assert lab.segment_label(union, spec, keys).count() == seq.count() // 300
+    assert prof.segment_profile(union, "moments", keys=keys).count() == seq.count() // 300 + 1
+
+
+def test_degenerate_segment_spoils_no_scaler(spark):
+    import math
+
+    from sigspan.operators.scaler import standard_scale
+
+    df = frame(spark, [(0, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, float("nan")])], "seg long, v array<double>")
+    got = {r.seg: r.v for r in standard_scale(df, "v").collect()}
+    assert abs(got[1][1] - 6.0 / math.sqrt(8.0)) < 1e-12 and math.isnan(got[2][1]) and abs(got[0][0] - 0.5) < 1e-12
+
+
+def test_bucketed_table_has_one_file_a_bucket(spark):
+    from sigspan.session import scratch_path
+    from sigspan.sources import sinks as sk
+
+    seq = sq.sequence_signal(read_signal(spark, SF0001), SMOKE)
+    table = sk.write_segment_table(seq, scratch_path(spark, "t-buckets"), buckets=3)
+    assert 0 < len(table.inputFiles()) <= 3 and table.count() == seq.count()
