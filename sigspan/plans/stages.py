@@ -83,7 +83,8 @@ def spectral_features(train: DataFrame, test: DataFrame, spec: SegmentSpec) -> t
 def stat_features(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(seg, stat)`` of the 20- and of the 14-statistic profile, each scaled on its own set.
 
-    Both profiles come from one aggregation over the set.
+    One aggregation computes the statistics of both profiles; each output plans it anew, for its
+    scaler fit and for its rows.
     """
     both = prof.segment_profile(seq, "both")
     out = []
