@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-from __spark_entry__ import queries  # noqa: E402
+from sigspan.plans.catalog import QUERIES  # noqa: E402
 from sigspan.session import local_session  # noqa: E402
 
 
@@ -50,7 +50,7 @@ def main():
     out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
     spark = local_session(8, 8)
     rows = []
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
