@@ -54,8 +54,10 @@ def with_manifest(files: DataFrame, manifest: DataFrame, present: DataFrame | No
     out = files.join(man, "name")
     if present is None:
         return out
-    missing = man.join(present, "name", "left_anti").select(
-        F.raise_error(F.concat(F.lit("no file for segment "), "name")).cast("long").alias("seg"))
+    # the error depends on a column of the join, so that no filter on seg moves it below the join
+    found = man.join(present.select("name", F.lit(True).alias("_found")), "name", "left").where(F.col("_found").isNull())
+    error = F.raise_error(F.concat(F.lit("no file for segment "), "name")).cast("long")
+    missing = found.select(F.when(F.col("_found").isNull(), error).alias("seg"))
     cols = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "seg" else F.col("seg") for f in out.schema.fields]
     return out.unionByName(missing.select(*cols))
 

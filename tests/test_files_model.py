@@ -85,6 +85,8 @@ def test_segment_parts_names_and_missing_files(spark):
     man = frame(spark, [("a b+c", 0), ("00123", 1)], "seg_id string, pos long")
     got = fl.read_segment_files(spark, base, man, name_col="name").select("seg", "name", "no", "x").collect()
     assert sorted(map(tuple, got)) == [(0, "a b+c", 1, 5.0), (0, "a b+c", 2, 6.0), (0, "a b+c", 3, 7.0), (1, "00123", 1, 1.0), (1, "00123", 2, 2.0), (1, "00123", 3, 3.0)]
+    # grouping by seg puts a filter on it below the check
+    assert fl.read_segment_files(spark, base, man, name_col="name").groupBy("seg").count().join(man.withColumnRenamed("pos", "seg"), "seg").count() == 2
     more = man.union(frame(spark, [("gone", 2)], "seg_id string, pos long"))
     with pytest.raises(Exception, match="no file for segment gone"):
         fl.read_segment_files(spark, base, more, name_col="name").collect()
