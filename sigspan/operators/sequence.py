@@ -8,7 +8,10 @@ distributed sort works:
   sampled bounds), sort inside each partition, tag rows with ``monotonically_increasing_id``
   (partition id in the high bits, position in the low bits), count rows per partition,
   prefix-sum the counts (one row per partition) and add the offset back. The tagged frame is
-  checkpointed, so both passes see the same partitions even after an executor loss.
+  written once as a Parquet stage table, so both passes see the same partitions even after an
+  executor loss, and each reads only the columns it needs.
+* ``group_offsets``: rows that are numbered inside their groups already need only the groups' sizes;
+  the prefix sum runs over blocks of groups first, so no task holds all of them.
 * ``file_order_index`` (physical file order, e.g. a CSV written in time order): no shuffle at
   all; rows are counted per input split ``(file, block start)`` and offset by the splits before.
 
@@ -24,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, shuffle_partitions, sized_broadcast
+from ..session import shuffle_partitions, sized_broadcast, stage_table
 from ..spec import SegmentSpec
 
 _POS_BITS = 33
@@ -37,7 +40,7 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def _tag_sorted(
-    df: DataFrame, keys: list[Column], num_partitions: int | None, checkpoint: bool, keep: list[str] | None
+    df: DataFrame, keys: list[Column], num_partitions: int | None, stored: bool, keep: list[str] | None
 ) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
@@ -47,9 +50,8 @@ def _tag_sorted(
         .sortWithinPartitions(*keys)
         .select(*cols, F.monotonically_increasing_id().alias("_mid"))
     )
-    if checkpoint:
-        checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+    if stored:
+        tagged = stage_table(tagged, "row-index")
     tagged = tagged.select(
         "*",
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),
@@ -81,18 +83,18 @@ def row_index(
     partition_by: Sequence[str] = (),
     name: str = "idx",
     num_partitions: int | None = None,
-    checkpoint: bool = True,
+    stored: bool = True,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Dense ``row_number()`` over ``order_by`` (1-based), optionally restarted per ``partition_by``.
 
     Equals ``row_number() OVER ([PARTITION BY p] ORDER BY o)``; the order key should be unique
     (add a tie-breaker) so that the numbering is deterministic. ``keep`` lists the columns to
-    carry (default all): order keys not needed later need not be checkpointed. The sort uses ``num_partitions``
+    carry (default all): order keys not needed later need not be stored. The sort uses ``num_partitions``
     range partitions, by default the session's ``spark.sql.shuffle.partitions`` (a fixed count:
     letting AQE merge ranges would put a small input into a single task).
 
-    ``checkpoint=False`` is for tests only: the counting pass and the numbering pass then plan
+    ``stored=False`` is for tests only: the counting pass and the numbering pass then plan
     two range shuffles (column pruning makes them differ), and Spark's range sampler re-samples
     imbalanced partitions with a seed derived from the RDD id, so their bounds may disagree.
     """
@@ -100,7 +102,7 @@ def row_index(
     keys = _cols([*part, *order_by])
     out_cols = list(keep) if keep is not None else [c for c in df.columns if c != name]
     carried = out_cols + [c for c in part if c not in out_cols]
-    tagged, n = _tag_sorted(df, keys, num_partitions, checkpoint, carried)
+    tagged, n = _tag_sorted(df, keys, num_partitions, stored, carried)
 
     if not part:
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -120,6 +122,18 @@ def row_index(
     return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
 
 
+def group_offsets(rows: DataFrame, key: str, position: str, name: str = "off", block: int = 4096) -> DataFrame:
+    """``(key, off)``: how many rows the groups with a smaller ``key`` (a number from 0 on) hold.
+
+    ``position`` numbers the rows of a group 1, 2, ... already, so its maximum is the size; the rows
+    themselves are neither sorted nor moved. A window holds ``block`` groups, or one row a block.
+    """
+    sizes = rows.groupBy(key).agg(F.max(position).cast("long").alias("_n")).withColumn("_b", F.floor(F.col(key) / block))
+    blocks = _offsets(sizes.groupBy("_b").agg(F.sum("_n").alias("_bn")), ["_b"], "_bn").select("_b", F.col("_off").alias("_boff"))
+    inside = _offsets(sizes, [key], "_n", ["_b"])
+    return inside.join(blocks, "_b").select(key, (F.col("_boff") + F.col("_off")).alias(name))
+
+
 def natural_order(path: str | Column) -> list[Column]:
     """Sort keys of a path with digit runs compared as numbers: part-99999 before part-100000.
 

@@ -16,6 +16,7 @@ Stages (each a function of DataFrames, plus ``run_stages`` that wires them to fi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ from ..sources import files as fl
 from ..sources import sinks as sk
 from ..spec import SegmentSpec
 
+Store = Callable[[DataFrame, str], DataFrame]  # (frame, table name) -> the frame, or the table it was written to
+
 
 def ingest_train(spark: SparkSession, train_csv: str, spec: SegmentSpec) -> DataFrame:
     """Train signal CSV -> ``(uid, set, seg, no, name, x, y)``; ``uid`` = 0-based file position."""
@@ -52,10 +55,10 @@ def ingest_train(spark: SparkSession, train_csv: str, spec: SegmentSpec) -> Data
 def ingest_test(spark: SparkSession, test_dir: str, manifest: DataFrame, train: DataFrame, name_col: str | None = None) -> DataFrame:
     """Per-segment CSVs -> test rows: ``seg`` = manifest position, ``uid`` after the last train id."""
     segs = fl.read_segment_files(spark, test_dir, manifest, name_col=name_col)
-    numbered = sq.row_index(segs, ["seg", "no"], name="_pos")
+    numbered = segs.join(sq.group_offsets(segs, "seg", "no", "_off"), "seg")
     max_train_uid = train.agg(F.max("uid")).scalar()
     return numbered.select(
-        (max_train_uid + F.col("_pos")).alias("uid"),
+        (max_train_uid + F.col("_off") + F.col("no")).alias("uid"),
         F.lit(1).alias("set"),
         "seg",
         "no",
@@ -65,28 +68,41 @@ def ingest_test(spark: SparkSession, test_dir: str, manifest: DataFrame, train:
     )
 
 
-def spectral_features(train: DataFrame, test: DataFrame, spec: SegmentSpec) -> tuple[DataFrame, DataFrame]:
-    """``(seg, f)`` band of the spectral bins for both sets; the scaler is fitted on train only."""
-    vec_train = sl.concat_slices(sl.segment_slices(train, spec))
-    vec_test = sl.concat_slices(sl.segment_slices(test, spec))
-    spec_train = sp.dct(vec_train, "vx", keep=spec.dct_keep)
-    spec_test = sp.dct(vec_test, "vx", keep=spec.dct_keep)
-    stds = sc.fit_scaler(spec_train, "vx")
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def slice_table(train: DataFrame, test: DataFrame, spec: SegmentSpec, store: Store = _lazy) -> tuple[DataFrame, DataFrame]:
+    """``(seg, slices)`` of both sets, the one source of spectra and window spectra."""
+    return (store(sl.segment_slices(train, spec), "train.vector"), store(sl.segment_slices(test, spec), "test.vector"))
+
+
+def spectral_features(
+    slices_train: DataFrame, slices_test: DataFrame, spec: SegmentSpec, store: Store = _lazy
+) -> tuple[DataFrame, DataFrame]:
+    """``(seg, f)`` band of the spectral bins for both sets; the scaler is fitted on train only.
+
+    ``store`` keeps each step as a table: the train spectra before scaling (fit and apply read them),
+    the scaled spectra, the bins and their band.
+    """
+    low = [sp.dct(sl.concat_slices(s), "vx", keep=spec.dct_keep) for s in (slices_train, slices_test)]
+    low[0] = store(low[0], "train.vector.low")
+    stds = sc.fit_scaler(low[0], "vx")
     out = []
-    for spectra in (spec_train, spec_test):
-        scaled = sc.apply_scaler(spectra, "vx", stds)
-        binned = sp.spectral_bins(scaled, "vx", spec.bins, "f").drop("vx")
-        out.append(sp.band_slice(binned, "f", spec))
+    for name, spectra in zip(("train", "test"), low):
+        scaled = store(sc.apply_scaler(spectra, "vx", stds), f"{name}.vector.dct")
+        binned = store(sp.spectral_bins(scaled, "vx", spec.bins, "f").drop("vx"), f"{name}.bins")
+        out.append(store(sp.band_slice(binned, "f", spec), f"{name}.fbin"))
     return out[0], out[1]
 
 
-def stat_features(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
+def stat_features(seq: DataFrame, name: str = "train", store: Store = _lazy) -> tuple[DataFrame, DataFrame]:
     """``(seg, stat)`` of the 20- and of the 14-statistic profile, each scaled on its own set.
 
-    One aggregation computes the statistics of both profiles; each output plans it anew, for its
-    scaler fit and for its rows.
+    One aggregation computes the statistics of both profiles. With a ``store`` it runs once, and the
+    scaler fits read its table (one row a segment).
     """
-    both = prof.segment_profile(seq, "both")
+    both = store(prof.segment_profile(seq, "both"), f"{name}.profile")
     out = []
     for stats in (PROFILE_20, PROFILE_14):
         names = [s[0] for s in stats]
@@ -95,17 +111,18 @@ def stat_features(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-def window_features(train: DataFrame, test: DataFrame, spec: SegmentSpec) -> tuple[DataFrame, DataFrame]:
+def window_features(
+    slices_train: DataFrame, slices_test: DataFrame, spec: SegmentSpec, store: Store = _lazy
+) -> tuple[DataFrame, DataFrame]:
     """``(seg, f)`` of ``windows * band`` values; one scaler per window position, fitted on train."""
-    wins_train = sl.sliding_windows(sl.segment_slices(train, spec), spec)
-    wins_test = sl.sliding_windows(sl.segment_slices(test, spec), spec)
-    spec_train = sp.dct(wins_train, "vx", keep=spec.win_dct_keep)
-    spec_test = sp.dct(wins_test, "vx", keep=spec.win_dct_keep)
-    stds = sc.fit_scaler(spec_train, "vx", by=["win"])
+    low = [sp.dct(sl.sliding_windows(s, spec), "vx", keep=spec.win_dct_keep) for s in (slices_train, slices_test)]
+    low[0] = store(low[0], "train.win.vector.low")
+    stds = sc.fit_scaler(low[0], "vx", by=["win"])
     out = []
-    for spectra in (spec_train, spec_test):
-        scaled = sc.apply_scaler(spectra, "vx", stds, by=["win"], groups_bound=spec.n_windows)
-        out.append(sp.window_features(sp.window_bins(scaled, spec, col="vx"), spec))
+    for name, spectra in zip(("train", "test"), low):
+        scaled = store(sc.apply_scaler(spectra, "vx", stds, by=["win"], groups_bound=spec.n_windows), f"{name}.win.vector.dct")
+        binned = store(sp.window_bins(scaled, spec, col="vx"), f"{name}.win.bins")
+        out.append(store(sp.window_features(binned, spec), f"{name}.win.fbin"))
     return out[0], out[1]
 
 
@@ -155,35 +172,33 @@ def run_stages(
     kind: str = "gbt",
     name_col: str | None = None,
 ) -> ModelResult:
-    """Run every stage, writing each stage table below ``out_dir``; returns the model result."""
+    """Run every stage, writing each stage table below ``out_dir``; returns the model result.
+
+    Each later stage reads the tables of the earlier ones: the samples of a set are collected to
+    slices once, aggregated to profiles once, transformed once.
+    """
     out = out_dir.rstrip("/")
     manifest = fl.read_manifest(spark, manifest_csv)
     # each set is written once bucketed by segment: every stage below groups by seg shuffle-free
     train = sk.write_segment_table(ingest_train(spark, train_csv, spec), f"{out}/train.parquet")
     test = sk.write_segment_table(ingest_test(spark, test_dir, manifest, train, name_col), f"{out}/test.parquet")
 
-    f_train, f_test = spectral_features(train, test, spec)
-    sk.write_stage(f_train, f"{out}/train.fbin.parquet")
-    sk.write_stage(f_test, f"{out}/test.fbin.parquet")
+    def store(df: DataFrame, name: str) -> DataFrame:
+        return spark.read.schema(df.schema).parquet(sk.write_stage(df, f"{out}/{name}.parquet"))
+
+    slices = slice_table(train, test, spec, store)
+    f_train, f_test = spectral_features(*slices, spec, store)
+    labels = {}
     for name, seq in (("train", train), ("test", test)):
-        s20, s14 = stat_features(seq)
-        sk.write_stage(s20, f"{out}/{name}.stat.parquet")
-        sk.write_stage(s14, f"{out}/{name}.stat.2.parquet")
-        sk.write_stage(lab.segment_label(seq, spec), f"{out}/{name}.target.parquet")
+        s20, s14 = stat_features(seq, name, store)
+        store(s20, f"{name}.stat")
+        store(s14, f"{name}.stat.2")
+        labels[name] = store(lab.segment_label(seq, spec), f"{name}.target")
     if spec.win_bins is not None:
-        w_train, w_test = window_features(train, test, spec)
-        sk.write_stage(w_train, f"{out}/train.win.fbin.parquet")
-        sk.write_stage(w_test, f"{out}/test.win.fbin.parquet")
-        sk.write_stage(lab.window_labels(train, spec), f"{out}/train.win.target.parquet")
-        sk.write_stage(bucket_features(train, spec), f"{out}/train.win.stat.parquet")
-
-    result = fit_and_score(
-        spark.read.parquet(f"{out}/train.fbin.parquet"),
-        spark.read.parquet(f"{out}/train.target.parquet"),
-        spark.read.parquet(f"{out}/test.fbin.parquet"),
-        manifest,
-        spec,
-        kind,
-    )
+        window_features(*slices, spec, store)
+        store(lab.window_labels(train, spec), "train.win.target")
+        store(bucket_features(train, spec), "train.win.stat")
+
+    result = fit_and_score(f_train, labels["train"], f_test, manifest, spec, kind)
     sk.write_submission(result.submission, f"{out}/result")
     return result

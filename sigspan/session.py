@@ -40,6 +40,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base}{sep}sigspan-{tag}-{uuid.uuid4().hex}"
 
 
+def stage_table(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, but later reads prune columns and push filters down.
+    """
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so the path can be handed to local-only tools in tests."""
     if path.startswith("file:"):

@@ -37,7 +37,7 @@ def test_row_index_per_group_with_hot_group(spark):
 
 def test_row_index_without_checkpoint_matches(spark):
     sig = read_signal(spark, SF001)
-    a = sq.row_index(sig, ["ts", "uid"], checkpoint=False)
+    a = sq.row_index(sig, ["ts", "uid"], stored=False)
     b = sq.row_index(sig, ["ts", "uid"])
     assert _rows(a, "uid", "idx") == _rows(b, "uid", "idx")
 
@@ -140,3 +140,18 @@ def test_shared_folder_is_needed_off_local_master():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_group_offsets_over_several_blocks(spark):
+    sizes = {g: (g * 7) % 5 + 1 for g in range(50) if g % 9}
+    rows = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(1, n + 1)], "seg long, no int")
+    got = {r.seg: r.off for r in sq.group_offsets(rows.repartition(6), "seg", "no", block=8).collect()}
+    assert got == {g: sum(n for k, n in sizes.items() if k < g) for g in sizes}
+
+
+def test_row_index_reads_only_the_columns_in_use(spark):
+    out = sq.row_index(spark.read.parquet(f"{SF001}/events.parquet"), ["ts", "event_id"]).select("event_id", "idx")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+    reads = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
+    assert reads and all("props" not in r for r in reads)

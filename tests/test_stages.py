@@ -38,6 +38,11 @@ def test_stages_end_to_end(spark):
     assert len(win) == 2 and {len(r.f) for r in win} == {TEST.n_windows * TEST.band_size}
     assert spark.read.parquet(f"{out}/train.win.target.parquet").count() == 8
     assert spark.read.parquet(f"{out}/train.win.stat.parquet").count() == 8
+    # every step is a table, and the windows' features come from the same slices
+    for name in ("train.vector", "train.vector.low", "train.vector.dct", "train.bins", "train.win.vector.dct", "train.profile"):
+        assert spark.read.parquet(f"{out}/{name}.parquet").select("seg").distinct().count() == 8, name
+    bins = spark.read.parquet(f"{out}/test.bins.parquet").collect()
+    assert len(bins) == 2 and {len(r.f) for r in bins} == {99}
     metrics = {r.set_name for r in result.metrics.collect()}
     assert metrics == {"train", "holdout"}
     res = spark.read.csv(f"{out}/result", header=True).collect()
@@ -54,3 +59,29 @@ def test_bucketed_segment_table_groups_without_shuffle(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, plan
         assert df.count() == 10
+
+
+def test_stored_steps_read_the_samples_once(spark):
+    from sigspan.plans import stages as st
+
+    seq = sq.sequence_signal(read_signal(spark, SF001), TEST)
+    table = sk.write_segment_table(seq, scratch_path(spark, "t-once"))
+    base = scratch_path(spark, "t-steps")
+    scans = []
+
+    def store(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        scans.append((name, plan.count("Relation spark_catalog")))
+        return spark.read.schema(df.schema).parquet(sk.write_stage(df, f"{base}/{name}"))
+
+    slices = st.slice_table(table, table, TEST, store)
+    f_train, f_test = st.spectral_features(*slices, TEST, store)
+    s20, s14 = st.stat_features(table, "train", store)
+    assert {n: k for n, k in scans if k} == {"train.vector": 1, "test.vector": 1, "train.profile": 1}
+    for df in (s20, s14):
+        assert "Relation spark_catalog" not in df._jdf.queryExecution().optimizedPlan().toString()
+    lazy = st.spectral_features(*st.slice_table(table, table, TEST), TEST)[0]
+    want = {r.seg: r.f for r in lazy.collect()}
+    got = {r.seg: r.f for r in f_train.collect()}
+    assert want.keys() == got.keys()
+    assert all(abs(a - b) <= 1e-9 * max(1, abs(a)) for k in want for a, b in zip(want[k], got[k], strict=True))
