@@ -161,12 +161,14 @@ def test_pages_are_differenced(spark):
     shell = "<body><p>Site name</p><p>{}</p><p>{}</p><p>All rights</p></body>"
     rows = [(k, f"http://www.h.org/en/{k}", shell.format(f"own {k}", prose(k, 5)), "x") for k in range(12)]
     rows += [(20, "http://solo.net/a", shell.format("s", "t"), "x"), (21, None, None, "x"), (22, "http://h.org/z", PAGE, "x"), (23, "http://[bad", "", "x"),
-             (3, "http://www.h.org/en/3", rows[3][2], "x")]
+             (3, "http://www.h.org/en/3", rows[3][2], "x"), (30, "http://h.org/en/3?copy", rows[3][2], "x"), (31, "http://h.org/en/3b", rows[3][2], "x")]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
     for k in (0, 5, 11):
         assert by[k].text == f"own {k}\n{prose(k, 5)}" and by[k].n_chars == len(by[k].text)
+    # copies, also at other paths of the host, keep their own lines
+    assert [r.text for r in got if r.page_id in (3, 30, 31)] == [f"own 3\n{prose(3, 5)}"] * 4
     assert by[20].text == "Site name\ns\nt\nAll rights"
     assert by[21].text == by[23].text == "" and by[22].text.startswith("Head & line")
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
