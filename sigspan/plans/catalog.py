@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ from ..sources.views import profile_sql
 from ..sources.tables import embeddings_vectors, read_signal, read_table
 from ..spec import SMOKE, TAIL, TEST, BinSpec, SegmentSpec
 from ..streaming.segment_stream import ingest_segment_files
+from .stages import ingest_test
 
 # Embedding spectral-bin shape used by the vector queries: 31 bins, hop 2, width 4, divisor 4.
 EMB_BINS = BinSpec(31, 2, 4, 4.0)
@@ -359,6 +361,13 @@ def q_flat_segment_files(spark, sf):
     return finalize(fl.read_segment_files(spark, data_dir, fl.read_manifest(spark, man_dir)))
 
 
+def q_continued_file_ids(spark, sf):
+    """Ids of segment files in manifest order, after the last id of the signal."""
+    data_dir, man_dir = _write_segment_files(spark, sf)
+    rows = ingest_test(spark, data_dir, fl.read_manifest(spark, man_dir), read_signal(spark, sf), name_col="name")
+    return finalize(rows.select("uid", "set", "seg", "no", "x"))
+
+
 def q_streamed_segment_files(spark, sf):
     data_dir, man_dir = _write_segment_files(spark, sf)
     manifest = fl.read_manifest(spark, man_dir)
@@ -422,6 +431,19 @@ def q_append_batches(spark, sf):
     return finalize(back.groupBy("seg").agg(F.count(F.lit(1)).alias("n")))
 
 
+def q_guarded_write(spark, sf):
+    """A sink that fails if its table is present: the second write is refused, the first one's rows stay."""
+    sig = read_signal(spark, sf).select("uid", "x")
+    path = sk.write_stage(sig, scratch_path(spark, "guarded"), mode="errorifexists")
+    try:
+        sk.write_stage(sig.withColumn("x", F.lit(0.0)), path, mode="errorifexists")
+        refused = 0
+    except AnalysisException:
+        refused = 1
+    back = spark.read.parquet(path)
+    return finalize(back.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x_sum")).withColumn("refused", F.lit(refused)))
+
+
 # ---------------------------------------------------------------- model
 
 
@@ -556,6 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_sequence": q_csv_sequence,
     "multi_file_segments": q_multi_file_segments,
     "flat_segment_files": q_flat_segment_files,
+    "continued_file_ids": q_continued_file_ids,
     "streamed_segment_files": q_streamed_segment_files,
     "train_test_union": q_train_test_union,
     "union_profile": q_union_profile,
@@ -565,6 +588,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sorted_stage": q_sorted_stage,
     "parquet_roundtrip": q_parquet_roundtrip,
     "append_batches": q_append_batches,
+    "guarded_write": q_guarded_write,
     "training_set": q_training_set,
     "ordered_features": q_ordered_features,
     "target_scaled": q_target_scaled,

@@ -366,6 +366,12 @@ def build() -> dict[str, str]:
         f"CAST(no AS BIGINT) AS no, {r6('x')} AS x FROM sig"
     )
     q["streamed_segment_files"] = q["flat_segment_files"] = q["multi_file_segments"]
+    q["continued_file_ids"] = (
+        with_sig(L, "m AS (SELECT max(uid) AS last_uid, max(seg) AS last_seg FROM sig)")
+        + " SELECT CAST(last_uid + row_number() OVER (ORDER BY last_seg - seg, no) AS BIGINT) AS uid, CAST(1 AS BIGINT) AS \"set\", "
+        f"CAST(last_seg - seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no, {r6('x')} AS x FROM sig, m"
+    )
+
     def union_cte(spec: SegmentSpec) -> str:
         n = spec.length
         return (
@@ -397,6 +403,7 @@ def build() -> dict[str, str]:
         union + f" SELECT CAST(grp AS BIGINT) AS \"set\", count(*) AS n, {r6('sum(x)')} AS x_sum FROM u GROUP BY 1"
     )
     q["append_batches"] = with_sig(L) + " SELECT CAST(seg AS BIGINT) AS seg, count(*) AS n FROM sig GROUP BY seg"
+    q["guarded_write"] = f"WITH {SEQ} SELECT count(*) AS n, {r6('sum(x)')} AS x_sum, CAST(1 AS BIGINT) AS refused FROM seq"
 
     # ---- model
     q["training_set"] = (

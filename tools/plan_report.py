@@ -60,8 +60,8 @@ def main():
     with open(out, "w") as f:
         f.write("# Physical plans (final AQE plans, sf0.01, local[8], 8 shuffle partitions)\n\n")
         f.write("Generated by `tools/plan_report.py`. Counts per query after execution. The sequenced\n")
-        f.write("signal is read back from its checkpoint (`Scan ExistingRDD`), after the range sort that\n")
-        f.write("numbers it; that sort and the checkpoint job run at construction and are not in these plans.\n")
+        f.write("signal is read back from a Parquet stage table, after the range sort that numbers it; that\n")
+        f.write("sort and the job that writes the table run at construction and are not in these plans.\n")
         f.write("Window counts are the small prefix sums over per-partition or per-split counts.\n\n")
         f.write("| query | shuffles | broadcasts | reused exchanges/subqueries | scalar subqueries | scans | windows | python UDF nodes |\n")
         f.write("| --- | --- | --- | --- | --- | --- | --- | --- |\n")
@@ -76,7 +76,7 @@ NOTES = """
 * Every query on the sequenced signal carries two tiny exchanges: the per-partition counts,
   hashed by partition id and then gathered into one partition for the prefix sum. Both are
   bounded by the partition count, and so is the broadcast of their result. The range sort
-  that numbers the signal runs in the checkpoint job when the query is built.
+  that numbers the signal runs in the job that writes the stage table when the query is built.
 * The full-data exchange is the one keyed by `seg` (segment profiles, segment vectors,
   window features). Profiles aggregate partially before it.
 * Fitting a scaler (`spectral_pipeline`, `profile_scaled`, `bucket_features`, `scaled_*`) adds
