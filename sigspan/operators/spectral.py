@@ -35,11 +35,6 @@ def dct(df: DataFrame, col: str, out: str | None = None, keep: int | None = None
     return res.select(*keep_cols, coeffs.alias(out))
 
 
-def low_pass(col: str, keep: int):
-    """First ``keep`` coefficients (fails when fewer exist)."""
-    return checked_prefix(col, keep, "spectrum")
-
-
 def spectral_bins(df: DataFrame, col: str, bins: BinSpec, out: str = "f") -> DataFrame:
     return df.withColumn(out, overlapped_bins(col, bins))
 
