@@ -203,6 +203,27 @@ def test_search_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_search_recall_by_id_among_copies(spark):
+    # a third of the rows hold one vector; ids are dealt so that copies stand everywhere
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = rng.normal(size=(n, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[rng.permutation(n)[: n // 3]] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = curves.search(curves.usable(df)).toPandas()
+    assert got.groupby("query_id").size().eq(20).all() and got.query_id.nunique() == n // 20
+    copies, hit, total = np.flatnonzero((x == x[0]).all(1)), 0, 0
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(n), -np.round(s, 10)))[:20].tolist()
+        if (x[q] == x[0]).all():
+            assert g.vec_id.tolist() == [c for c in copies.tolist() if c != q][:20]
+        hit, total = hit + len(set(best) & set(g.vec_id)), total + 20
+    assert hit / total >= 0.9
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_ngram_jaccard", "op3_near_vectors", "op5_repeats", "op8_source_mix"])
 def test_queries_match_oracle(spark, name):
     import __spark_entry__ as entry
