@@ -38,6 +38,7 @@ CURVES, DIMS, BITS = 6, 6, 10
 WINDOW = 0.3
 BLOCK_ROWS = 8192
 LEAST_BLOCKS = 16
+LEAST_WINDOW = 4  # x nearest: least places on each side of a query, so small groups are searched whole
 NEAREST, QUERY_EVERY, SEED = 20, 20, 11
 
 
@@ -149,7 +150,7 @@ def search(
     keys = keys.withColumn("n", count.cast("long")).withColumn("place", F.col("idx") - 1 - first - F.col("curve") * F.col("n"))
     blocks = F.greatest(F.lit(least_blocks), F.ceil(F.col("n") / block_rows))
     keys = keys.withColumn("size", F.ceil(F.col("n") / blocks).cast("long"))
-    half = F.ceil(F.col("n") * (window / 2)).cast("long")
+    half = F.greatest(F.ceil(F.col("n") * (window / 2)), F.lit(LEAST_WINDOW * nearest)).cast("long")
     lo = F.greatest(F.lit(0), F.least(F.col("place") - half, F.col("n") - 2 * half))
     hi = F.least(F.col("n") - 1, F.greatest(F.col("place") + half, 2 * half))
     block = lambda c: F.floor(c / F.col("size")).cast("int")

@@ -224,6 +224,20 @@ def test_search_recall_by_id_among_copies(spark):
     assert hit / total >= 0.9
 
 
+def test_search_small_groups_are_whole(spark):
+    # 10 to 40 vectors of one length each, in one table
+    rng = np.random.default_rng(3)
+    sizes = {8: 10, 9: 12, 10: 15, 11: 21, 12: 30, 13: 40}
+    x = [rng.normal(size=d) for d, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in sorted(curves.search(curves.usable(df), is_query="true").collect(), key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(len(x)):
+        other = [i for i in range(len(x)) if i != q and len(x[i]) == len(x[q])]
+        assert by[q] == sorted(other, key=lambda i: (-(x[i] @ x[q]), i))[:20]
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_ngram_jaccard", "op3_near_vectors", "op5_repeats", "op8_source_mix"])
 def test_queries_match_oracle(spark, name):
     import __spark_entry__ as entry
