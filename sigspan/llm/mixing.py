@@ -6,7 +6,9 @@ others by weight). The mix is dealt in blocks of ``block`` words: the blocks go
 highest quotients target/(2k-1), and each source's blocks to its shards (a seeded hash of the
 document id) in the same way by shard size. Inside a shard the documents stand in a seeded
 order; whole passes over the shard come first, then the quota's rest is filled in that order, so
-the taken words of a shard are its quota and no document exceeds ``cap`` x its words.
+the taken words of a shard are its quota and no document exceeds ``cap`` x its words. What a
+shard's blocks hold beyond ``cap`` x its words is dealt on, word by word, to the source's other
+shards in their order, up to ``cap`` x theirs: a source of few short documents gets its blocks too.
 
 Quotients are ranked only near the threshold: a seat count of the highest-quotients method
 differs from round(target/block) by at most share x (n/2 + 1) + 1, so about 3 n candidates are
@@ -106,6 +108,14 @@ def mix(
     won = apportion(shards.withColumn("claim", F.col("shard_size").cast("double")), ["source"], "claim", "blocks", [F.col("shard")])
     won = won.select(F.col("source").alias("w_source"), F.col("shard").alias("w_shard"), "shard_size", (F.col("seats") * block).alias("quota"))
 
+    limit = F.col("shard_size") * cap
+    by_shard = Window.partitionBy("w_source").orderBy("w_shard").rowsBetween(Window.unboundedPreceding, -1)
+    won = won.withColumn("spare", F.greatest(F.lit(0), limit - F.col("quota")))
+    won = won.withColumn("over", F.sum(F.greatest(F.lit(0), F.col("quota") - limit)).over(Window.partitionBy("w_source")))
+    won = won.withColumn("left", F.col("over") - F.coalesce(F.sum("spare").over(by_shard), F.lit(0)))
+    dealt_on = F.greatest(F.lit(0), F.least(F.col("spare"), F.col("left")))
+    won = won.withColumn("quota", (F.least(F.col("quota"), limit) + dealt_on).cast("long")).drop("spare", "over", "left")
+
     w = Window.partitionBy("source", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
     rows = rows.join(won, F.col("source").eqNullSafe(F.col("w_source")) & (F.col("shard") == F.col("w_shard")), "left")

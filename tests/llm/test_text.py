@@ -81,6 +81,19 @@ def test_mix(make_docs, edge_rows):
     assert all(r.taken == 0 for r in mixing.mix(make_docs([(1, None), (2, "", None)])).collect())
 
 
+def test_mix_small_source_of_short_documents(make_docs):
+    # about one short document of "a" in each of 226 shards, beside a hot source
+    rows = [(k, prose(k, 10 + k % 21), "a") for k in range(300)] + [(1000 + k, prose(k, 100), "b") for k in range(600)]
+    got = mixing.mix(make_docs(rows), shard_docs=4).collect()
+    size = {"a": sum(10 + k % 21 for k in range(300)), "b": 60000}
+    want = brute_targets(size)
+    assert want["a"] == 2 * size["a"]
+    for s in size:
+        of = [r for r in got if r.source_size == size[s]]
+        assert all(0 <= r.taken <= 2 * r["size"] for r in of)
+        assert abs(sum(r.taken for r in of) / want[s] - 1) < 0.01, s
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_seats_are_highest_quotients(spark, seed):
     r = random.Random(seed)
