@@ -2,9 +2,11 @@
 
 Method: a text is brought to a canonical form (ASCII letters lower-cased, copyright lines removed,
 equivalent spellings unified, punctuation and white space reduced to single spaces), digested with
-SHA-256, and the digest is hash-joined with the digests of known licences. Two units of a document
-are looked up: its entire text, which finds whole licence texts, and each of its lines, which
-finds one-line notices. The known table is a fixed list of the module, so it is broadcast.
+SHA-256, and the digest is hash-joined with the digests of known licences. Three units of a document
+are looked up: its entire text, which finds whole licence texts, each of its lines, which finds
+one-line notices, and each paragraph of several lines without such a notice, which finds wrapped
+headers. The known table is a fixed list (this module and the texts in ``known_licenses``), so it is
+broadcast; a caller's own table of texts is added to it and joined as its size asks.
 
 Defined cases: a null or empty text has the digest of the empty string and matches nothing; rows
 that repeat a ``doc_id`` (or have none) count as one document; extra columns are ignored; an
@@ -13,6 +15,10 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,36 +86,122 @@ TEXTS = (
 )
 
 
+# Headers that stand over several lines, looked up by paragraph.
+_ANY_LATER = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License "
+    "as published by the Free Software Foundation; either version {3} of the License, or (at your option) any later version."
+)
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+     "with the License. You may obtain a copy of the License at"),
+    *(("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+       f"distributed with this file, You can obtain one at {scheme}://mozilla.org/MPL/2.0/.") for scheme in ("http", "https")),
+    *((f"{name}-{v}", _ANY_LATER.format(what, mark, kind, short))
+      for name, kind, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",)))
+      for v in versions for short in {v, v.removesuffix(".0")} for what in ("program", "library", "file") for mark in (":", ";")),
+)
+# Whole texts shipped as files; those with an appendix after their terms are known without it too.
+FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+)
+_BSD_POINTS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission.",
+)
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+    "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+    "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def shipped_texts() -> list[tuple[str, str]]:
+    """Whole texts by SPDX identifier beyond ``TEXTS``; read by the driver only."""
+    out = []
+    for name, k in FILES.items():
+        t = (Path(__file__).parent / "known_licenses" / f"{name}.txt").read_text("utf-8")
+        out.append((k, t))
+        if TERMS_END in t:
+            terms = t[: t.index(TERMS_END)]
+            out += [(k, terms), (k, terms + TERMS_END)]
+    for n in (2, 3):
+        for title in ("", f"BSD {n}-Clause License\n", f"The {n}-Clause BSD License\n"):
+            for rights in ("", "All rights reserved.\n"):
+                for numbered in (True, False):
+                    for holder in ("HOLDER", "HOLDERS", "OWNER"):
+                        points = [f"{i}. {x}" if numbered else f"* {x}" for i, x in enumerate(_BSD_POINTS[:n], 1)]
+                        out.append((f"BSD-{n}-Clause", "\n".join([title + rights + _BSD_GRANT, *points, _BSD_AS_IS.format(holder)])))
+    out.append(("ISC", TEXTS[3][1].removeprefix("ISC License")))
+    return out
+
+
+def canonical(text: str) -> str:
+    """Canonical whole text of a known one, as :func:`canonical_lines` joined by spaces."""
+    t = text.translate(str.maketrans(UPPER, LOWER))
+    for a, b in SPELLINGS:
+        t = t.replace(a, b)
+    t = re.sub(SEPARATORS, " ", re.sub(COPYRIGHT_LINE, "\n", t))
+    return " ".join(filter(None, (x.strip(" ") for x in t.split("\n"))))
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical non-empty lines of a text, in order."""
+    return F.filter(all_lines(text), lambda x: x != "")
+
+
+def all_lines(text: Column) -> Column:
+    """Canonical lines of a text, in order; blank and copyright lines are empty."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
     t = F.regexp_replace(t, SEPARATORS, " ")
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``(known_digest, known_id)`` of the fixed lists."""
-    rows = F.array(*[F.struct(F.lit(k).alias("known_id"), F.lit(t).alias("t")) for k, t in NOTICES + TEXTS])
+def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """``(known_digest, known_id)`` of the fixed lists and of ``texts(license, text)``."""
+    fixed = {(hashlib.sha256(canonical(t).encode()).hexdigest(), k) for k, t in [*NOTICES, *TEXTS, *HEADERS, *shipped_texts()]}
+    rows = F.array(*[F.struct(F.lit(d).alias("known_digest"), F.lit(k).alias("known_id")) for d, k in sorted(fixed)])
     known = spark.range(1).select(F.inline(rows))
-    return known.select(
-        F.sha2(F.array_join(canonical_lines(F.col("t")), " "), 256).alias("known_digest"), "known_id"
-    ).groupBy("known_digest").agg(F.min("known_id").alias("known_id"))
+    if texts is not None:
+        digest = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)
+        own = texts.select(digest.alias("known_digest"), F.col("license").cast("string").alias("known_id"))
+        known = known.unionByName(own.filter(F.col("known_id").isNotNull() & (F.col("known_digest") != hashlib.sha256(b"").hexdigest())))
+    return known.groupBy("known_digest").agg(F.min("known_id").alias("known_id"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """``(doc_id, digest, license, n_notices, notices)``: the digest of the whole canonical text,
-    the licence it is (null if none), how many lines are known notices, and their distinct
-    licences in order, joined by commas (empty if none)."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
+    the licence it is (null if none), how many lines or wrapped paragraphs are known notices, and
+    their distinct licences in order, joined by commas (empty if none). ``texts(license, text)``
+    adds known texts."""
+    known = known_digests(docs.sparkSession, texts)
+    rows = docs.select(F.col(id_col).alias("doc_id"), all_lines(F.col(text_col)).alias("every"))
+    lines = rows.withColumn("lines", F.filter("every", lambda x: x != ""))
     whole = F.struct(F.lit(True).alias("whole"), F.array_join("lines", " ").alias("unit"))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
-    units = lines.select("doc_id", F.inline(F.concat(F.array(whole), each))).select(
+    # a paragraph with a notice line counts by that line
+    line_notices = F.array(*[F.lit(x) for x in sorted({canonical(t) for _, t in NOTICES})])
+    several = lambda x: x.contains("\n") & ~F.arrays_overlap(F.split(x, "\n"), line_notices)
+    wrapped = F.filter(F.transform(F.split(F.array_join("every", "\n"), "\n\n+"), lambda x: F.btrim(x, F.lit("\n"))), several)
+    paragraphs = F.transform(wrapped, lambda x: F.struct(F.lit(False).alias("whole"), F.replace(x, F.lit("\n"), F.lit(" ")).alias("unit")))
+    units = lines.select("doc_id", F.inline(F.concat(F.array(whole), each, paragraphs))).select(
         "doc_id", "whole", F.sha2("unit", 256).alias("digest")
     )
-    found = units.join(F.broadcast(known_digests(docs.sparkSession)), units.digest == F.col("known_digest"), "left")
+    found = units.join(F.broadcast(known) if texts is None else known, units.digest == F.col("known_digest"), "left")
     notice = ~F.col("whole") & F.col("known_id").isNotNull()
     return found.groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("digest"))).alias("digest"),

@@ -34,6 +34,24 @@ def test_license_scan(make_docs):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+def test_license_scan_whole_texts_headers_and_own_table(spark, make_docs):
+    text = {n: open(f"/usr/share/common-licenses/{n}").read() for n in ("Apache-2.0", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    gpl = ("/*\n * Copyright (C) 2020 X\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General "
+           "Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n"
+           " * This program is distributed\n */\nint x;")
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#   http"
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\n" + licenses._BSD_GRANT.replace("modification,", "modification,\n") + "\n\n1. " + licenses._BSD_POINTS[0] + "\n\n2. " + licenses._BSD_POINTS[1] + "\n\n" + licenses._BSD_AS_IS.format("HOLDER")
+    rows = [*enumerate(text.values()), (10, gpl), (11, apache), (12, bsd), (13, "The house rules.\nBe kind."), (14, "MIT\n\nyou may not\nuse this")]
+    got = {r.doc_id: r for r in licenses.scan(make_docs(rows)).collect()}
+    assert [got[i].license for i in range(5)] == ["Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"]
+    assert (got[10].n_notices, got[10].notices) == (1, "GPL-3.0")
+    assert (got[11].n_notices, got[11].notices) == (1, "Apache-2.0")
+    assert got[12].license == "BSD-2-Clause" and got[13].license is None and got[14].n_notices == 0
+    own = spark.createDataFrame([("House", "the HOUSE rules: be kind"), ("Empty", ""), (None, "x")], "license string, text string")
+    with_own = {r.doc_id: r.license for r in licenses.scan(make_docs(rows), texts=own).collect()}
+    assert with_own == {i: r.license for i, r in got.items()} | {13: "House"}
+
+
 # --- mixing -----------------------------------------------------------------------------------
 def brute_targets(sizes, weights=mixing.WEIGHTS, share=1.5, cap=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
