@@ -175,6 +175,22 @@ def test_page_lines():
     assert [t for _, t in pages.page_lines("plain & <3 text")] == ["plain & <3 text"]
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "id='search-results'", "class='page-social'", "class='sidebar'", "role=search"])
+def test_article_below_marked_wrapper(wrapper):
+    page = f"<body><div {wrapper}><p>menu</p><article><h1>Title</h1><p>Text</p><div class='comments'><article><p>Reader</p></article></div></article></div></body>"
+    lines = pages.page_lines(page)
+    assert [t for m, t in lines if m] == ["Title", "Text"]
+    assert "Reader" not in [t for _, t in lines]
+
+
+def test_furniture_stays_out():
+    page = ("<main><p>Text</p><div class='share-buttons'>Share</div><div hidden><article>gone</article></div></main>"
+            "<nav><article>nav</article></nav><div class='related'><article>Teaser</article></div><div class='site-footer'>Foot</div>")
+    assert pages.page_lines(page) == [(True, "Text")]
+    assert pages.page_lines("<div class='comments'><article class='comment'>Reader</article></div><p>a</p>") == [(False, "a")]
+    assert pages.page_lines("<div style='display: none'><article>gone</article></div>") == []
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_shared_lines_is_an_lcs(a, b):
