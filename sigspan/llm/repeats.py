@@ -1,17 +1,17 @@
-"""Substring dedup: repeated runs of words by prefix-partitioned sparse suffix trees.
+"""Substring dedup: repeated runs of words by hash groups of anchored windows (no suffix trees).
 
 A window is ``WINDOW`` consecutive words of one document. A window goes if its word sequence also
 starts earlier (smaller doc_id, or the same document at an earlier start); a word goes if a window
 that goes covers it. Windows are judged on the input.
 
-Method. Only suffixes that start at anchors are indexed: the anchor of a window is the smallest
+Method. Windows are grouped by anchors: the anchor of a window is the smallest
 hash among its runs of ``GRAM`` words, so equal windows have the same anchor. Anchors are counted
 (first on each chunk, then over all data), and those with one occurrence are dropped with all
-their windows: they cannot repeat. The anchor's words are the prefix that partitions the rest; a
-prefix with more than ``GROUP`` occurrences is lengthened to the whole window, so that a group
-fits in memory. Within a group the suffixes are sorted by the window around the anchor, which
-is the order of the subtree's nodes at depth ``WINDOW``; nodes with several leaves are the repeats,
-their first leaf stays and the others go. Runs of windows that go are maximal repeats.
+their windows: they cannot repeat. The anchor's hash partitions the rest; under an anchor with more
+than ``GROUP`` occurrences the window's own hash does, so that a group fits in memory. Only 64-bit
+hashes of windows reach a group, no words: they are sorted, equal hashes are the repeats, their
+first window stays and the others go. Runs of windows that go are joined to spans. This finds
+repeats of the fixed depth ``WINDOW``; there is no suffix order and no common-prefix length.
 
 A chunk of documents settles its own copies before anything is shuffled: of equal windows in a
 chunk only the first can be the earliest of all. So a passage that a third of all documents share
