@@ -10,6 +10,9 @@ distributed sort works:
   prefix-sum the counts (one row per partition) and add the offset back. The tagged frame is
   written once as a Parquet stage table, so both passes see the same partitions even after an
   executor loss, and each reads only the columns it needs.
+* ``row_index(stored=False)``: the same without a stored copy, for inputs that are cheap to read
+  twice. The ranges are fitted once and fixed as literals (:mod:`.ranges`); one pass counts the rows of
+  each range, the other numbers the rows inside each range, and the offsets join the two.
 * ``group_offsets``: rows that are numbered inside their groups already need only the groups' sizes;
   the prefix sum runs over blocks of groups first, so no task holds all of them.
 * ``file_order_index`` (physical file order, e.g. a CSV written in time order): no shuffle at
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions, sized_broadcast, stage_table
 from ..spec import SegmentSpec
+from .ranges import fit_ranges
 
+RANGES_PER_PARTITION = 4
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 _OFFSETS_ROW_BYTES = 32  # a partition number and an offset
@@ -94,11 +99,15 @@ def row_index(
     range partitions, by default the session's ``spark.sql.shuffle.partitions`` (a fixed count:
     letting AQE merge ranges would put a small input into a single task).
 
-    ``stored=False`` is for tests only: the counting pass and the numbering pass then plan
-    two range shuffles (column pruning makes them differ), and Spark's range sampler re-samples
-    imbalanced partitions with a seed derived from the RDD id, so their bounds may disagree.
+    ``stored=False`` writes nothing: ranges on fixed bounds replace the sampled range shuffle, and the input
+    is read three times (bounds: its first two order keys, sampled; counts: the order keys; numbering). It
+    needs plain order columns whose first two are numbers, dates or timestamps, and no ``partition_by``.
     """
     part = list(partition_by)
+    if not stored:
+        if part or not all(isinstance(c, str) for c in order_by):
+            raise ValueError("stored=False numbers a whole table by plain columns")
+        return _row_index_ranges(df, list(order_by), name, num_partitions, keep)
     keys = _cols([*part, *order_by])
     out_cols = list(keep) if keep is not None else [c for c in df.columns if c != name]
     carried = out_cols + [c for c in part if c not in out_cols]
@@ -122,6 +131,28 @@ def row_index(
     return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos") + 2 - F.col("_gstart")).alias(name))
 
 
+def _row_index_ranges(
+    df: DataFrame, order_by: list[str], name: str, num_partitions: int | None, keep: Sequence[str] | None
+) -> DataFrame:
+    """Dense row number over ``order_by`` on fixed ranges: rows are moved once and written nowhere.
+
+    A range is one window group, spread over several ranges for each partition so that hashing the
+    ranges to partitions stays even; counts are one row for each range, broadcast behind their bound.
+    """
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    out_cols = list(keep) if keep is not None else [c for c in df.columns if c != name]
+    ranges = fit_ranges(df, order_by, RANGES_PER_PARTITION * n)
+    if ranges is None:
+        raise ValueError(f"stored=False needs numbers, dates or timestamps first in {order_by}")
+    counts = ranges.assign(df.select(*[F.col(f"`{c}`") for c in order_by]), "_range").groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _offsets(counts, ["_range"]).select("_range", "_off")
+    carried = list(dict.fromkeys([*out_cols, *order_by]))
+    placed = ranges.assign(df.select(*[F.col(f"`{c}`") for c in carried]), "_range")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*_cols(order_by)))
+    out = placed.withColumn("_pos", inside).join(sized_broadcast(offsets, ranges.count, _OFFSETS_ROW_BYTES), "_range")
+    return out.select(*[F.col(f"`{c}`") for c in out_cols], (F.col("_off") + F.col("_pos")).alias(name))
+
+
 def group_offsets(rows: DataFrame, key: str, position: str, name: str = "off", block: int = 4096) -> DataFrame:
     """``(key, off)``: how many rows the groups with a smaller ``key`` (a number from 0 on) hold.
 
@@ -191,7 +222,7 @@ def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataF
 
 def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid")) -> DataFrame:
     """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order."""
-    indexed = row_index(sig, list(order_by), keep=["uid", "x", "y"])
+    indexed = row_index(sig, list(order_by), keep=["uid", "x", "y"], stored=False)
     return assign_segments(indexed, spec).select("uid", "idx", "seg", "no", "x", "y")
 
 

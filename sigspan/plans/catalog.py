@@ -65,7 +65,7 @@ def _long(df: DataFrame, keys: list[str], col: str, k: str = "k", v: str = "v")
 
 
 def q_row_index(spark, sf):
-    return finalize(sq.row_index(read_signal(spark, sf), ["ts", "uid"], keep=["uid"]).select("uid", "idx"))
+    return finalize(sq.row_index(read_signal(spark, sf), ["ts", "uid"], keep=["uid"], stored=False).select("uid", "idx"))
 
 
 def q_sequenced_signal(spark, sf):

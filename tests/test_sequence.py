@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF001, frame
 from sigspan.operators import sequence as sq
+from sigspan.operators.ranges import fit_ranges
 from sigspan.session import scratch_path
 from sigspan.sources.tables import read_signal, read_table
 from sigspan.spec import SMOKE, TEST
@@ -35,13 +37,51 @@ def test_row_index_per_group_with_hot_group(spark):
     assert _rows(ours, "event_id", "no") == _rows(ref, "event_id", "no")
 
 
-def test_row_index_without_checkpoint_matches(spark):
+def test_row_index_on_fixed_ranges_equals_the_stored_one(spark):
     sig = read_signal(spark, SF001)
     a = sq.row_index(sig, ["ts", "uid"], stored=False)
     b = sq.row_index(sig, ["ts", "uid"])
     assert _rows(a, "uid", "idx") == _rows(b, "uid", "idx")
-
-
+    plan = a._jdf.queryExecution().toString()
+    assert "row-index" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_row_index_on_fixed_ranges_with_hot_null_and_nan_keys(spark, parts):
+    """A third of all rows share one first key; NULL, NaN, infinite and negative zero keys have their places."""
+    special = F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 50 == 1, F.lit(float("nan")))
+    special = special.when(F.col("id") % 50 == 2, F.lit(float("-inf"))).when(F.col("id") % 50 == 3, F.lit(-0.0)).when(F.col("id") % 50 == 4, F.lit(0.0))
+    key = F.when(F.col("id") % 3 == 0, F.lit(7.5)).otherwise(F.coalesce(special, F.when(F.col("id") % 50 > 0, (F.col("id") * 37 % 1001 - 500) / 8.0)))
+    df = spark.range(6000).select(key.cast("double").alias("k"), (F.col("id") * 7919 % 6007).alias("u"))
+    ours = sq.row_index(df, ["k", "u"], stored=False, num_partitions=parts)
+    ref = df.withColumn("idx", F.row_number().over(Window.orderBy("k", "u")))
+    assert sorted((r.u, r.idx) for r in ours.collect()) == sorted((r.u, r.idx) for r in ref.collect())
+    ranges = fit_ranges(df, ["k", "u"], 4 * parts)
+    sizes = ranges.assign(df, "b").groupBy("b").count()
+    got = sizes.orderBy("b").collect()
+    assert len(got) <= ranges.count
+    if parts > 1:  # the hot key is cut by the second key: no range holds much more than its share
+        assert max(r["count"] for r in got) < 6000 / parts
+    # ranges keep the order of both keys
+    inside = ranges.assign(df, "b").withColumn("idx", F.row_number().over(Window.orderBy("k", "u")))
+    spans = inside.groupBy("b").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).orderBy("b").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
+def test_row_index_on_fixed_ranges_small_and_unfit_inputs(spark):
+    empty = spark.createDataFrame([], "k double, u long")
+    assert sq.row_index(empty, ["k", "u"], stored=False).count() == 0
+    one = frame(spark, [(None, 1)], "k double, u long")
+    assert [r.idx for r in sq.row_index(one, ["k", "u"], stored=False).collect()] == [1]
+    days = frame(spark, [("2024-03-02", 1), ("2023-12-31", 2), (None, 3)], "d string, u long")
+    dated = days.select(F.to_date("d").alias("d"), F.col("d").cast("timestamp_ntz").alias("t"), "u")
+    for key in ("d", "t"):
+        got = {r.u: r.idx for r in sq.row_index(dated, [key], stored=False).collect()}
+        assert got == {3: 1, 2: 2, 1: 3}
+    with pytest.raises(ValueError):
+        sq.row_index(frame(spark, [("a",)], "s string"), ["s"], stored=False)
+    with pytest.raises(ValueError):
+        sq.row_index(one, ["k"], ["u"], stored=False)
 
 
 def test_segments_positions(spark):
