@@ -29,7 +29,8 @@ the chunk, or one longer text (about 40 bytes a character).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from .common import Forest, batch, chunks, components, mix, read, runs, stage
 SLOTS = 256
 CONTEXT = 6  # characters seen at a step
 CLOCK_BITS, CLASS_BITS = 12, 8  # the random bits repeat after 2**12 steps; characters are hashed to 2**8 classes
-CHUNK = 8 << 20  # bytes of text walked side by side
+CHUNK, CHUNK_ROWS = 2 << 20, 1024  # bytes of text, and texts, walked side by side
 NARROW = 48  # so few texts left are walked one by one
 BAND_SLOTS, LIKENESS, BLOCK = 6, 0.8, 2048
 RANGES_PER_PARTITION = 4
@@ -53,6 +54,7 @@ _EMPTY = ord("-")
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
+@lru_cache(maxsize=1)
 def step_table(seed: int = 5) -> np.ndarray:
     """``[class << CLOCK_BITS | clock]`` -> steps that the walk spends on a character reached at that time."""
     n = 1 << CLOCK_BITS
@@ -68,6 +70,7 @@ def step_table(seed: int = 5) -> np.ndarray:
     return out.astype(np.uint8).ravel()
 
 
+@lru_cache(maxsize=1)
 def slot_records(slots: int = SLOTS, seed: int = 5) -> list[np.ndarray]:
     """For each slot the rising steps at which a shared random sequence sets records, from step 0 on.
 
@@ -150,7 +153,7 @@ class Chunk:
         self.lens = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
         classes = mix(self.codes.astype(_U) + _U(1)) >> _U(64 - CLASS_BITS)
-        self.keys = classes.astype(np.int64) << CLOCK_BITS
+        self.keys = classes.astype(np.int32) << CLOCK_BITS
         self.clock, self.offs = f.walk(self.keys, self.starts, self.lens, np.zeros(len(texts), np.int64))
 
     def clock_at(self, counts: np.ndarray) -> np.ndarray:
@@ -214,6 +217,12 @@ def _strings(digits: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(digits), pa.py_buffer(offs.tobytes()), pa.py_buffer(np.ascontiguousarray(digits).tobytes()))
 
 
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text", CHUNK):
+        for i in range(0, b.num_rows, CHUNK_ROWS):
+            yield b.slice(i, CHUNK_ROWS)
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -233,7 +242,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Fingerprinter()
-        for b in chunks(batches, "text", CHUNK):
+        for b in _chunks(batches):
             c = Chunk(f, _texts(b.column(1)))
             yield batch({"doc_id": b.column(0), "n_chars": pa.array(c.lens), "fingerprint": _strings(c.fingerprints()), **{x.name: b.column(2 + i) for i, x in enumerate(fields)}})
 
@@ -295,7 +304,7 @@ def edited_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Fingerprinter()
         held: pa.RecordBatch | None = None  # rows not shown yet; the next chunk's first row follows its last
-        for b in chunks(batches, "text", CHUNK):
+        for b in _chunks(batches):
             if held is not None:
                 joined = pa.Table.from_batches([held, b.slice(0, 1)]).combine_chunks().to_batches()[0]
                 yield compare(f, joined, False)
