@@ -3,7 +3,7 @@
 All are one ``groupBy().agg()`` with partial aggregation. Moments are algebraic, so a hot group
 costs nothing extra. Exact percentiles keep a value-count map per group; groups are segments or
 buckets of a segment, whose size is bounded by the segment length. For groups without such a
-bound, ``exact_quantiles_distributed`` ranks values with the distributed row index instead.
+bound, ``exact_quantiles_distributed`` selects the order statistics of large groups without a sort.
 """
 
 from __future__ import annotations
@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import field
 from ..functions.stats import PROFILES, QUANTILE_LEVELS, profile_aggs
+from ..session import sized_broadcast, stage_table
 from ..spec import SegmentSpec
-from .sequence import null_safe_join, row_index
+from .selection import select_quantiles
+from .sequence import null_safe_join
+
+LARGE_GROUP = 1 << 20  # rows; larger groups are not held in one buffer (about 32 bytes for each distinct value)
+_GROUP_ROW_BYTES = 64
 
 
 def _sources(value: str):
@@ -70,39 +75,25 @@ def quantile_profile(df: DataFrame, keys: Sequence[str], value: str, levels: Seq
 
 
 def exact_quantiles_distributed(
-    df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float] = QUANTILE_LEVELS
+    df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float] = QUANTILE_LEVELS, large: int = LARGE_GROUP
 ) -> DataFrame:
     """Exact interpolated percentiles for groups of any size, in long form ``(keys..., p, q)``.
 
-    Values are ranked inside their group by the distributed row index (a range-partitioned sort
-    splits a hot group over many tasks). Per group only ``n`` is aggregated; the two order
-    statistics around ``p * (n - 1)`` are fetched with an equi-join on ``(keys, rank)``, whose
-    keys are unique per row, so no task ever holds a whole group.
+    No row is sorted. A scan of the keys finds the groups of more than ``large`` rows; their order
+    statistics are selected by histogram refinement (:mod:`.selection`), so no task ever holds such a group. All other
+    groups fit one ``percentile`` buffer each. Without a large group the second pass is one aggregation.
+    Groups without a value are left out, a NULL key forms a group.
     """
     keys = list(keys)
-    ranked = row_index(df.where(F.col(value).isNotNull()), [value], keys, name="_r", keep=[*keys, value])
-    # the size of a group is its last rank
-    sizes = ranked.groupBy(*keys).agg(F.max("_r").alias("_n"))
-    lv = F.array(*[F.lit(float(p)) for p in levels])
-    wanted = (
-        sizes.select(*keys, "_n", F.explode(lv).alias("p"))
-        .withColumn("_h", F.col("p") * (F.col("_n") - 1))
-        .withColumn("_lo", F.floor("_h").cast("long") + 1)
-        .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
-        .withColumn("_frac", F.col("_h") - F.floor("_h"))
-    )
-    # both order statistics of every level in one equi-join on (keys, rank)
-    sides = F.array(F.struct(F.col("_lo").alias("_r"), F.lit(0).alias("_side")), F.struct(F.col("_hi").alias("_r"), F.lit(1).alias("_side")))
-    need = wanted.select(*keys, "p", "_frac", F.explode(sides).alias("_w")).select(*keys, "p", "_frac", "_w._r", "_w._side")
-    picked = null_safe_join(ranked.select(*keys, "_r", F.col(value).alias("_v")), need, [*keys, "_r"])
-    out = picked.groupBy(*keys, "p").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
-        F.max("_frac").alias("_frac"),
-    )
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    q = F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(q)
-    return out.select(*keys, "p", q.alias("q"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = stage_table(sizes.where(F.col("_n") > large).select(*keys), "large-groups")
+    most = big.count()
+    if not most:
+        return quantile_profile(rows, keys, value, levels)
+    some = sized_broadcast(big, most, _GROUP_ROW_BYTES * len(keys))
+    rest = quantile_profile(null_safe_join(rows, some, keys, "left_anti"), keys, value, levels)
+    return rest.unionByName(select_quantiles(null_safe_join(rows, some, keys, "left_semi"), keys, value, levels))
 
 
 def bucket_of(spec: SegmentSpec, no: str = "no"):

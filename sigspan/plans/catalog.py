@@ -107,7 +107,7 @@ def q_moments_profile(spark, sf):
 
 
 def q_supplier_quantiles(spark, sf):
-    """Exact percentiles per supplier: groups without a size bound, ranked by the distributed index."""
+    """Exact percentiles per supplier: groups without a size bound."""
     li = read_table(spark, sf, "lineitem")
     return finalize(prof.exact_quantiles_distributed(li, ["l_suppkey"], "l_extendedprice"))
 
@@ -118,6 +118,12 @@ def q_supplier_quantiles_nulls(spark, sf):
     return finalize(prof.exact_quantiles_distributed(li, ["grp"], "l_extendedprice"))
 
 
+def q_selected_quantiles(spark, sf):
+    """Exact percentiles of a few large groups, each selected by histogram refinement."""
+    li = read_table(spark, sf, "lineitem").select(F.expr("nullif(l_quantity % 3, 0)").cast("long").alias("grp"), "l_extendedprice")
+    return finalize(prof.exact_quantiles_distributed(li, ["grp"], "l_extendedprice", large=1000))
+
+
 def q_segment_quantiles(spark, sf):
     return finalize(prof.quantile_profile(seq_of(spark, sf), ["seg"], "x"))
 
@@ -547,6 +553,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_quantiles": q_segment_quantiles,
     "supplier_quantiles": q_supplier_quantiles,
     "supplier_quantiles_nulls": q_supplier_quantiles_nulls,
+    "selected_quantiles": q_selected_quantiles,
     "segment_profile_20": q_segment_profile_20,
     "segment_profile_14": q_segment_profile_14,
     "bucket_profile": q_bucket_profile,

@@ -210,6 +210,11 @@ def build() -> dict[str, str]:
         f"{r6(f'quantile_cont(l_extendedprice, {p})')} AS q FROM lineitem GROUP BY 1"
         for p in QUANTILE_LEVELS
     )
+    q["selected_quantiles"] = " UNION ALL ".join(
+        f"SELECT CAST(nullif(l_quantity % 3, 0) AS BIGINT) AS grp, {r6(f'CAST({p} AS DOUBLE)')} AS p, "
+        f"{r6(f'quantile_cont(l_extendedprice, {p})')} AS q FROM lineitem GROUP BY 1"
+        for p in QUANTILE_LEVELS
+    )
     q["segment_profile_20"] = _profile_sql(PROFILE_20, "sig", ["seg"], "x", with_sig(L))
     q["segment_profile_14"] = _profile_sql(PROFILE_14, "sig", ["seg"], "x", with_sig(L))
     bsig = with_sig(L, f"bs AS (SELECT *, no // {T.bucket} AS seq FROM sig)")

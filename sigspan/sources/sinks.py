@@ -7,8 +7,9 @@ from collections.abc import Sequence
 
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_stage(
@@ -36,6 +37,25 @@ def write_stage(
     return path
 
 
+def write_batch(df: DataFrame, path: str, batch: int | str, batch_col: str = "batch", sort_by: Sequence[str] = ()) -> str:
+    """Append one batch to a table in a way that can be repeated: a batch written again replaces itself.
+
+    The table is partitioned by ``batch_col``; only the partition of this batch is overwritten (dynamic partition
+    overwrite), so a rerun after a failure neither doubles rows nor touches other batches. Read it back with
+    :func:`read_batches`. ``batch`` is kept as text in the folder name.
+    """
+    if sort_by:
+        df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    tagged = df.withColumn(batch_col, F.lit(str(batch)))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(path)
+    return path
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, batch_col: str = "batch") -> DataFrame:
+    """All batches written by :func:`write_batch`; ``schema`` is that of a batch, the batch name is text."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(batch_col, T.StringType())])).parquet(path)
+
+
 def write_segment_table(df: DataFrame, path: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
     """Write a sequenced set once, bucketed by ``seg`` and sorted by ``(seg, no)``; return the table.
 
