@@ -6,7 +6,9 @@ The reference trains a single-machine network on collected features; here the sa
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Sequence
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +16,25 @@ from pyspark.sql import functions as F
 from ..functions.arrays import stride
 from ..session import checkpoint_dir
 from ..spec import SegmentSpec
+from .robust import AbsoluteFit, fit_absolute
 
 
-def training_set(features: DataFrame, labels: DataFrame, spec: SegmentSpec, col: str = "f") -> DataFrame:
-    """``(seg, features array<double>, label)``: every ``stride``-th value of the band, joined with the label.
+def training_set(features: DataFrame, labels: DataFrame, spec: SegmentSpec, col: str = "f", keys: Sequence[str] = ("seg",)) -> DataFrame:
+    """``(keys..., features array<double>, label)``: every ``stride``-th value of the band, joined with the label.
 
-    Keyed join on ``seg`` (never by position); segments without a label are dropped.
+    Keyed join (never by position) on ``seg``, or on ``("set", "seg")`` in a union of sets, each key as a long;
+    segments without a label are dropped, one whose label is NULL stays.
     """
-    feats = features.select(F.col("seg").cast("long").alias("seg"), stride(col, spec.stride, spec.band_size).alias("features"))
-    labs = labels.select(F.col("seg").cast("long").alias("seg"), F.col("y").alias("label"))
-    return feats.join(labs, "seg")
+    on = [F.col(f"`{k}`").cast("long").alias(k) for k in keys]
+    feats = features.select(*on, stride(col, spec.stride, spec.band_size).alias("features"))
+    labs = labels.select(*on, F.col("y").alias("label"))
+    return feats.join(labs, list(keys))
+
+
+def target_top(df: DataFrame, label: str = "label") -> float:
+    """The largest label, by which the target is divided for a fit; 1.0 if there is none or it is 0."""
+    top = df.agg(F.max(label)).first()[0]
+    return float(top) if top else 1.0
 
 
 def scale_target(df: DataFrame, label: str = "label") -> DataFrame:
@@ -44,7 +55,8 @@ def fit_regressor(
 ):
     """Fit a regressor on ``features`` (array or vector) -> ``label``.
 
-    ``gbt``: gradient-boosted trees with absolute loss (MAE, as the reference's training loss);
+    ``absolute``: linear fit of least absolute error (MAE, as the reference's training loss), repeatable;
+    ``gbt``: gradient-boosted trees with absolute loss;
     ``linear``: least squares, deterministic; ``huber``: robust linear fit, deterministic. The fit runs several jobs over the training rows
     (one row per segment), so with ``cut_lineage`` they are checkpointed first instead of
     recomputing the feature pipeline in every job.
@@ -53,6 +65,9 @@ def fit_regressor(
     data = data.where(F.col(label).isNotNull()).select("_fv", label)
     if cut_lineage:
         data = materialize(data)
+    if kind == "absolute":
+        first = train.select(F.size(features) if dict(train.dtypes)[features].startswith("array") else F.size(vector_to_array(features))).first()
+        return fit_absolute(data.select(vector_to_array("_fv").alias("features"), F.col(label).alias("label")), first[0] if first else 0)
     if kind == "gbt":
         est = GBTRegressor(featuresCol="_fv", labelCol=label, lossType="absolute", maxIter=10, maxDepth=3, seed=seed)
     elif kind == "linear":
@@ -66,6 +81,12 @@ def fit_regressor(
 
 
 def predict(model, df: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` with ``prediction``."""
+    if isinstance(model, AbsoluteFit):
+        if dict(df.dtypes)[features].startswith("array"):
+            return model.transform(df, features)
+        cols = [F.col(f"`{c}`") for c in df.columns if c != "prediction"]
+        return model.transform(df.withColumn("_fa", vector_to_array(F.col(features))), "_fa").select(*cols, "prediction")
     data = df.withColumn("_fv", array_to_vector(F.col(features))) if dict(df.dtypes)[features].startswith("array") else df.withColumn("_fv", F.col(features))
     return model.transform(data).drop("_fv")
 

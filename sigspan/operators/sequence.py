@@ -220,9 +220,12 @@ def assign_segments(df: DataFrame, spec: SegmentSpec, idx: str = "idx") -> DataF
     )
 
 
-def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid")) -> DataFrame:
-    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order."""
-    indexed = row_index(sig, list(order_by), keep=["uid", "x", "y"], stored=False)
+def sequence_signal(sig: DataFrame, spec: SegmentSpec, order_by: Sequence[str] = ("ts", "uid"), stored: bool = True) -> DataFrame:
+    """Signal ``(uid, ts, x, y)`` -> ``(uid, idx, seg, no, x, y)`` in time order.
+
+    ``stored`` for a sequence that several steps read; without it nothing is written and each of them orders anew.
+    """
+    indexed = row_index(sig, list(order_by), keep=["uid", "x", "y"], stored=stored)
     return assign_segments(indexed, spec).select("uid", "idx", "seg", "no", "x", "y")
 
 

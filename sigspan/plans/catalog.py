@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 
 from ..operators import labels as lab
 from ..operators import model as mdl
+from ..operators import moments as mom
 from ..operators import profile as prof
 from ..operators import scaler as sc
 from ..operators import sequence as sq
 from ..operators import slices as sl
 from ..operators import spectral as sp
+from ..operators.robust import fit_absolute
 from ..functions.arrays import band, overlapped_bins, stride
 from ..functions.stats import PROFILE_20
 from ..session import scratch_path, shuffle_partitions
@@ -53,8 +55,8 @@ def finalize(df: DataFrame, decimals: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def seq_of(spark: SparkSession, sf_dir: str, spec: SegmentSpec = TEST) -> DataFrame:
-    return sq.sequence_signal(read_signal(spark, sf_dir), spec)
+def seq_of(spark: SparkSession, sf_dir: str, spec: SegmentSpec = TEST, stored: bool = True) -> DataFrame:
+    return sq.sequence_signal(read_signal(spark, sf_dir), spec, stored=stored)
 
 
 def _long(df: DataFrame, keys: list[str], col: str, k: str = "k", v: str = "v") -> DataFrame:
@@ -69,7 +71,7 @@ def q_row_index(spark, sf):
 
 
 def q_sequenced_signal(spark, sf):
-    return finalize(seq_of(spark, sf).select("uid", "seg", "no", "x", "y"))
+    return finalize(seq_of(spark, sf, stored=False).select("uid", "seg", "no", "x", "y"))
 
 
 def q_rank_in_segment(spark, sf):
@@ -86,12 +88,12 @@ def q_rank_in_segment_nulls(spark, sf):
 
 
 def q_segment_names(spark, sf):
-    seq = seq_of(spark, sf, NAMES_SPEC)
+    seq = seq_of(spark, sf, NAMES_SPEC, stored=False)
     return finalize(seq.where(F.col("no") == 1).select("seg", sq.segment_name("seg").alias("name")))
 
 
 def q_complete_segments(spark, sf):
-    return finalize(sq.complete_segments(seq_of(spark, sf, TAIL), TAIL))
+    return finalize(sq.complete_segments(seq_of(spark, sf, TAIL, stored=False), TAIL))
 
 
 def q_global_max(spark, sf):
@@ -125,7 +127,7 @@ def q_selected_quantiles(spark, sf):
 
 
 def q_segment_quantiles(spark, sf):
-    return finalize(prof.quantile_profile(seq_of(spark, sf), ["seg"], "x"))
+    return finalize(prof.quantile_profile(seq_of(spark, sf, stored=False), ["seg"], "x"))
 
 
 def q_segment_profile_20(spark, sf):
@@ -188,15 +190,38 @@ def q_scaled_train_test(spark, sf):
     return finalize(_long(scaled, ["vec_id", "is_train"], "vx"))
 
 
+def q_scaler_merge(spark, sf):
+    """The scaler from states: two batches of vectors, the second stored twice (it replaces itself), merged."""
+    emb = embeddings_vectors(spark, sf)
+    path = scratch_path(spark, "scaler-states")
+    states = None
+    for batch, part in ((0, emb.where(F.col("vec_id") % 3 > 0)), (1, emb.where(F.col("vec_id") % 3 == 0)), (1, emb.where(F.col("vec_id") % 3 == 0))):
+        states = mom.scaler_state(part, "vx")
+        sk.write_batch(states, path, batch)
+    merged = mom.merge_states(sk.read_batches(spark, path, states.schema), ["k"])
+    return finalize(_long(mom.scaler_from_states(merged), [], "std", "k", "std"))
+
+
+def q_segment_profile_rollup(spark, sf):
+    """Moments of segments, of x and abs(x), rolled up from the states of their buckets."""
+    seq = seq_of(spark, sf).withColumn("bucket", prof.bucket_of(TEST))
+    out = None
+    for prefix, value in (("x", F.col("x")), ("xa", F.abs("x"))):
+        buckets = mom.moment_state(seq, ["seg", "bucket"], value)
+        part = mom.state_statistics(mom.merge_states(buckets, ["seg"]), ["seg"], prefix)
+        out = part if out is None else out.join(part, "seg")
+    return finalize(out)
+
+
 # ---------------------------------------------------------------- labels
 
 
 def q_label_at_end(spark, sf):
-    return finalize(lab.segment_label(seq_of(spark, sf), TEST))
+    return finalize(lab.segment_label(seq_of(spark, sf, stored=False), TEST))
 
 
 def q_window_labels(spark, sf):
-    return finalize(lab.window_labels(seq_of(spark, sf), TEST))
+    return finalize(lab.window_labels(seq_of(spark, sf, stored=False), TEST))
 
 
 # ---------------------------------------------------------------- slices
@@ -428,12 +453,14 @@ def q_parquet_roundtrip(spark, sf):
 
 
 def q_append_batches(spark, sf):
-    seq = seq_of(spark, sf)
+    """Two batches appended by their names; the second one is written twice, as after a failure."""
+    seq = seq_of(spark, sf).select("seg", "no", "x")
     last = seq.agg(F.max("seg")).scalar()
     path = scratch_path(spark, "append")
-    sk.write_stage(seq.where(F.col("seg") * 2 <= last), path, mode="overwrite")
-    sk.write_stage(seq.where(F.col("seg") * 2 > last), path, mode="append")
-    back = spark.read.parquet(path)
+    first, second = seq.where(F.col("seg") * 2 <= last), seq.where(F.col("seg") * 2 > last)
+    for batch, part in (("first", first), ("second", second), ("second", second)):
+        sk.write_batch(part, path, batch)
+    back = sk.read_batches(spark, path, seq.schema)
     return finalize(back.groupBy("seg").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -461,6 +488,16 @@ def q_training_set(spark, sf):
     return finalize(ts.select("seg", F.posexplode("features").alias("k", "v"), "label"))
 
 
+def q_training_set_union(spark, sf):
+    """Training set of a union of sets, by (set, segment); test labels are NULL."""
+    keys = ["grp", "seg"]
+    union = _union(spark, sf, TEST)
+    vec = sl.concat_slices(sl.segment_slices(union, TEST, keys=keys), keys=keys)
+    feats = sp.band_slice(sp.spectral_bins(sp.spectrum_scaled(vec, TEST), "vx", TEST.bins, "f"), "f", TEST)
+    ts = mdl.training_set(feats, lab.segment_label(union, TEST, keys), TEST, keys=keys)
+    return finalize(ts.select(*keys, F.posexplode("features").alias("k", "v"), "label"))
+
+
 def q_ordered_features(spark, sf):
     """Segments numbered in the order of a statistic."""
     p = finalize(prof.segment_profile(seq_of(spark, sf, MODEL_SPEC), "moments").select("seg", "x_avg"))
@@ -508,10 +545,10 @@ def q_regression_fit(spark, sf):
 
 
 def q_regression_predict(spark, sf):
+    """Least absolute error on the scaled target; predictions for train and hold-out beside their labels."""
     ts = _model_frames(spark, sf)
-    model = mdl.fit_regressor(ts.where(F.col("set") == 0), "gbt", cut_lineage=False)
-    pred = mdl.predict(model, ts)
-    return finalize(pred.select("seg", "set_name", "label", "prediction"))
+    model = fit_absolute(ts.where(F.col("set") == 0), MODEL_SPEC.n_features)
+    return finalize(mdl.predict(model, ts).select("seg", "set_name", "label", "prediction"))
 
 
 def _submission(spark, sf) -> DataFrame:
@@ -564,6 +601,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scaler_params": q_scaler_params,
     "scaled_self": q_scaled_self,
     "scaled_train_test": q_scaled_train_test,
+    "scaler_merge": q_scaler_merge,
+    "segment_profile_rollup": q_segment_profile_rollup,
     "label_at_end": q_label_at_end,
     "window_labels": q_window_labels,
     "slice_rows": q_slice_rows,
@@ -597,6 +636,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "append_batches": q_append_batches,
     "guarded_write": q_guarded_write,
     "training_set": q_training_set,
+    "training_set_union": q_training_set_union,
     "ordered_features": q_ordered_features,
     "target_scaled": q_target_scaled,
     "mae_metric": q_mae_metric,

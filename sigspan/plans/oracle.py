@@ -9,6 +9,7 @@ formulas (Spark's estimators); DuckDB's ``skewness`` is bias-corrected.
 from __future__ import annotations
 
 from ..functions.stats import PROFILE_14, PROFILE_20, PROFILE_BUCKET, QUANTILE_LEVELS
+from ..operators.robust import DELTA, RIDGE, ROUNDS
 from ..spec import SMOKE, TAIL, TEST, SegmentSpec
 from .catalog import EMB_BAND, EMB_BINS, NAMES_SPEC
 
@@ -159,6 +160,41 @@ def _split_ctes(spec: SegmentSpec, fraction: str = "0.8") -> str:
     )
 
 
+def _absolute_fit_sql(spec: SegmentSpec) -> str:
+    """Least absolute error by weights: rounds of weighted normal equations, each solved by elimination (Gauss-Jordan,
+    one pivot for each step of a recursion). Features are scaled by the std of the training segments."""
+    p = spec.n_features + 1
+    b, first, last = spec.bins, spec.band_start, spec.band_start + spec.band_size - 1
+    ctes = [
+        f"c AS ({_dct('cs', 'seg', 'j', 'x', spec.dct_keep)})",
+        f"nt AS (SELECT max(idx) // {spec.length} AS n_full, CAST(floor((max(idx) // {spec.length}) * CAST(0.8 AS DECIMAL(10, 6))) AS BIGINT) AS n_train FROM sig)",
+        "sd AS (SELECT k, coalesce(stddev_samp(c), 0) AS s FROM c, nt WHERE seg < n_train GROUP BY k)",
+        "z AS (SELECT seg, k, CASE WHEN s = 0 THEN 0.0 ELSE c / s END AS z FROM c JOIN sd USING (k), nt WHERE seg < n_full)",
+        f"fb AS ({_bins('z', 'seg', 'k', 'z', b.n_bins, b.hop, b.width, b.divisor)})",
+        f"feat AS (SELECT seg, list(f ORDER BY b) AS f FROM fb WHERE b BETWEEN {first} AND {last} AND (b - {first}) % {spec.stride} = 0 GROUP BY seg)",
+        f"d AS MATERIALIZED (SELECT seg, list_concat([CAST(1 AS DOUBLE)], f) AS z, y AS label, seg < n_train AS is_train FROM feat JOIN (SELECT seg, y FROM sig WHERE no = {spec.length}) USING (seg), nt)",
+        "mx AS (SELECT max(label) AS m FROM d WHERE is_train)",
+        "t AS MATERIALIZED (SELECT z, label / m AS y FROM d, mx WHERE is_train)",
+    ]
+    for r in range(ROUNDS):
+        weight = "CAST(1 AS DOUBLE)" if r == 0 else f"1 / sqrt(pow(y - list_dot_product(z, beta), 2) + {DELTA} * {DELTA})"
+        rows = "t" if r == 0 else f"t, b{r - 1}"
+        ctes += [
+            f"w{r} AS MATERIALIZED (SELECT z, y, {weight} AS w FROM {rows})",
+            f"n{r} AS MATERIALIZED (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS line FROM ("
+            f"SELECT i, j, sum(w * z[i] * CASE WHEN j <= {p} THEN z[j] ELSE y END) + CASE WHEN i = j THEN {RIDGE} ELSE 0 END AS s "
+            f"FROM w{r}, range(1, {p + 1}) a(i), range(1, {p + 2}) o(j) GROUP BY i, j) GROUP BY i))",
+            f"e{r} AS (SELECT 1 AS k, m FROM n{r} UNION ALL SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k "
+            f"THEN list_transform(line, lambda x: x / m[k][k]) ELSE list_transform(line, lambda x, j: x - line[k] * m[k][j] / m[k][k]) END) FROM e{r} WHERE k <= {p})",
+            f"b{r} AS MATERIALIZED (SELECT list_transform(m, lambda line: line[{p + 1}]) AS beta FROM e{r} WHERE k = {p + 1})",
+        ]
+    return (
+        with_sig(spec.length, _concat_cte(spec), *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f" SELECT CAST(seg AS BIGINT) AS seg, CASE WHEN is_train THEN 'train' ELSE 'holdout' END AS set_name, {r6('label')} AS label, "
+        f"{r6('list_dot_product(z, beta) * m')} AS prediction FROM d, mx, b{ROUNDS - 1}"
+    )
+
+
 def build() -> dict[str, str]:
     T, L = TEST, TEST.length
     q: dict[str, str] = {}
@@ -259,6 +295,9 @@ def build() -> dict[str, str]:
         f"SELECT CAST(seg AS BIGINT) AS seg, CAST(k AS BIGINT) AS k, {r6('z')} AS v FROM sv"
     )
     q["scaler_params"] = f"WITH {EMB} SELECT CAST(j AS BIGINT) AS k, {r6('stddev_samp(v)')} AS std FROM e GROUP BY j"
+    q["scaler_merge"] = q["scaler_params"]
+    moments = [s for s in PROFILE_20 if s[1] != "pct"]
+    q["segment_profile_rollup"] = _profile_sql(moments, "sig", ["seg"], "x", with_sig(L))
     q["scaled_self"] = (
         f"WITH {EMB}, ek AS (SELECT vec_id, j AS k, v FROM e), s AS ({_scaled('ek', 'k', 'v')}) "
         f"SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(k AS BIGINT) AS k, {r6('z')} AS v FROM s"
@@ -418,6 +457,14 @@ def build() -> dict[str, str]:
         f"{r6('lab.y')} AS label FROM fb JOIN lab USING (seg) "
         f"WHERE fb.b BETWEEN {T.band_start} AND {T.band_start + T.band_size - 1} AND (fb.b - {T.band_start}) % {T.stride} = 0"
     )
+    q["training_set_union"] = (
+        _spectral_pipeline_ctes(T)
+        + f", lab AS (SELECT seg, y FROM sig WHERE no = {L}), "
+        f"n AS (SELECT CAST(floor((max(idx) // {L}) * CAST(0.8 AS DECIMAL(10, 6))) AS BIGINT) AS n_train FROM sig) "
+        "SELECT CAST(CASE WHEN fb.seg < n_train THEN 0 ELSE 1 END AS BIGINT) AS grp, CAST(CASE WHEN fb.seg < n_train THEN fb.seg ELSE fb.seg - n_train END AS BIGINT) AS seg, "
+        f"CAST((fb.b - {T.band_start}) // {T.stride} AS BIGINT) AS k, {r6('fb.f')} AS v, {r6('CASE WHEN fb.seg < n_train THEN lab.y END')} AS label "
+        f"FROM fb JOIN lab USING (seg), n WHERE fb.b BETWEEN {T.band_start} AND {T.band_start + T.band_size - 1} AND (fb.b - {T.band_start}) % {T.stride} = 0"
+    )
     M = SMOKE.length
     q["ordered_features"] = (
         with_sig(M)
@@ -442,6 +489,7 @@ def build() -> dict[str, str]:
         + f" SELECT CAST(term AS BIGINT) AS term, count(*) AS n_train, CAST(0 AS DOUBLE) AS moment "
         f"FROM t, range({SMOKE.n_features + 1}) r(term) WHERE no = {M} AND seg < n_train GROUP BY term"
     )
+    q["regression_predict"] = _absolute_fit_sql(SMOKE)
     line = (
         f", f AS (SELECT seg, any_value(n_train) AS n_train, avg(x) AS x_avg, max(CASE WHEN no = {M} THEN y END) AS label FROM t GROUP BY seg), "
         "line AS (SELECT regr_slope(label, x_avg) AS a, regr_intercept(label, x_avg) AS b FROM f WHERE seg < n_train) "

@@ -155,10 +155,17 @@ def fit_and_score(
     n = ts.agg(F.max("seg")).scalar()
     cut = F.floor((n + 1) * F.lit(1.0 - holdout_fraction).cast("decimal(10,6)"))
     named = ts.withColumn("set_name", F.when(F.col("seg") < cut, F.lit("train")).otherwise(F.lit("holdout")))
-    model = mdl.fit_regressor(named.where(F.col("set_name") == "train"), kind, cut_lineage=False)
-    metrics = mdl.error_metrics(mdl.predict(model, named), ["set_name"])
+    # the target is divided by its largest value for the fit, and predictions are multiplied by it
+    train = named.where(F.col("set_name") == "train")
+    top = mdl.target_top(train)
+    model = mdl.fit_regressor(train.withColumn("label", F.col("label") / top), kind, cut_lineage=False)
+
+    def predicted(df: DataFrame) -> DataFrame:
+        return mdl.predict(model, df).withColumn("prediction", F.col("prediction") * top)
+
+    metrics = mdl.error_metrics(predicted(named), ["set_name"])
     test_rows = mdl.training_set(test_f, test_f.select("seg", F.lit(None).cast("double").alias("y")), spec)
-    preds = mdl.predict(model, test_rows).select("seg", "prediction")
+    preds = predicted(test_rows).select("seg", "prediction")
     return ModelResult(metrics, preds, mdl.submission(manifest, preds))
 
 
