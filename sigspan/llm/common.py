@@ -215,11 +215,12 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)``: ``(node, component)``.
 
     ``component`` is the smallest node reachable. Alternating large-star and small-star steps; each
-    round is checkpointed, links stay on the executors, a hub's links are spread by skewed joins.
+    round is checkpointed, links stay on the executors, a hub's links are spread by skewed joins. Rounds go on until
+    nothing changes, which takes a number of them that grows with the logarithm of the longest chain.
     Only nodes with a link to another node appear.
     """
     def signature(e: DataFrame) -> tuple:
@@ -228,7 +229,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     was = signature(e)
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours above a node go to the smallest of its neighbours and itself
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -241,7 +242,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError("components: not settled")
     roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

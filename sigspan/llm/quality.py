@@ -166,10 +166,14 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
-    """``(doc_id, label, text)`` of at most ``bound`` labelled documents, by smallest xxhash64 of the id."""
+    """``(doc_id, label, text)`` of at most ``bound`` labelled documents, by smallest xxhash64 of the id.
+
+    The bound counts ids that stand in ``docs``: labels of other documents do not use it up.
+    """
     picked = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
         .groupBy("doc_id").agg(F.min(label).alias("label"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")

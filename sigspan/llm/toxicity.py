@@ -11,7 +11,8 @@ to abuse. A document scores 1 - product of (1 - weight).
 
 Edits allowed by length of a term: none below 5 letters, 1 below 9, then 2; stems allow one from
 6 letters on. The fit uses at most ``TRAIN_DOCS`` labelled documents, those with the smallest
-xxhash64 of their id; the lexicon holds words of at least ``SUPPORT`` of its toxic documents.
+xxhash64 of their id. A term needs ``MIN_DOCS`` toxic documents, purity, and a likelihood ratio beyond chance for as
+many tries as there are words; no share of the toxic documents, so rare terms of a long lexicon are learned.
 
 Defined cases: a null or blank text scores the base rate of texts without a match; unlabelled
 rows and null labels train nothing; without toxic labels the lexicon is empty; repeated rows are
@@ -35,8 +36,9 @@ from .common import batch, chunks, read, text_bytes
 from .quality import held_out, labelled_sample
 
 TRAIN_DOCS = 12_000
-SUPPORT = 0.015  # least share of toxic training documents that hold a term
 MIN_DOCS = 4
+BEYOND = 1.0  # log-likelihood ratio asked above the logarithm of the number of words: about 0.04 words by chance
+WORD_BYTES = (3, 200)  # of words that may become terms
 PURITY = 0.8  # least share of toxic documents among those with the term, weighed to equal classes
 STEM_LETTERS = (4, 8)
 STEM_ENDINGS = 4  # different endings that make a stem of a shared beginning
@@ -209,7 +211,7 @@ class Automaton:
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
-    """``(word, toxic, clean)``: documents that hold each word of 4 to 40 bytes, by label.
+    """``(word, toxic, clean)``: documents that hold each word of ``WORD_BYTES``, by label.
 
     A document counts a word once, and documents that have it after the same word count as one,
     so that copies of a document do not make its words look like terms.
@@ -225,7 +227,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
                 last = b""
                 for i, j in zip(starts[offs[d] : offs[d + 1]].tolist(), ends[offs[d] : offs[d + 1]].tolist(), strict=True):
                     w = raw[i:j]
-                    if 4 <= j - i <= 40:
+                    if WORD_BYTES[0] <= j - i <= WORD_BYTES[1]:
                         seen.setdefault(w, last[:40])
                     last = w
                 words += seen
@@ -241,21 +243,20 @@ def word_counts(sample: DataFrame) -> DataFrame:
 def choose_entries(counts: DataFrame, toxic_docs: int, clean_docs: int) -> list[tuple[bytes, bool]]:
     """Terms and stems from :func:`word_counts`.
 
-    An entry needs support and purity. A beginning is a stem if it is as pure as its words and
+    An entry needs ``MIN_DOCS`` toxic documents and purity. A beginning is a stem if it is as pure as its words and
     at least ``STEM_ENDINGS`` words share it, none of them holding most of its support. Only
-    entries reach the driver: each has ``SUPPORT`` of the toxic documents of the sample.
+    entries reach the driver: words of the bounded sample, each in ``MIN_DOCS`` of its documents.
     """
     if not toxic_docs:
         return []
-    least = max(MIN_DOCS, SUPPORT * toxic_docs)
     balance = clean_docs / toxic_docs if clean_docs else 1.0
-    pure = (F.col("toxic") >= least) & (F.col("toxic") * balance >= PURITY * (F.col("toxic") * balance + F.col("clean")))
+    pure = (F.col("toxic") >= MIN_DOCS) & (F.col("toxic") * balance >= PURITY * (F.col("toxic") * balance + F.col("clean")))
     counts = counts.persist(StorageLevel.DISK_ONLY)
     # more than chance: log-likelihood ratio against the toxic share, for as many tries as words
     share = toxic_docs / (toxic_docs + clean_docs)
     t, c = F.col("toxic"), F.col("clean")
     ratio = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / max(1 - share, 1e-9))).otherwise(0.0)
-    tries = math.log(max(1, counts.count())) + 3 if clean_docs else 0.0
+    tries = math.log(max(1, counts.count())) + BEYOND if clean_docs else 0.0
     terms = [bytes(r["word"]) for r in counts.filter(pure & (ratio >= tries)).select("word").collect()]
     sizes = F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.lit(STEM_LETTERS[1]), F.length("word")))
     starts = counts.select(F.explode(F.transform(sizes, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"), "toxic", "clean")

@@ -259,6 +259,35 @@ def test_toxicity_held_out(spark):
     assert (held.predicted == held.toxic).mean() > 0.9 and held[held.toxic == 0].predicted.mean() < 0.03
 
 
+def test_toxicity_learns_a_long_tailed_lexicon(spark):
+    """150 terms dealt evenly, each in under 1 % of the toxic texts; three letters are enough for an exact term."""
+    import random
+
+    r = random.Random(8)
+    letters = "bcdfghjklmnprstvz"
+    terms = ["".join(r.choice(letters) + r.choice("aeiou") for _ in range(3)) + r.choice(letters) for _ in range(149)] + ["zqx"]
+    rows = []
+    for i in range(6000):
+        words = prose(i, 25, 900).split()
+        if i % 2:
+            words[r.randrange(25)] = terms[i // 2 % 150]
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    test = quality.held_out(F.col("doc_id"), 4, 2)
+    scorer = toxicity.train(docs, labels, ~test)
+    got = toxicity.score(docs, scorer).filter(test).join(labels, "doc_id").toPandas()
+    said = got.score >= toxicity.THRESHOLD
+    assert (got[said].toxic == 1).mean() >= 0.95 and said[got.toxic == 1].mean() >= 0.9
+
+
+def test_label_sample_counts_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.range(20000).select((F.col("id") - 10000).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = quality.labelled_sample(docs, labels, "quality", F.lit(True), 40).collect()
+    assert len(got) == 40 and all(r.text == f"t{r.doc_id}" and r.label == r.doc_id % 2 for r in got)
+
+
 def test_classifier_edges(spark, make_docs, edge_rows):
     docs = make_docs(edge_rows)
     some = spark.createDataFrame([(10, 1, 0, "x"), (46, 0, 0, "x"), (47, 0, None, "x"), (11, None, 0, "x"), (None, 1, 1, "x"), (999, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
