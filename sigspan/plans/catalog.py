@@ -23,6 +23,7 @@ from ..operators import scaler as sc
 from ..operators import sequence as sq
 from ..operators import slices as sl
 from ..operators import spectral as sp
+from ..operators.blocked import blocked_spectrum
 from ..operators.robust import fit_absolute
 from ..functions.arrays import band, overlapped_bins, stride
 from ..functions.stats import PROFILE_20
@@ -38,6 +39,7 @@ from .stages import ingest_test
 # Embedding spectral-bin shape used by the vector queries: 31 bins, hop 2, width 4, divisor 4.
 EMB_BINS = BinSpec(31, 2, 4, 4.0)
 EMB_BAND = (10, 26)
+LONG_KEEP = 300  # coefficients of the one long segment
 NAMES_SPEC = SMOKE.with_(length=1, slice_len=1)  # one sample per segment: many names, past 9999 at sf0.1
 MODEL_SPEC = SMOKE  # L = 100: enough segments for 13 features
 
@@ -274,6 +276,15 @@ def q_dct_lowpass(spark, sf):
     return finalize(_long(spec_df, ["seg"], "vx"))
 
 
+def q_long_spectrum(spark, sf):
+    """First coefficients of one segment as long as the signal allows (a power of ten), transformed in blocks."""
+    sig = read_signal(spark, sf)
+    length = 10 ** (len(str(sig.count())) - 1)
+    seq = sq.row_index(sig, ["ts", "uid"], keep=["x"], stored=False).where(F.col("idx") <= length)
+    spectrum = blocked_spectrum(seq.select(F.lit(0).alias("seg"), F.col("idx").alias("no"), "x"), length, min(LONG_KEEP, length))
+    return finalize(spectrum.select("k", F.col("c").alias("v")))
+
+
 def q_spectral_bins(spark, sf):
     emb = embeddings_vectors(spark, sf)
     return finalize(_long(emb.select("vec_id", overlapped_bins("vx", EMB_BINS).alias("f")), ["vec_id"], "f", "b"))
@@ -613,6 +624,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sliding_windows": q_sliding_windows,
     "dct_spectrum": q_dct_spectrum,
     "dct_lowpass": q_dct_lowpass,
+    "long_spectrum": q_long_spectrum,
     "spectral_bins": q_spectral_bins,
     "band_slice": q_band_slice,
     "stride_slice": q_stride_slice,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..functions.stats import PROFILE_14, PROFILE_20, PROFILE_BUCKET, QUANTILE_LEVELS
 from ..operators.robust import DELTA, RIDGE, ROUNDS
 from ..spec import SMOKE, TAIL, TEST, SegmentSpec
-from .catalog import EMB_BAND, EMB_BINS, NAMES_SPEC
+from .catalog import EMB_BAND, EMB_BINS, LONG_KEEP, NAMES_SPEC
 
 SEQ = (
     "seq AS (SELECT event_id AS uid, ts, value AS x, CAST(1700 - event_id % 1700 AS DOUBLE) / 100 AS y, "
@@ -363,6 +363,11 @@ def build() -> dict[str, str]:
         + f", c AS ({_dct('cs', 'seg', 'j', 'x', T.dct_keep)}) "
         f"SELECT CAST(seg AS BIGINT) AS seg, CAST(k AS BIGINT) AS k, {r6('c')} AS v FROM c"
     )
+    q["long_spectrum"] = (
+        f"WITH {SEQ}, n AS (SELECT CAST(pow(10, length(CAST(count(*) AS VARCHAR)) - 1) AS BIGINT) AS nlen FROM seq), "
+        f"s AS (SELECT idx - 1 AS j, x AS v, nlen, 0 AS seg FROM seq, n WHERE idx <= nlen), c AS ({_dct('s', 'seg', 'j', 'v', LONG_KEEP)}) "
+        f"SELECT CAST(k AS BIGINT) AS k, {r6('c')} AS v FROM c"
+    )
     eb = EMB_BINS
     q["spectral_bins"] = (
         f"WITH {EMB}, fb AS ({_bins('e', 'vec_id', 'j', 'v', eb.n_bins, eb.hop, eb.width, eb.divisor)}) "
