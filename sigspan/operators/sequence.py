@@ -38,6 +38,7 @@ RANGES_PER_PARTITION = 4
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 _OFFSETS_ROW_BYTES = 32  # a partition number and an offset
+_SPLIT_ROW_BYTES = 64  # five numbers of an input split
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -175,8 +176,15 @@ def natural_order(path: str | Column) -> list[Column]:
     return [F.regexp_replace(padded, r"\d*?(\d{20})(?!\d)", "$1"), path]
 
 
+def _splits_bound(df: DataFrame) -> int | None:
+    """Upper bound on the input splits of a file scan: a file is cut at the split size, and a partition
+    holds at most that size. None for a frame that lists no files (a streaming micro-batch)."""
+    files = len(df.inputFiles())
+    return files + 2 * df.rdd.getNumPartitions() if files else None
+
+
 def file_order_index(
-    df: DataFrame, name: str = "idx", per_file: bool = False, keep_file: bool = False, per: Column | None = None
+    df: DataFrame, name: str = "idx", per_file: bool = False, keep_file: bool = False, per: Column | None = None, file_id: str | None = None
 ) -> DataFrame:
     """Dense row number in physical file order, without a shuffle of the data.
 
@@ -185,9 +193,10 @@ def file_order_index(
     ordered by file path (numbers in it as numbers), then by split start inside the file, then by
     read position. With ``per`` (an expression constant within a file) the numbering restarts for
     each of its values and runs on over the files that share it; ``per_file`` restarts in every file.
+    ``file_id`` names a column for the number of the row's file, 0, 1, ... in the order of the paths.
 
-    The offsets are four numbers for each input split. They are broadcast: the driver already
-    holds the longer list of the splits themselves to plan the scan.
+    The offsets are a few numbers for each input split, broadcast behind a bound of their size: the files and
+    partitions of the scan, or, where those are not known, the splits counted in a stage table.
     """
     have = set(df.columns)
     file_cols = [] if {"_file", "_block"} <= have else [
@@ -201,9 +210,17 @@ def file_order_index(
         F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"), F.first(group).alias("_group"))
     w = Window.partitionBy("_group").orderBy(*natural_order("_file"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
-    offsets = offsets.select(F.col("_part").alias("_opart"), "_m0", (F.col("_m0") + F.col("_n")).alias("_m1"), "_off")
+    numbers = []
+    if file_id is not None:
+        offsets = offsets.withColumn(file_id, F.dense_rank().over(Window.orderBy(*natural_order("_file"))).cast("long") - 1)
+        numbers = [file_id]
+    offsets = offsets.select(F.col("_part").alias("_opart"), "_m0", (F.col("_m0") + F.col("_n")).alias("_m1"), "_off", *numbers)
+    bound = None if {"_file", "_block"} <= have else _splits_bound(df)
+    if bound is None:
+        offsets = stage_table(offsets, "splits")
+        bound = offsets.count()
     inside = (F.col("_part") == F.col("_opart")) & (F.col("_mid") >= F.col("_m0")) & (F.col("_mid") < F.col("_m1"))
-    out = tagged.join(F.broadcast(offsets), inside)
+    out = tagged.join(sized_broadcast(offsets, bound, _SPLIT_ROW_BYTES), inside)
     out = out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
     drop = ["_block", "_mid", "_m0", "_m1", "_off", "_part", "_opart"] + ([] if keep_file else ["_file"])
     return out.drop(*drop)

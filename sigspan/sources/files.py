@@ -44,6 +44,20 @@ def segment_names_present(spark: SparkSession, path: str, name_col: str | None =
     return listed.select(segment_file_name(F.col("path"), name_col).alias("name")).distinct()
 
 
+def with_missing(rows: DataFrame, manifest: DataFrame, present: DataFrame) -> DataFrame:
+    """``rows``, failing the job if a manifest entry is not among the names in ``present``.
+
+    The check adds no row: one that is missing raises as soon as its ``seg`` is read.
+    """
+    man = manifest.select(F.col("seg_id").alias("name"))
+    # the error depends on a column of the join, so that no filter on seg moves it below the join
+    found = man.join(present.select("name", F.lit(True).alias("_found")), "name", "left").where(F.col("_found").isNull())
+    error = F.raise_error(F.concat(F.lit("no file for segment "), "name")).cast("long")
+    missing = found.select(F.when(F.col("_found").isNull(), error).alias("seg"))
+    cols = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "seg" else F.col("seg") for f in rows.schema.fields]
+    return rows.unionByName(missing.select(*cols))
+
+
 def with_manifest(files: DataFrame, manifest: DataFrame, present: DataFrame | None) -> DataFrame:
     """``files`` with ``seg``, the manifest position of their ``name``.
 
@@ -52,14 +66,7 @@ def with_manifest(files: DataFrame, manifest: DataFrame, present: DataFrame | No
     """
     man = manifest.select(F.col("seg_id").alias("name"), F.col("pos").cast("long").alias("seg"))
     out = files.join(man, "name")
-    if present is None:
-        return out
-    # the error depends on a column of the join, so that no filter on seg moves it below the join
-    found = man.join(present.select("name", F.lit(True).alias("_found")), "name", "left").where(F.col("_found").isNull())
-    error = F.raise_error(F.concat(F.lit("no file for segment "), "name")).cast("long")
-    missing = found.select(F.when(F.col("_found").isNull(), error).alias("seg"))
-    cols = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "seg" else F.col("seg") for f in out.schema.fields]
-    return out.unionByName(missing.select(*cols))
+    return out if present is None else with_missing(out, manifest, present)
 
 
 def read_segment_files(

@@ -2,11 +2,11 @@
 
 New segment CSV files arriving in a directory are picked up in micro-batches bounded by bytes. A
 file is never split across micro-batches, so every batch numbers the rows inside its files
-(no shuffle of the samples) and writes its own ``batch=<epoch>`` folder of the stage table,
-by segment name. The manifest is met when the table is read: a file that arrives before its
+(no shuffle of the samples) and writes its own ``batch=<epoch>`` folders: the rows by file number, and the files with their
+names and row counts (the dictionary, beside the table in ``<table>-files``). The manifest is met when the table is read: a file that arrives before its
 manifest line is not lost, and part files of a segment may come in different micro-batches. The
 stream checkpoint makes the ingest restartable: a rerun after a failure continues with the files
-not yet committed, and a replayed batch overwrites its folder, so no rows are written twice.
+not yet committed, and a replayed batch overwrites its folders, so no rows are written twice.
 """
 
 from __future__ import annotations
@@ -16,16 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sequence import file_order_index, natural_order
-from ..sources.files import segment_file_name, with_manifest
+from ..session import sized_broadcast
+from ..sources.files import segment_file_name, with_manifest, with_missing
 
 _SCHEMA = T.StructType([T.StructField("x", T.DoubleType(), True)])
 BATCH_BYTES = 64 << 30
+_FILE_ROW_BYTES = 160  # name, position and three numbers of a file
 
 
-def segment_batch(batch: DataFrame, name_col: str | None) -> DataFrame:
-    """Rows of one micro-batch -> ``(name, file, fno, x)``; ``fno`` counts inside the file."""
-    numbered = file_order_index(batch, name="fno", per_file=True, keep_file=True)
-    return numbered.select(segment_file_name(F.col("_file"), name_col).alias("name"), F.col("_file").alias("file"), "fno", "x")
+def segment_batch(batch: DataFrame, name_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(file_id, fno, x)`` and files ``(file_id, file, name, n)`` of one micro-batch.
+
+    ``fno`` counts inside the file; ``file_id`` numbers the files of the batch in the order of their
+    paths, for both alike. The files are listed with their row counts, so no reader counts rows again.
+    """
+    numbered = file_order_index(batch, name="fno", per_file=True, file_id="file_id")
+    files = batch.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    files = files.withColumn("file_id", F.dense_rank().over(Window.orderBy(*natural_order("file"))).cast("long") - 1)
+    return numbered.select("file_id", "fno", "x"), files.select("file_id", "file", segment_file_name(F.col("file"), name_col).alias("name"), "n")
 
 
 def start_segment_stream(
@@ -57,8 +65,10 @@ def start_segment_stream(
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         # one folder per micro-batch, overwritten on replay: a batch re-run after a failure
         # replaces its own output instead of appending it twice
-        target = f"{out_path.rstrip('/')}/batch={epoch_id}"
-        segment_batch(batch, name_col).write.mode("overwrite").parquet(target)
+        rows, files = segment_batch(batch, name_col)
+        base = out_path.rstrip("/")
+        files.write.mode("overwrite").parquet(f"{base}-files/batch={epoch_id}")
+        rows.write.mode("overwrite").parquet(f"{base}/batch={epoch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -84,12 +94,19 @@ def read_ingested(spark: SparkSession, out_path: str, manifest: DataFrame, check
 
     ``no`` runs on over the part files of a segment in the natural order of their names. A
     manifest entry without rows fails the read unless ``check_missing`` is off.
+
+    The dictionary of files (number, name, rows before) is joined to the rows by (batch, file number): broadcast, so
+    that no sample moves, while its size is below the broadcast limit, else shuffled by two numbers. The
+    rows themselves are read once, and only to be numbered.
     """
-    rows = spark.read.parquet(out_path).drop("batch")
-    files = rows.groupBy("name", "file").agg(F.count(F.lit(1)).alias("_n"))
+    base = out_path.rstrip("/")
+    files = spark.read.parquet(f"{base}-files")
+    known = files.count()
     w = Window.partitionBy("name").orderBy(*natural_order("file")).rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    numbered = rows.join(files, F.col("file") == F.col("_f"))
-    numbered = numbered.select("name", (F.col("_off") + F.col("fno")).cast("int").alias("no"), "x")
-    present = rows.select("name").distinct() if check_missing else None
-    return with_manifest(numbered, manifest, present).select("seg", "name", "no", "x")
+    placed = files.select(F.col("batch").alias("_batch"), F.col("file_id").alias("_file_id"), "name", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_off"))
+    placed = with_manifest(placed, manifest, None)
+    small = sized_broadcast(placed, known, _FILE_ROW_BYTES)
+    rows = spark.read.parquet(base)
+    numbered = rows.join(small, (F.col("batch") == F.col("_batch")) & (F.col("file_id") == F.col("_file_id")))
+    out = numbered.select("seg", "name", (F.col("_off") + F.col("fno")).cast("int").alias("no"), "x")
+    return with_missing(out, manifest, files.select("name").distinct()) if check_missing else out

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001, frame
@@ -117,6 +118,31 @@ def test_write_stage_modes(spark):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_streamed_read_moves_no_sample_and_names_missing_files(spark):
+    """The dictionary of files is what is joined: no exchange above the scan of the rows, at a small automatic limit too."""
+    from sigspan.streaming.segment_stream import ingest_segment_files, read_ingested
+
+    src, out = scratch_path(spark, "t-dict"), scratch_path(spark, "t-dict-out")
+    rows = [(f"s{g}", float(i)) for g in range(5) for i in range(40)]
+    spark.createDataFrame(rows, "name string, x double").repartition(6).write.partitionBy("name").option("header", True).csv(src)
+    manifest = spark.createDataFrame([(f"s{g}", 4 - g) for g in range(5)], "seg_id string, pos long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    try:
+        back = ingest_segment_files(spark, src, manifest, out, batch_bytes=300)
+        assert spark.read.parquet(out).select("batch").distinct().count() > 1
+        assert sorted((r.seg, r.name, r.no) for r in back.collect()) == sorted((4 - g, f"s{g}", i + 1) for g in range(5) for i in range(40))
+        plan = read_ingested(spark, out, manifest, check_missing=False)._jdf.queryExecution().executedPlan().toString()
+        joined, _, rest = plan.partition("BroadcastHashJoin [batch")
+        assert "Exchange" not in joined and "SortMergeJoin" not in plan
+        scan = rest[: rest.index("FileScan parquet")]
+        assert "Exchange" not in scan
+        more = manifest.unionByName(spark.createDataFrame([("gone", 9)], "seg_id string, pos long"))
+        with pytest.raises(Exception, match="no file for segment gone"):
+            read_ingested(spark, out, more).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_huber_and_gbt_regressors_run(spark):
     rows = [(i, [float(i), float(i % 3)], 2.0 * i + 1.0 + (50.0 if i == 7 else 0.0)) for i in range(40)]
     df = frame(spark, rows, "seg long, features array<double>, label double")
