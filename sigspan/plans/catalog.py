@@ -27,7 +27,7 @@ from ..operators.blocked import blocked_spectrum
 from ..operators.robust import fit_absolute
 from ..functions.arrays import band, overlapped_bins, stride
 from ..functions.stats import PROFILE_20
-from ..session import scratch_path, shuffle_partitions
+from ..session import scratch_path, shuffle_partitions, stage_table
 from ..sources import files as fl
 from ..sources import sinks as sk
 from ..sources.views import profile_sql
@@ -563,18 +563,16 @@ def q_regression_predict(spark, sf):
 
 
 def _submission(spark, sf) -> DataFrame:
+    """One aggregate per segment, kept as a table, gives the manifest, the label, the feature and the line."""
     spec = MODEL_SPEC
-    seq = seq_of(spark, sf, spec)
-    split = sq.split_train_test(seq, spec)
-    firsts = split.where(F.col("no") == 1)
-    manifest = firsts.where(F.col("set") == 1).select(sq.segment_name("seg").alias("seg_id"), F.col("set_seg").alias("pos"))
-    feats = split.groupBy("set", "set_seg").agg(
-        F.avg("x").alias("x_avg"), F.max(F.when(F.col("no") == spec.length, F.col("y"))).alias("label"))
-    train = feats.where(F.col("set") == 0)
-    line = train.agg(F.struct(F.regr_slope("label", "x_avg").alias("a"), F.regr_intercept("label", "x_avg").alias("b"))).scalar()
-    test = feats.where(F.col("set") == 1).withColumn("_line", line)
-    preds = test.select(F.col("set_seg").alias("seg"), (F.col("_line.a") * F.col("x_avg") + F.col("_line.b")).alias("prediction"))
-    return mdl.submission(manifest.orderBy(F.xxhash64("seg_id")), preds)
+    split = sq.split_train_test(seq_of(spark, sf, spec), spec)
+    feats = stage_table(split.groupBy("set", "set_seg").agg(
+        F.min("seg").alias("seg"), F.avg("x").alias("x_avg"), F.max(F.when(F.col("no") == spec.length, F.col("y"))).alias("label")), "segments")
+    test = feats.where(F.col("set") == 1)
+    manifest = test.select(sq.segment_name("seg").alias("seg_id"), F.col("set_seg").alias("pos"))
+    line = feats.where(F.col("set") == 0).agg(F.struct(F.regr_slope("label", "x_avg").alias("a"), F.regr_intercept("label", "x_avg").alias("b"))).scalar()
+    preds = test.withColumn("_line", line).select(F.col("set_seg").alias("seg"), (F.col("_line.a") * F.col("x_avg") + F.col("_line.b")).alias("prediction"))
+    return mdl.submission(manifest, preds)
 
 
 def q_submission_join(spark, sf):

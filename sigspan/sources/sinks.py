@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.decimal_text import PLACES, exact_text
+
 
 def write_stage(
     df: DataFrame,
@@ -104,30 +104,17 @@ def write_signal_csv(
     return path
 
 
-_FIXED_UDFS: dict[int, object] = {}
-
-
-def _fixed_udf(decimals: int):
-    """Vectorised formatter: the exact binary value of a double rounded to ``decimals`` places.
+def submission_text(df: DataFrame, value: str = "time_to_failure", decimals: int = 20, exact: bool = True) -> DataFrame:
+    """``value`` as fixed-decimal text: the exact binary value with 20 decimals (default) or Java's ``%.Nf``.
 
-    Java's ``%.20f`` (``format_string``) pads zeros after the shortest round-trip digits; the
-    result file of the pipeline carries the exact expansion (``0.1`` -> ``0.10000000000000000555``),
-    as C's ``printf`` prints it. One value per output row, on Arrow batches, at the sink only.
+    Java pads zeros after the shortest digits that give the double back; the result file of the pipeline carries the
+    exact expansion (``0.1`` -> ``0.10000000000000000555``).
     """
-    if decimals not in _FIXED_UDFS:
-
-        @F.pandas_udf("string")
-        def fixed(v: pd.Series) -> pd.Series:
-            return v.map(lambda x: None if pd.isna(x) else format(float(x), f".{decimals}f"))
-
-        _FIXED_UDFS[decimals] = fixed
-    return _FIXED_UDFS[decimals]
-
-
-def submission_text(df: DataFrame, value: str = "time_to_failure", decimals: int = 20, exact: bool = True) -> DataFrame:
-    """``value`` as fixed-decimal text: exact binary expansion (default) or Java's ``%.Nf``."""
-    text = _fixed_udf(decimals)(F.col(value)) if exact else F.format_string(f"%.{decimals}f", F.col(value))
-    return df.withColumn(value, text)
+    if not exact:
+        return df.withColumn(value, F.format_string(f"%.{decimals}f", F.col(value)))
+    if decimals != PLACES:
+        raise ValueError(f"the exact text has {PLACES} decimals")
+    return exact_text(df, value)
 
 
 def write_submission(df: DataFrame, path: str, order_by: str = "pos", single_file: bool = False) -> str:
