@@ -9,6 +9,7 @@ decimals, the same convention as the SQL in :mod:`sigspan.plans.oracle`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from ..session import scratch_path, shuffle_partitions, stage_table
 from ..sources import files as fl
 from ..sources import sinks as sk
 from ..sources.views import profile_sql
-from ..sources.tables import embeddings_vectors, read_signal, read_table
+from ..sources.tables import embeddings_vectors, read_keys, read_signal, read_table
 from ..spec import SMOKE, TAIL, TEST, BinSpec, SegmentSpec
 from ..streaming.segment_stream import ingest_segment_files
 from .stages import ingest_test
@@ -42,6 +43,7 @@ EMB_BAND = (10, 26)
 LONG_KEEP = 300  # coefficients of the one long segment
 NAMES_SPEC = SMOKE.with_(length=1, slice_len=1)  # one sample per segment: many names, past 9999 at sf0.1
 MODEL_SPEC = SMOKE  # L = 100: enough segments for 13 features
+LOOKUP_NAMES = [md5(str(seg).encode()).hexdigest()[:12] for seg in (*range(0, 10, 3), *range(10, 200, 13))]
 
 
 def finalize(df: DataFrame, decimals: int = 6) -> DataFrame:
@@ -456,6 +458,13 @@ def q_sorted_stage(spark, sf):
     return finalize(back.select("place", "seg", "no"))
 
 
+def q_segment_lookup(spark, sf):
+    """Samples of a few segments by name, from a table in which other row groups are skipped."""
+    seq = seq_of(spark, sf, MODEL_SPEC, stored=False).select(F.substring(F.md5(F.col("seg").cast("string").cast("binary")), 1, 12).alias("name"), "no", "x")
+    path = sk.write_lookup_table(seq, scratch_path(spark, "lookup"), "name", files=4 * shuffle_partitions(spark), keys_per_file=1000)
+    return finalize(read_keys(spark.read.parquet(path), "name", LOOKUP_NAMES))
+
+
 def q_parquet_roundtrip(spark, sf):
     tagged = sq.split_train_test(seq_of(spark, sf, TAIL), TAIL, keep_tail=True).select("set", F.col("set_seg").alias("seg"), "no", "x")
     path = sk.write_stage(tagged, scratch_path(spark, "pq"), partition_by=["set"], sort_by=["seg", "no"])
@@ -642,6 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_profile": q_sql_profile,
     "single_file_export": q_single_file_export,
     "sorted_stage": q_sorted_stage,
+    "segment_lookup": q_segment_lookup,
     "parquet_roundtrip": q_parquet_roundtrip,
     "append_batches": q_append_batches,
     "guarded_write": q_guarded_write,

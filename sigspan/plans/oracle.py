@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..functions.stats import PROFILE_14, PROFILE_20, PROFILE_BUCKET, QUANTILE_LEVELS
 from ..operators.robust import DELTA, RIDGE, ROUNDS
 from ..spec import SMOKE, TAIL, TEST, SegmentSpec
-from .catalog import EMB_BAND, EMB_BINS, LONG_KEEP, NAMES_SPEC
+from .catalog import EMB_BAND, EMB_BINS, LONG_KEEP, LOOKUP_NAMES, NAMES_SPEC
 
 SEQ = (
     "seq AS (SELECT event_id AS uid, ts, value AS x, CAST(1700 - event_id % 1700 AS DOUBLE) / 100 AS y, "
@@ -448,6 +448,10 @@ def build() -> dict[str, str]:
         with_sig(L)
         + " SELECT CAST(row_number() OVER (ORDER BY seg, no) AS BIGINT) AS place, CAST(seg AS BIGINT) AS seg, CAST(no AS BIGINT) AS no FROM sig"
     )
+    q["segment_lookup"] = (
+        with_sig(SMOKE.length, "named AS (SELECT substr(md5(CAST(seg AS VARCHAR)), 1, 12) AS name, no, x FROM sig)")
+        + f" SELECT name, CAST(no AS BIGINT) AS no, {r6('x')} AS x FROM named WHERE name IN ({', '.join(repr(n) for n in LOOKUP_NAMES)})"
+    )
     q["parquet_roundtrip"] = (
         union + f" SELECT CAST(grp AS BIGINT) AS \"set\", count(*) AS n, {r6('sum(x)')} AS x_sum FROM u GROUP BY 1"
     )

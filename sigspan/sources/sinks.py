@@ -56,6 +56,19 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, batch_col
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(batch_col, T.StringType())])).parquet(path)
 
 
+def write_lookup_table(df: DataFrame, path: str, key: str, files: int, keys_per_file: int) -> str:
+    """A table from which the rows of a few keys can be read without scanning the rest.
+
+    Rows are dealt by the hash of ``key`` to ``files`` files, sorted inside, with a Parquet bloom filter of the key
+    (sized for ``keys_per_file``), so that :func:`sigspan.sources.tables.read_keys` skips whole row groups even
+    where keys have no order that minimum and maximum could tell apart. A key's rows stand in one file.
+    """
+    writer = df.repartition(files, key).sortWithinPartitions(key).write.mode("overwrite")
+    writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(keys_per_file))
+    writer.option(f"parquet.enable.dictionary#{key}", "false").parquet(path)
+    return path
+
+
 def write_segment_table(df: DataFrame, path: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
     """Write a sequenced set once, bucketed by ``seg`` and sorted by ``(seg, no)``; return the table.
 

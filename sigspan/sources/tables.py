@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_keys(table: DataFrame, key: str, wanted: Sequence, at_once: int = 10) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is among ``wanted``, a list known beforehand.
+
+    The list is pushed to the scan in groups of ``at_once`` (longer ones Spark would push as one range of values), so that row groups without a wanted key are skipped by
+    their bloom filter, dictionary or bounds. Made for up to some hundred keys; join a table of keys beyond that.
+    """
+    names = list(dict.fromkeys(wanted))
+    condition = F.lit(False)
+    for i in range(0, len(names), at_once):
+        condition = condition | F.col(key).isin(names[i : i + at_once])
+    return table.where(condition)
+
+
 def signal_from_events(events: DataFrame, label_period: int = 1700) -> DataFrame:
     """The ``signal`` base relation: one sample per event, time order ``(ts, event_id)``.
 
