@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batch, read, stage
-from .curves import matrix
 from .vectors import by_length
 
 SCALE, COMPONENTS = 256, 4
