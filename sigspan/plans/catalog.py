@@ -26,6 +26,7 @@ from ..operators import slices as sl
 from ..operators import spectral as sp
 from ..operators.blocked import blocked_spectrum
 from ..operators.robust import fit_absolute
+from ..operators.shared_windows import scaled_window_spectra
 from ..functions.arrays import band, overlapped_bins, stride
 from ..functions.stats import PROFILE_20
 from ..session import scratch_path, shuffle_partitions, stage_table
@@ -328,6 +329,12 @@ def q_window_spectra(spark, sf):
     return finalize(_long(_window_spectra(spark, sf), ["seg", "win"], "fn"))
 
 
+def q_window_spectra_shared(spark, sf):
+    """The same values, each slice transformed once for all windows that hold it."""
+    shared = scaled_window_spectra(sl.segment_slices(seq_of(spark, sf), TEST), TEST)
+    return finalize(_long(shared, ["seg", "win"], "fn"))
+
+
 def q_window_spectral_bins(spark, sf):
     bins = sp.window_bins(_window_spectra(spark, sf), TEST)
     return finalize(_long(bins, ["seg", "win"], "f", "b"))
@@ -637,6 +644,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stride_slice": q_stride_slice,
     "spectral_pipeline": q_spectral_pipeline,
     "window_spectra": q_window_spectra,
+    "window_spectra_shared": q_window_spectra_shared,
     "window_spectral_bins": q_window_spectral_bins,
     "window_features": q_window_features,
     "csv_roundtrip": q_csv_roundtrip,

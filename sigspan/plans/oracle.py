@@ -390,6 +390,7 @@ def build() -> dict[str, str]:
         _window_ctes(T)
         + f" SELECT CAST(seg AS BIGINT) AS seg, CAST(win AS BIGINT) AS win, CAST(k AS BIGINT) AS k, {r6('z')} AS v FROM wz"
     )
+    q["window_spectra_shared"] = q["window_spectra"]
     wb = T.win_bins
     wbins = _bins("wz", "seg, win", "k", "z", wb.n_bins, wb.hop, wb.width, wb.divisor)
     q["window_spectral_bins"] = (
