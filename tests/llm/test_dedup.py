@@ -114,6 +114,45 @@ def test_repeats_edges(make_docs, edge_rows, group):
     assert repeats.remove_repeats(make_docs([])).count() == 0
 
 
+def test_repeats_overlaps_and_periods(make_docs):
+    # passages at many offsets, periodic texts, nested and overlapping repeats, copies of copies
+    rng = np.random.default_rng(11)
+    passages = [[f"p{k}_{j}" for j in range(n)] for k, n in enumerate((19, 20, 21, 35, 60))]
+    rows = []
+    for i in range(80):
+        w = [f"u{i}_{j}" for j in range(rng.integers(0, 15))]
+        for k in rng.integers(0, 5, rng.integers(0, 4)):
+            cut = passages[k][rng.integers(0, 4) :]
+            w += [*cut, *[f"v{i}_{j}" for j in range(rng.integers(0, 3))]]
+        rows.append((i, " ".join(w)))
+    rows += [(100, "a " * 70), (101, "a b " * 30), (102, "b a " * 35), (103, "a b c d e f g " * 9), (104, "x " + "a " * 25 + "y")]
+    for group, gram in ((50_000, 10), (1, 10), (50_000, 20), (3, 4)):
+        got = {r.doc_id: r for r in repeats.remove_repeats(make_docs(rows), gram=gram, group=group).collect()}
+        for i, (n, gone, digest) in brute_repeats(rows).items():
+            assert (got[i].n_words, got[i].n_removed) == (n, gone), (i, group, gram)
+            if gone:
+                assert hashlib.sha256(got[i].text.encode()).hexdigest() == digest
+
+
+def test_suffix_array_nodes():
+    words = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 0], [1, 2, 3], [1, 2, 3]], np.uint64)
+    label = np.array([7, 7, 7, 7, 8])
+    order, depths = repeats.shared_depths(label, words)
+    assert order.tolist() == [0, 3, 1, 2, 4] and depths.tolist() == [-1, 3, 2, 1, -1]
+    for depth, want in ((0, 2), (1, 2), (2, 3), (3, 4)):
+        assert len(set(repeats.nodes(order, depths, depth).tolist())) == want
+    # a window label shared by other words stays apart: nodes compare words, not hashes of windows
+    h = np.zeros(2, np.int64)
+    row, begin, gone = repeats.tree_repeats(h, np.array([1, 2]), h, h + 1, h, np.array([0, 20, 40]), np.arange(40, dtype=np.uint64), 20, 10)
+    assert not gone.any()
+
+
+def test_repeats_count_names(make_docs, edge_rows):
+    docs = make_docs(edge_rows).selectExpr("doc_id", "text", "'own' as n_words")
+    out = repeats.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "n_words", "n_removed"] and dict(out.dtypes)["n_words"] == "bigint"
+
+
 def test_words_and_windows():
     texts = pa.array(["Ab  c\td", None, "", "x", "d Ab"])
     w = Words(texts, lower=True)
