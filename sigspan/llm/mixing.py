@@ -2,7 +2,8 @@
 
 Method. Each source has a weight; all sources share ``share`` x the words of the corpus in
 proportion to their weights, no source beyond ``cap`` x its own words (the excess goes to the
-others by weight). The mix is dealt in blocks of ``block`` words: the blocks go to the sources by
+others by weight). The mix is dealt in equal blocks of ``block`` words, fewer where the smallest target
+is below ``fine`` such blocks (at least one word), so that a small source meets its target too: the blocks go to the sources by
 highest quotients target/(2k-1), and each source's blocks to its shards (a seeded hash of the
 document id) in the same way by shard size. Inside a shard the documents stand in a seeded
 order; whole passes over the shard come first, then the quota's rest is filled in that order, so
@@ -12,14 +13,15 @@ shards in their order, up to ``cap`` x theirs: a source of few short documents g
 
 Quotients are ranked only near the threshold: a seat count of the highest-quotients method
 differs from round(target/block) by at most share x (n/2 + 1) + 1, so about 3 n candidates are
-ranked for n sources, however many blocks there are. Shards number one for every
-``shard_docs`` documents, so a window holds about that many rows of a source, a hot one too.
+ranked for n sources, however many blocks there are. A source has one shard for every
+``shard_docs`` of its documents, so a window holds about that many rows of a source, a hot one too.
 
 Defined cases: null or blank text has size 0 and is never taken; a null source is a source of
 its own, last in order; no words at all give targets of 0; rows that repeat a ``doc_id`` are
 separate documents that share its place in the order (told apart by size; equal rows get equal
 numbers only when their words are both taken or both left, so at a quota's edge one is taken
-first); an empty table gives no rows; extra columns are ignored.
+first); a very long text is one document, taken in part where the quota ends inside it; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-WEIGHTS, SHARE, CAP, BLOCK, SHARD_DOCS, SEED = (3, 1, 2), 1.5, 2, 64, 4_000, "mix-1"
+WEIGHTS, SHARE, CAP, BLOCK, FINE, SHARD_DOCS, SEED = (3, 1, 2), 1.5, 2, 64, 128, 4_000, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,7 +86,7 @@ def apportion(parts: DataFrame, group: list[str], claim: str, total: str, order:
 
 
 def mix(
-    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK,
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, fine: int = FINE,
     shard_docs: int = SHARD_DOCS, seed: str = SEED, keep: list[str] | None = None,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs``.
@@ -93,10 +95,13 @@ def mix(
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(keep or []))
     targets = source_targets(sized.select("source", "size"), weights, share, cap)
-    targets = targets.withColumn("shards", (F.floor(F.sum("n_docs").over(Window.partitionBy()) / shard_docs) + 1).cast("long"))
-    blocks = targets.withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block).cast("long")).withColumn("g", F.lit(0))
+    targets = targets.withColumn("shards", (F.floor(F.col("n_docs") / shard_docs) + 1).cast("long"))
+    every = Window.partitionBy()  # one row a source
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    blocks = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(smallest / fine))).cast("long"))
+    blocks = blocks.withColumn("blocks", F.floor(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("g", F.lit(0))
     quota = apportion(blocks, ["g"], "target", "blocks", [F.col("source").asc_nulls_last()]).select(
-        F.col("source").alias("q_source"), "seats")
+        F.col("source").alias("q_source"), "seats", "block")
 
     key = seeded(F.col("doc_id"), seed)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "shards")
@@ -106,7 +111,7 @@ def mix(
     shards = rows.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("shard_size"))
     shards = shards.join(quota, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source").withColumnRenamed("seats", "blocks")
     won = apportion(shards.withColumn("claim", F.col("shard_size").cast("double")), ["source"], "claim", "blocks", [F.col("shard")])
-    won = won.select(F.col("source").alias("w_source"), F.col("shard").alias("w_shard"), "shard_size", (F.col("seats") * block).alias("quota"))
+    won = won.select(F.col("source").alias("w_source"), F.col("shard").alias("w_shard"), "shard_size", (F.col("seats") * F.col("block")).alias("quota"))
 
     limit = F.col("shard_size") * cap
     by_shard = Window.partitionBy("w_source").orderBy("w_shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,9 +152,10 @@ s2 AS (
 s3 AS (SELECT *, (total - spent) / left_w AS level FROM s2),
 s4 AS (
   SELECT s3.*, (SELECT arg_min(level, lim / weight) FROM s3 WHERE lim > weight * level) AS lv,
-    (floor(sum(n_docs) OVER () / {SHARD_DOCS}) + 1)::BIGINT AS shards FROM s3),
+    (floor(n_docs / {SHARD_DOCS}) + 1)::BIGINT AS shards FROM s3),
 t AS (SELECT source, source_size, n_docs, shards, CASE WHEN lv IS NOT NULL AND lim > weight * lv THEN weight * lv ELSE lim END AS target FROM s4),
-a0 AS (SELECT source, target, floor(sum(target) OVER () / {BLOCK})::BIGINT AS blocks, count(*) OVER () AS n,
+b AS (SELECT greatest(1, least({BLOCK}, floor(min(target) FILTER (target > 0) / {FINE})))::BIGINT AS block FROM t),
+a0 AS (SELECT source, target, floor(sum(target) OVER () / (SELECT block FROM b))::BIGINT AS blocks, count(*) OVER () AS n,
   CASE WHEN sum(target) OVER () > 0 THEN target / sum(target) OVER () ELSE 0 END AS share FROM t),
 a1 AS (SELECT *, ceil(n * share)::BIGINT + 2 AS margin FROM a0),
 a2 AS (SELECT *, greatest(0, round(share * blocks)::BIGINT - margin) AS base FROM a1),
@@ -168,7 +174,11 @@ h3 AS (SELECT *, greatest(0, round(share * blocks)::BIGINT - margin) AS base FRO
 h4 AS (SELECT *, blocks - sum(base) OVER (PARTITION BY source) AS extra FROM h3),
 h5 AS (SELECT *, unnest(range(base + 1, base + 2 * margin + 2)) AS k FROM h4 WHERE shard_size > 0),
 h6 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard) AS rn FROM h5),
-w AS (SELECT source, shard, shard_size, (min(base) + count(*) FILTER (rn <= extra))::BIGINT * {BLOCK} AS quota FROM h6 GROUP BY 1, 2, 3),
+w0 AS (SELECT source, shard, shard_size, (min(base) + count(*) FILTER (rn <= extra))::BIGINT * (SELECT block FROM b) AS quota, shard_size * {CAP} AS lim
+  FROM h6 GROUP BY 1, 2, 3),
+w1 AS (SELECT *, greatest(0, lim - quota) AS spare, sum(greatest(0, quota - lim)) OVER (PARTITION BY source) AS beyond FROM w0),
+w2 AS (SELECT *, beyond - coalesce(sum(spare) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM w1),
+w AS (SELECT source, shard, shard_size, (least(quota, lim) + greatest(0, least(spare, rest)))::BIGINT AS quota FROM w2),
 x AS (
   SELECT r.*, w.quota, w.shard_size,
     coalesce(sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before

@@ -112,6 +112,18 @@ def test_mix_small_source_of_short_documents(make_docs):
         assert abs(sum(r.taken for r in of) / want[s] - 1) < 0.01, s
 
 
+def test_mix_many_tiny_sources(make_docs):
+    # 200 sources of about 80 words beside a hot one: every source meets its target
+    rows = [(k, prose(k, 70 + k % 21), f"s{k:03d}") for k in range(200)] + [(1000 + k, prose(k, 200), "big") for k in range(100)]
+    got = mixing.mix(make_docs(rows)).collect()
+    of = {r.doc_id: r for r in got}
+    for k in range(200):
+        r = of[k]
+        assert r.taken <= 2 * r["size"] and 0.985 <= r.taken / r.target <= 1.015, r
+    big = [r for r in got if r.doc_id >= 1000]
+    assert abs(sum(r.taken for r in big) / big[0].target - 1) < 0.01
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_seats_are_highest_quotients(spark, seed):
     r = random.Random(seed)
