@@ -8,9 +8,14 @@ one-line notices, and each paragraph of several lines without such a notice, whi
 headers. The known table is a fixed list (this module and the texts in ``known_licenses``), so it is
 broadcast; a caller's own table of texts is added to it and joined as its size asks.
 
+A copyright line is one that begins with "copyright" or "(c)" and gives a year, or one with a mark or a place for
+the year at the start of a paragraph; a wrapped sentence that happens to begin a line with "copyright" stays, so
+a text's digest does not depend on the width it is wrapped at. A line with a mark and no year inside a
+paragraph stays too.
+
 Defined cases: a null or empty text has the digest of the empty string and matches nothing; rows
 that repeat a ``doc_id`` (or have none) count as one document; extra columns are ignored; an
-empty table gives no rows.
+empty table gives no rows; a very long text is digested whole, in one row.
 """
 
 from __future__ import annotations
@@ -35,8 +40,12 @@ SPELLINGS = (
     ("judgement", "judgment"),
     ("©", "(c)"),
 )
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\))[^\n]*"
-SEPARATORS = r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
+COPYRIGHT_LINE = (
+    r"((^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\))?|\(c\))[^a-z0-9\n]*[0-9]{4}"
+    r"|(^|\n[ \t\r]*\n)[^a-z0-9\n]*copyright[^a-z0-9\n]*(\(c\)|[<\[{] *(year|yyyy)))[^\n]*"
+)
+# ASCII other than letters, digits and the line feed, and the spaces and punctuation of typeset text
+SEPARATORS = r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f" + "\u00a0\u00a1\u00a7\u00ab\u00ad\u00b6\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u3003\ufeff]+"
 
 # Known one-line notices and whole licence texts by SPDX identifier.
 NOTICES = (
@@ -152,7 +161,7 @@ def canonical(text: str) -> str:
     t = text.translate(str.maketrans(UPPER, LOWER))
     for a, b in SPELLINGS:
         t = t.replace(a, b)
-    t = re.sub(SEPARATORS, " ", re.sub(COPYRIGHT_LINE, "\n", t))
+    t = re.sub(SEPARATORS, " ", re.sub(COPYRIGHT_LINE, "\n\n", t))
     return " ".join(filter(None, (x.strip(" ") for x in t.split("\n"))))
 
 
@@ -166,15 +175,23 @@ def all_lines(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n\n")
     t = F.regexp_replace(t, SEPARATORS, " ")
     return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
 
 
+def fixed_digests() -> list[tuple[str, str]]:
+    """``(digest, licence)`` of every text of the fixed lists."""
+    return sorted({(hashlib.sha256(canonical(t).encode()).hexdigest(), k) for k, t in [*NOTICES, *TEXTS, *HEADERS, *shipped_texts()]})
+
+
+def notice_lines() -> list[str]:
+    return sorted({canonical(t) for _, t in NOTICES})
+
+
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """``(known_digest, known_id)`` of the fixed lists and of ``texts(license, text)``."""
-    fixed = {(hashlib.sha256(canonical(t).encode()).hexdigest(), k) for k, t in [*NOTICES, *TEXTS, *HEADERS, *shipped_texts()]}
-    rows = F.array(*[F.struct(F.lit(d).alias("known_digest"), F.lit(k).alias("known_id")) for d, k in sorted(fixed)])
+    rows = F.array(*[F.struct(F.lit(d).alias("known_digest"), F.lit(k).alias("known_id")) for d, k in fixed_digests()])
     known = spark.range(1).select(F.inline(rows))
     if texts is not None:
         digest = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)
@@ -194,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     whole = F.struct(F.lit(True).alias("whole"), F.array_join("lines", " ").alias("unit"))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
     # a paragraph with a notice line counts by that line
-    line_notices = F.array(*[F.lit(x) for x in sorted({canonical(t) for _, t in NOTICES})])
+    line_notices = F.array(*[F.lit(x) for x in notice_lines()])
     several = lambda x: x.contains("\n") & ~F.arrays_overlap(F.split(x, "\n"), line_notices)
     wrapped = F.filter(F.transform(F.split(F.array_join("every", "\n"), "\n\n+"), lambda x: F.btrim(x, F.lit("\n"))), several)
     paragraphs = F.transform(wrapped, lambda x: F.struct(F.lit(False).alias("whole"), F.replace(x, F.lit("\n"), F.lit(" ")).alias("unit")))
@@ -217,22 +234,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({q(k)}, {q(t)})" for k, t in NOTICES + TEXTS)
-    t = f"translate(coalesce(t, ''), '{UPPER}', '{LOWER}')"
+    values = ", ".join(f"({q(d)}, {q(k)})" for d, k in fixed_digests())
+    notices = "[" + ", ".join(map(q, notice_lines())) + "]"
+    t = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     for a, b in SPELLINGS:
         t = f"replace({t}, {q(a)}, {q(b)})"
-    t = f"regexp_replace({t}, {q(COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = f"regexp_replace({t}, {q(COPYRIGHT_LINE)}, chr(10) || chr(10), 'g')"
     t = f"regexp_replace({t}, {q(SEPARATORS)}, ' ', 'g')"
-    lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    every = f"list_transform(string_split({t}, chr(10)), lambda x: trim(x))"
     return f"""
-WITH known AS (
-  SELECT sha256(array_to_string(lines, ' ')) AS kd, min(k) AS kid
-  FROM (SELECT k, {lines} AS lines FROM (VALUES {values}) v(k, t)) GROUP BY 1),
-d AS (SELECT doc_id, {lines} AS lines FROM (SELECT doc_id, text AS t FROM documents)),
+WITH known AS (SELECT kd, min(k) AS kid FROM (VALUES {values}) v(kd, k) GROUP BY 1),
+e AS (SELECT doc_id, {every} AS every FROM documents),
+d AS (SELECT doc_id, every, list_filter(every, lambda x: x <> '') AS lines FROM e),
+p AS (SELECT doc_id, trim(unnest(string_split_regex(array_to_string(every, chr(10)), '\n\n+')), chr(10)) AS part FROM d),
 u AS (
   SELECT doc_id, true AS whole, sha256(array_to_string(lines, ' ')) AS digest FROM d
   UNION ALL
-  SELECT doc_id, false, sha256(line) FROM (SELECT doc_id, unnest(lines) AS line FROM d))
+  SELECT doc_id, false, sha256(line) FROM (SELECT doc_id, unnest(lines) AS line FROM d)
+  UNION ALL
+  SELECT doc_id, false, sha256(replace(part, chr(10), ' ')) FROM p
+  WHERE contains(part, chr(10)) AND NOT list_has_any(string_split(part, chr(10)), {notices}))
 SELECT doc_id, min(digest) FILTER (whole) AS digest, min(kid) FILTER (whole) AS license,
   count(*) FILTER (NOT whole AND kid IS NOT NULL) AS n_notices,
   coalesce(array_to_string(list_sort(list_distinct(list(kid) FILTER (NOT whole AND kid IS NOT NULL))), ','), '') AS notices
