@@ -218,11 +218,27 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def near_copies(lines: list[str], other: list[str], shared: set[int]) -> bool:
+    """Whether the shared lines hold at least half of the characters of both pages."""
+    size = max(sum(map(len, lines)), sum(map(len, other)))
+    return 2 * sum(len(lines[i]) for i in shared) >= size
+
+
+def site_lines(lines: list[str], others: list[list[str]]) -> set[int]:
+    """Positions of the lines shared with the first of ``others`` that is no near copy; none if all are."""
+    for other in others:
+        shared = shared_lines(lines, other)
+        if not near_copies(lines, other, shared):
+            return shared
+    return set()
+
+
 def differenced(loose: DataFrame) -> DataFrame:
-    """``loose`` (rows of :func:`parsed`) without the lines shared with the nearest other page.
+    """``loose`` (rows of :func:`parsed`) without the lines shared with the nearer neighbour by path that is no near copy.
 
     Pages of a host with the same lines throughout are one page here, at the first of their paths:
-    a copy says nothing about what belongs to the site.
+    a copy says nothing about what belongs to the site. Nor does a near copy, so pages with near copies to both
+    sides keep all lines.
     """
     copy = F.sha2(F.to_json(F.struct("host", "main", "line")), 256)
     loose = stage(loose.withColumn("copy", copy), "loose-pages")
@@ -243,9 +259,9 @@ def differenced(loose: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 a_near = -1 if r["path_a"] is None else _prefix(r["path"], r["path_a"])
                 b_near = -1 if r["path_b"] is None else _prefix(r["path"], r["path_b"])
-                other = (r["near_a"] if a_near >= b_near else r["near_b"]) or []
+                others = [r["near_a"], r["near_b"]] if a_near >= b_near else [r["near_b"], r["near_a"]]
                 at = [i for i, m in enumerate(r["main"]) if not m]
-                gone = {at[i] for i in shared_lines([r["line"][i] for i in at], other)}
+                gone = {at[i] for i in site_lines([r["line"][i] for i in at], [x for x in others if x])}
                 texts.append("\n".join(t for i, t in enumerate(r["line"]) if i not in gone))
             yield batch({"copy": b.column(0), "text": pa.array(texts, pa.string())})
 
