@@ -9,7 +9,7 @@ headers. The known table is a fixed list (this module and the texts in ``known_l
 broadcast; a caller's own table of texts is added to it and joined as its size asks.
 
 A copyright line is one that begins with "copyright" or "(c)" and gives a year, or one with a mark or a place for
-the year at the start of a paragraph; a wrapped sentence that happens to begin a line with "copyright" stays, so
+the year at the start of a paragraph, or one right below such a line; a wrapped sentence that happens to begin a line with "copyright" stays, so
 a text's digest does not depend on the width it is wrapped at. A line with a mark and no year inside a
 paragraph stays too.
 
@@ -43,6 +43,7 @@ SPELLINGS = (
 COPYRIGHT_LINE = (
     r"((^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\))?|\(c\))[^a-z0-9\n]*[0-9]{4}"
     r"|(^|\n[ \t\r]*\n)[^a-z0-9\n]*copyright[^a-z0-9\n]*(\(c\)|[<\[{] *(year|yyyy)))[^\n]*"
+    r"(\n[^a-z0-9\n]*(copyright|\(c\))[^\n]*)*"
 )
 # ASCII other than letters, digits and the line feed, and the spaces and punctuation of typeset text
 SEPARATORS = r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f" + "\u00a0\u00a1\u00a7\u00ab\u00ad\u00b6\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u3003\ufeff]+"
